@@ -103,7 +103,7 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, U)
-    out, done, scale = None, 0, None
+    out, done = None, 0
     part, width, factor = hashes, 1, _NEXT
     while True:  # binary digits of k: the window is made of blocks whose widths are powers of two
         if k & width:
