@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import positional, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
     "op1_warc": """
