@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import positional, token_files, warc
+from . import langid, positional, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_token_files": op5_token_files, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op5_token_files": op5_token_files, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
     "op1_warc": """
