@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, positional, token_files, warc
+from . import langid, mixing, positional, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +19,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op5_token_files": op5_token_files, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
+    "op4_source_mix": mixing.ORACLE,
     "op1_warc": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
                   strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
