@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, positional, token_files, warc
+from . import chat, langid, mixing, positional, quality, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.pair_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -27,9 +35,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
+    "op7_preference_chat": chat.ORACLE,
     "op4_source_mix": mixing.ORACLE,
     "op1_warc": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
