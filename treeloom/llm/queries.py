@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, positional, quality, token_files, warc
+from . import chat, langid, lm, mixing, positional, quality, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
     "op7_preference_chat": chat.ORACLE,
