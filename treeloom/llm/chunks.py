@@ -1,6 +1,6 @@
 """The corpus as packed chunks, and exchanges of keys by bucket.
 
-A chunk is some thousand whole texts in one row, written once to the shared folder. Operators that
+A chunk is some thousand whole texts in one row, compressed and written once to the shared folder. Operators that
 need corpus-wide counts of shingles, windows or n-grams work in rounds: each chunk sends its
 distinct keys, bucketed by hash, packed into one binary value per bucket; a bucket adds up what all
 chunks sent and replies to each of them; a chunk joins its replies. A key that occurs in a third of
@@ -22,6 +22,8 @@ from . import common, words
 CHUNK_BYTES, CHUNK_TEXTS = 8 << 20, 1 << 16
 #: Bytes of text per bucket of an exchange, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 256
+#: Bytes of text for a compressed byte, about.
+RATIO = 3
 #: Bits of a row number below the chunk's number.
 ROW_BITS = 17
 
@@ -39,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
         def flush():
             nonlocal k
             row = pa.RecordBatch.from_arrays(
-                [pa.array([base + k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([common.blob(np.array(ends, np.int64))], pa.binary()), pa.array([b"".join(data)], pa.binary())],
+                [pa.array([base + k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([common.blob(np.array(ends, np.int64))], pa.binary()), pa.array([pa.compress(b"".join(data), codec="zstd", asbytes=True)], pa.binary())],
                 names=["chunk", "ids", "offsets", "text"],
             )
             k += 1
@@ -66,7 +68,7 @@ def pack(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
 def bucket_count(chunks: DataFrame) -> int:
     """Number of buckets for this corpus: grows with its bytes."""
     total = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(LEAST_BUCKETS, -(-int(total) // BUCKET_BYTES))
+    return max(LEAST_BUCKETS, -(-int(total) * RATIO // BUCKET_BYTES))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -83,7 +85,9 @@ def bounds(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def rows_of(row: dict) -> tuple[int, list, np.ndarray, np.ndarray]:
     """chunk, ids, bytes, offsets of a packed row."""
-    return row["chunk"], row["ids"], np.frombuffer(row["text"], np.uint8), np.frombuffer(row["offsets"], np.int64)
+    offs = np.frombuffer(row["offsets"], np.int64)
+    text = pa.decompress(row["text"], int(offs[-1]), codec="zstd", asbytes=True) if offs[-1] else b""
+    return row["chunk"], row["ids"], np.frombuffer(text, np.uint8), offs
 
 
 def split_chunk(data: np.ndarray, offs: np.ndarray, lower: bool, piece: int = 2 << 20) -> words.Words:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, lm, mixing, positional, quality, token_files, warc
+from . import chat, jaccard, langid, lm, mixing, positional, quality, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
 
@@ -39,7 +43,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
     "op7_preference_chat": chat.ORACLE,

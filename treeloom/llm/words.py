@@ -104,8 +104,9 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, U)
     out, done = None, 0
-    part, width, factor = hashes, 1, _NEXT
+    part, width, power = hashes, 1, int(_NEXT)
     while True:  # binary digits of k: the window is made of blocks whose widths are powers of two
+        factor = U(power)
         if k & width:
             piece = part[done : done + m]
             out = piece.copy() if out is None else out * factor + piece
@@ -113,6 +114,6 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         if width * 2 > k:
             break
         part = part[:-width] * factor + part[width:]
-        factor = factor * factor
+        power = power * power % (1 << 64)
         width *= 2
     return mix(out ^ U(k))
