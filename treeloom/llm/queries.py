@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, langid, lm, mixing, positional, quality, token_files, warc
+from . import chat, jaccard, langid, lm, mixing, positional, quality, substrings, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.pair_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -43,7 +47,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op6_substring_dedup": op6_substring_dedup, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
     "op7_preference_chat": chat.ORACLE,
