@@ -69,10 +69,14 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share_percent: int = S
 
 
 def mix(
-    spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS, quality: Column | None = None, seed: int = 0, slices: int = SLICES
+    spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS, quality: Column | None = None, seed: int = 0, slices: int = SLICES, row: str | None = None
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each document; `quality` is a positive expression over doc_id and size."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+    """doc_id, source, size, source_size, target, taken for each document; `quality` is a positive expression over doc_id and size.
+
+    `row` names a column with a number per row, to carry along as `row`.
+    """
+    number = F.col(row).cast("long") if row else F.lit(0).cast("long")
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     rows = common.materialize(spark, rows, "mix-sizes")
     weight = quality if quality is not None else quality_weight(F.col("size"))
     key = -F.log(uniform(F.col("doc_id"), seed)) / weight
@@ -84,28 +88,28 @@ def mix(
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     starts = starts.join(goal, starts.source.eqNullSafe(goal.source)).select(starts.source.alias("s"), F.col("slice").alias("k"), "start", "source_size", "target")
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, rows.source.eqNullSafe(F.col("s")) & (rows.slice == F.col("k")))
     words = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = words - epochs * F.col("source_size") - F.col("start") - F.col("within")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"))
+    return rows.select(*["row"] * bool(row), "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"))
 
 
 def apply_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: documents repeated as often as they are taken, the one at the border cut to the words it gives.
 
-    docs must have one row per doc_id; other rows with the same id would be multiplied.
+    Columns are those of docs. Rows are numbered first and mixed under their number, so that rows
+    with equal or null ids are each taken as planned; the key is still drawn from doc_id.
     """
-    plan = mix(spark, docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    rows = docs.join(plan, docs.doc_id.eqNullSafe(F.col("_id")))
-    copies = F.expr("sequence(0L, (taken + size - 1) div size - 1)")
-    rows = rows.withColumn("_copy", F.explode(copies))
-    left = F.col("taken") - F.col("_copy") * F.col("size")
-    cut = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), left.cast("string"), F.lit("}")), 0)
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = common.materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(spark, rows, row="_row", **options).where("taken > 0").select(F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    joined = rows.join(plan, F.col("_row") == F.col("_r")).withColumn("_copy", F.explode(F.expr("sequence(0L, (_taken + _size - 1) div _size - 1)")))
+    left = F.col("_taken") - F.col("_copy") * F.col("_size")
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0)).cast("int")), "")
+    return joined.withColumn("text", F.when(left >= F.col("_size"), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 #: The same in SQL: keys come from the same digits of the same hash.
