@@ -77,5 +77,16 @@ def pieces(data: np.ndarray, offs: np.ndarray, limit: int):
         i = j
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Bytes of an array, compressed, for what is shuffled in large amounts."""
+    raw = np.ascontiguousarray(a).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def expand(data: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b"", kind)
+
+
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()

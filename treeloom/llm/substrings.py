@@ -173,8 +173,8 @@ def _segments(buckets: int, window: int, anchor: int):
                 head = np.column_stack([order_id[text[k]], text[k], start[k] - first[text[k]], size[k]])
                 out["bucket"].append(int(bucket[a]))
                 out["chunk"].append(chunk)
-                out["data"].append(common.blob(head))
-                out["codes"].append(common.blob(codes.astype(np.uint16 if len(vocabulary) < 65536 else np.uint32)))
+                out["data"].append(common.squeeze(head))
+                out["codes"].append(common.squeeze(codes.astype(np.uint16 if len(vocabulary) < 65536 else np.uint32)))
                 out["vocabulary"].append(common.blob(vocabulary))
         return pa.Table.from_batches([chunks.batch(out, SEGMENT)])
 
@@ -191,8 +191,8 @@ def _shard(window: int):
         heads, texts, chunk_of = [], [], []
         for r in rows:
             vocabulary = np.frombuffer(r["vocabulary"], words.U)
-            codes = np.frombuffer(r["codes"], np.uint16 if len(vocabulary) < 65536 else np.uint32)
-            head = np.frombuffer(r["data"], np.int64).reshape(-1, 4)
+            codes = common.expand(r["codes"], np.uint16 if len(vocabulary) < 65536 else np.uint32)
+            head = common.expand(r["data"], np.int64).reshape(-1, 4)
             heads.append(head)
             texts.append(vocabulary[codes])
             chunk_of.append(np.full(len(head), r["chunk"]))
