@@ -24,35 +24,40 @@ from pyspark.sql import functions as F
 from treeloom.llm import common, jaccard, langid, mixing, positional, token_files
 
 
+#: The name of the row number; no table should have a column named so.
+ROW = "_pipeline_row"
+
+
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs, written with a number for each row, so that rows with equal or null ids stay apart."""
-    return common.materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return common.materialize(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(spark, docs, F.lit(True))
-    return langid.predict(spark, docs, model).where(~F.col("rejected")).select(*docs.columns)
+    names = ("_lang_pred", "_lang_score", "_lang_rejected")
+    return langid.predict(spark, docs, model, names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(spark, docs)
-    found = jaccard.join(spark, rows.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id")
+    found = jaccard.join(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id")
     # Row numbers stand for ids in the join; the row that stays is the one with the smallest doc_id.
     members = found.select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_group"))
     heads = members.select(F.col("_group").alias("_member"), "_group").distinct()
-    grouped = members.unionByName(heads).join(rows.select(F.col("_row").alias("_member"), "doc_id"), "_member")
+    grouped = members.unionByName(heads).join(rows.select(F.col(ROW).alias("_member"), "doc_id"), "_member")
     grouped = common.materialize(spark, grouped, "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_member").alias("row"))
     kept = grouped.groupBy(F.col("_group").alias("_g")).agg(F.min(order)["row"].alias("_keep"))
     gone = grouped.join(kept, F.col("_group") == F.col("_g")).where("_member <> _keep").select(F.col("_member").alias("_gone"))
-    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").select(*docs.columns)
+    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(spark, docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = positional.decontaminate(spark, rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_gone"))
-    return rows.join(hit, rows["_row"] == hit["_gone"], "left_anti").select(*docs.columns)
+    hit = positional.decontaminate(spark, rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_gone"))
+    return rows.join(hit, rows[ROW] == hit["_gone"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
