@@ -103,9 +103,9 @@ def apply_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Columns are those of docs. Rows are numbered first and mixed under their number, so that rows
     with equal or null ids are each taken as planned; the key is still drawn from doc_id.
     """
-    rows = common.materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = mix(spark, rows, row="_row", **options).where("taken > 0").select(F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    joined = rows.join(plan, F.col("_row") == F.col("_r")).withColumn("_copy", F.explode(F.expr("sequence(0L, (_taken + _size - 1) div _size - 1)")))
+    rows = common.materialize(spark, docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(spark, rows, row="_mix_row", **options).where("taken > 0").select(F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    joined = rows.join(plan, F.col("_mix_row") == F.col("_r")).withColumn("_copy", F.explode(F.expr("sequence(0L, (_taken + _size - 1) div _size - 1)")))
     left = F.col("_taken") - F.col("_copy") * F.col("_size")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0)).cast("int")), "")
