@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 UNKNOWN = "und"
-#: Bound of the training sample: texts and bytes per language.
+#: Bound of the training sample: texts per language, and bytes of all languages, which share them evenly.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 6_000_000
 #: Languages learned at most; the most frequent ones (a bound on the size of the model).
 MAX_LANGUAGES = 400
@@ -161,7 +161,7 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column, text: str = "text"
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1_000_000)).alias("draw")
     )
     have = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = {r.lang: min(1.0, SAMPLE_TEXTS / r.n, SAMPLE_BYTES / max(1, r.bytes)) for r in have}
+    share = {r.lang: min(1.0, SAMPLE_TEXTS / r.n, SAMPLE_BYTES / len(have) / max(1, r.bytes)) for r in have}
     languages = sorted(share)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
@@ -181,18 +181,20 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column, text: str = "text"
     label = np.array([number[r[0]] for r in found], np.int64)
     parts = [np.frombuffer(r[2], np.int32) for r in found]
     offs = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
-    return train(np.concatenate([np.zeros(0, np.int32), *parts]), offs, label, languages)
+    bucket = np.concatenate([np.zeros(0, np.int32), *parts])
+    del found, parts
+    return train(bucket, offs, label, languages)
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """Add lang_pred, score and rejected to every row; needs the column text, keeps all columns."""
+def predict(spark: SparkSession, docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Add prediction, score and rejection to every row under the names given; needs the column text, keeps all other columns."""
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
+    fields = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in fields]
     docs = docs.select(*names)
     at = names.index("text")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
+    schema = docs.select("*", F.lit("").alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(False).alias(added[2])).schema
 
     def run(batches):
         m = shared.value
@@ -213,7 +215,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                     lang.append(m.languages[best[k]] if known else UNKNOWN)
                     score.append(float(min(1.0, top[k])) if known else 0.0)
             no = [x == UNKNOWN or s < m.reject_under for x, s in zip(lang, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=[*names, *added])
 
     return docs.mapInArrow(run, schema)
 
