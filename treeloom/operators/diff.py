@@ -49,7 +49,7 @@ def member_diff(rows: DataFrame, keys: list[str], before: str, after: str) -> Da
 def cap_sections(entries: DataFrame, by: list[str], order: list, cap: int = SECTION_CAP) -> DataFrame:
     """The first entries of each section with total_changes, truncated and truncated_count."""
     w = Window.partitionBy(*by)
-    rows = entries.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("total_changes", F.count(F.lit(1)).over(w))
+    rows = entries.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("total_changes", F.count(F.lit(1)).over(w))
     return rows.withColumns({"truncated": F.col("total_changes") > cap, "truncated_count": F.greatest(F.col("total_changes") - cap, F.lit(0))}).where(F.col("rank") <= cap)
 
 

@@ -39,7 +39,7 @@ def diverse_top(refs: DataFrame, keys: list[str], kind: str, order: list, kinds:
     rank = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind)), F.lit(len(kinds) + 1))
     rows = refs.withColumn("_kind", rank).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, kind).orderBy(*order)))
     w = Window.partitionBy(*keys).orderBy((F.col("_n") > 1).cast("int"), "_kind", "_n")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("_kind", "_n")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).drop("_kind", "_n")
 
 
 def alias_hits(keys: DataFrame, key: str, group: list[str], sources: DataFrame, source: str, order: list) -> DataFrame:

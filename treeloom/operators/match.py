@@ -29,8 +29,8 @@ def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, o
 
 def kth_occurrence(left: DataFrame, right: DataFrame, keys: list[str], left_order: list, right_order: list, payload: list[str]) -> DataFrame:
     """The k-th row of each key on the left meets the k-th row of that key on the right; others stay alone."""
-    a = left.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))
-    b = right.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*right_order))).select(*keys, "k", *payload)
+    a = left.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)).cast("long"))
+    b = right.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*right_order)).cast("long")).select(*keys, "k", *payload)
     return a.join(b, [*keys, "k"], "left")
 
 

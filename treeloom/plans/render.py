@@ -31,7 +31,7 @@ def grouped_index(df: DataFrame, group: str, item: Column, ord_: str) -> DataFra
 
 def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
     """Place of each row in an order; for report-sized tables, as it sorts all rows together."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("long"))
 
 
 def successors(df: DataFrame, group: str, order: list[str], action: str) -> DataFrame:
