@@ -31,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Work folders of this driver, in order of their making.
+CREATED: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/treeloom/{name}-{uuid.uuid4().hex}"
+    CREATED.append(f"{shared_dir(spark)}/treeloom/{name}-{uuid.uuid4().hex}")
+    return CREATED[-1]
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
