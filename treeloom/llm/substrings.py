@@ -80,7 +80,7 @@ def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 REQUEST = {"bucket": pa.int64(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 ANSWER = {"chunk": pa.int64(), "bucket": pa.int64(), "data": pa.binary()}
-SEGMENT = {"bucket": pa.int64(), "chunk": pa.int64(), "data": pa.binary(), "codes": pa.binary(), "vocabulary": pa.binary()}
+SEGMENT = {"bucket": pa.int64(), "chunk": pa.int64(), "data": pa.binary(), "text": pa.binary()}
 REMOVED = {"chunk": pa.int64(), "data": pa.binary()}
 RESULT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
 
@@ -158,8 +158,8 @@ def _segments(buckets: int, window: int, anchor: int):
                 out["bucket"].append(-1 - chunk)
                 out["chunk"].append(chunk)
                 out["data"].append(common.blob(np.column_stack([text[late], start[late] - first[text[late]], size[late]]).astype(np.uint32)))
-                out["codes"].append(b"")
-                out["vocabulary"].append(b"")
+                out["text"].append(b"")
+            raw = data.tobytes()
             keep = order[~again]
             bucket = chunks.bucket_of(words.mix(route[keep]), buckets)
             by = np.argsort(bucket, kind="stable")
@@ -167,15 +167,13 @@ def _segments(buckets: int, window: int, anchor: int):
             cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
             for a, z in zip(cut[:-1], cut[1:], strict=True):
                 k = keep[a:z]
-                length = size[k] + window - 1
-                at = np.arange(length.sum()) + np.repeat(start[k] - (np.cumsum(length) - length), length)
-                vocabulary, codes = np.unique(h[at], return_inverse=True)
+                begins, ends = r.words.starts[start[k]].tolist(), r.words.ends[start[k] + size[k] + window - 2].tolist()
                 head = np.column_stack([order_id[text[k]], text[k], start[k] - first[text[k]], size[k]])
                 out["bucket"].append(int(bucket[a]))
                 out["chunk"].append(chunk)
                 out["data"].append(common.squeeze(head))
-                out["codes"].append(common.squeeze(codes.astype(np.uint16 if len(vocabulary) < 65536 else np.uint32)))
-                out["vocabulary"].append(common.blob(vocabulary))
+                # The words themselves compress better than numbers or hashes of them would.
+                out["text"].append(common.squeeze(np.frombuffer(b" ".join([raw[i:j] for i, j in zip(begins, ends, strict=True)]), np.uint8)))
         return pa.Table.from_batches([chunks.batch(out, SEGMENT)])
 
     return run
@@ -190,11 +188,10 @@ def _shard(window: int):
             return pa.Table.from_batches([chunks.batch({k: [r[k] for r in rows] for k in REMOVED}, REMOVED)])
         heads, texts, chunk_of = [], [], []
         for r in rows:
-            vocabulary = np.frombuffer(r["vocabulary"], words.U)
-            codes = common.expand(r["codes"], np.uint16 if len(vocabulary) < 65536 else np.uint32)
+            data = common.expand(r["text"], np.uint8)
             head = common.expand(r["data"], np.int64).reshape(-1, 4)
             heads.append(head)
-            texts.append(vocabulary[codes])
+            texts.append(words.split(data, np.array([0, len(data)])).hashes)
             chunk_of.append(np.full(len(head), r["chunk"]))
         head, flat, chunk_of = np.concatenate(heads), np.concatenate(texts), np.concatenate(chunk_of)
         length = head[:, 3] + window - 1
