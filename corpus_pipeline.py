@@ -18,7 +18,9 @@ documents give an empty result. The columns of documents are kept up to stage 4.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import common, jaccard, langid, mixing, positional, token_files
@@ -33,12 +35,34 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return common.materialize(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+#: Work folders of the stage that ran last.
+_LAST: list[str] = []
+
+
+def _stage(f):
+    """A stage begins by deleting the last stage's work folders: its result has been written and read again by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _LAST:
+            common.remove(spark, path)
+        _LAST.clear()
+        first = len(common.CREATED)
+        out = f(spark, docs, sf_dir)
+        _LAST.extend(common.CREATED[first:])
+        return out
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(spark, docs, F.lit(True))
     names = ("_lang_pred", "_lang_score", "_lang_rejected")
     return langid.predict(spark, docs, model, names).where(~F.col(names[2])).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(spark, docs)
     found = jaccard.join(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id")
@@ -53,6 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(spark, docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -60,10 +85,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(hit, rows[ROW] == hit["_gone"], "left_anti").select(*docs.columns)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(spark, docs)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, docs)
 
@@ -81,7 +108,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        past, path = path, common.work_path(spark, f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if past:
+            common.remove(spark, past)
     return STAGES[-1][1](spark, docs, sf_dir)
