@@ -74,6 +74,16 @@ def test_reference_cycle_ends(spark):
     assert {(r.root, r.node, r.hops) for r in M.resolve_refs(e).collect()} == {("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("a", "c", 2)}
 
 
+def test_references_beyond_the_row_limit(spark):
+    edges = spark.range(300).selectExpr("concat('c', id) AS src", "concat('n', id % 7) AS dst").union(spark.range(7).selectExpr("concat('n', id)", "'world'"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        got = {(r.root, r.node, r.hops) for r in M.resolve_refs(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(f"c{i}", f"n{i % 7}", 1) for i in range(300)} | {(f"c{i}", "world", 2) for i in range(300)} | {(f"n{i}", "world", 1) for i in range(7)}
+
+
 def test_dictionary_is_bounded(spark):
     with pytest.raises(ValueError, match="dictionary"):
         M.nearest_name(spark.createDataFrame([("a",)], "n string"), "n", spark.range(M.DICTIONARY_ROWS + 1).selectExpr("id", "cast(id as string) w"), "w", "id")

@@ -76,7 +76,11 @@ def kb_lookup(rows: DataFrame, suffix: str, kb: DataFrame) -> DataFrame:
 
 
 def resolve_refs(edges: DataFrame, start: str = "src", ref: str = "dst", most: int = 50) -> DataFrame:
-    """Reference chains: for each source every target reached, with its distance. Cycles end at the level bound."""
+    """Reference chains: for each source every target reached, with its distance. Cycles end at the level bound.
+
+    LIMIT ALL lifts the recursion's row limit (spark.sql.cteRecursionRowLimit); it doesn't reach through
+    an aggregation, so it stands right above the recursion.
+    """
     spark = edges.sparkSession
     edges.select(F.col(start).alias("s"), F.col(ref).alias("d")).distinct().createOrReplaceTempView("treeloom_refs")
     return spark.sql(f"""
@@ -84,4 +88,4 @@ def resolve_refs(edges: DataFrame, start: str = "src", ref: str = "dst", most: i
           SELECT s, d, 1, array(s, d) FROM treeloom_refs
           UNION ALL
           SELECT r.root, e.d, r.hops + 1, array_append(r.seen, e.d) FROM r JOIN treeloom_refs e ON e.s = r.node WHERE NOT array_contains(r.seen, e.d))
-        SELECT root, node, min(hops) AS hops FROM r GROUP BY root, node""")
+        SELECT root, node, min(hops) AS hops FROM (SELECT root, node, hops FROM r LIMIT ALL) GROUP BY root, node""")
