@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each one operator.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns
-as Parquet in the shared folder and reads it again as the next one's docs.
+as Parquet in the shared folder, reads it again as the next one's docs and then deletes the stage's
+work folders. A stage itself deletes only folders of its own that its result doesn't read.
 
 1. language: rows whose language prediction is rejected (no letters, or a score under the
    calibrated bound) go. The model learns from the labelled rows of docs themselves.
@@ -18,8 +19,6 @@ documents give an empty result. The columns of documents are kept up to stage 4.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,62 +34,49 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return common.materialize(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-#: Work folders of the stage that ran last.
-_LAST: list[str] = []
-
+def _settled(spark: SparkSession, df: DataFrame, name: str, first: int) -> DataFrame:
+    """df written, and the work folders since the first-th deleted: only df reads them, and no other stage or caller has them."""
+    own = common.CREATED[first:]
+    out = common.materialize(spark, df, name)
+    for path in own:
+        common.remove(spark, path)
+    return out
 
-def _stage(f):
-    """A stage begins by deleting the last stage's work folders: its result has been written and read again by then."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _LAST:
-            common.remove(spark, path)
-        _LAST.clear()
-        first = len(common.CREATED)
-        out = f(spark, docs, sf_dir)
-        _LAST.extend(common.CREATED[first:])
-        return out
 
-    return run_stage
-
-
-@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(spark, docs, F.lit(True))
     names = ("_lang_pred", "_lang_score", "_lang_rejected")
     return langid.predict(spark, docs, model, names).where(~F.col(names[2])).select(*docs.columns)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(spark, docs)
+    first = len(common.CREATED)
     found = jaccard.join(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id")
     # Row numbers stand for ids in the join; the row that stays is the one with the smallest doc_id.
     members = found.select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_group"))
     heads = members.select(F.col("_group").alias("_member"), "_group").distinct()
     grouped = members.unionByName(heads).join(rows.select(F.col(ROW).alias("_member"), "doc_id"), "_member")
-    grouped = common.materialize(spark, grouped, "near-groups")
+    grouped = _settled(spark, grouped, "near-groups", first)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_member").alias("row"))
     kept = grouped.groupBy(F.col("_group").alias("_g")).agg(F.min(order)["row"].alias("_keep"))
     gone = grouped.join(kept, F.col("_group") == F.col("_g")).where("_member <> _keep").select(F.col("_member").alias("_gone"))
     return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
-@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(spark, docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    first = len(common.CREATED)
     hit = positional.decontaminate(spark, rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_gone"))
+    hit = _settled(spark, hit, "hits", first)
     return rows.join(hit, rows[ROW] == hit["_gone"], "left_anti").select(*docs.columns)
 
 
-@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(spark, docs)
 
 
-@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, docs)
 
@@ -111,9 +97,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         past, path = path, common.work_path(spark, f"stage-{name}")
+        first = len(common.CREATED)
         out = stage(spark, docs, sf_dir)
         out.write.option("compression", "zstd").parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-        if past:
-            common.remove(spark, past)
+        for folder in [*common.CREATED[first:], *[past] * bool(past)]:
+            common.remove(spark, folder)
     return STAGES[-1][1](spark, docs, sf_dir)

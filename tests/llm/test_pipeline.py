@@ -46,3 +46,13 @@ def test_run_and_empty_input(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert token_files.END_ID == 2
+
+
+def test_earlier_results_stay_readable(spark, docs, folder):
+    left = corpus_pipeline.near_duplicates(spark, docs, folder)
+    n = left.count()
+    first = corpus_pipeline.run(spark, folder)
+    tokens = first.count()
+    corpus_pipeline.decontaminate(spark, docs, folder)
+    corpus_pipeline.run(spark, folder)
+    assert left.count() == n and first.count() == tokens
