@@ -142,6 +142,14 @@ def test_jaccard_components(spark, docs, rows, monkeypatch, unit):
     assert multiset(jaccard.join(spark, docs), "doc_id", "n_shingles", "component_id", "n_links") == jaccard_truth(rows)
 
 
+def test_jaccard_counts_links_once_beside_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 30)
+    texts = [" ".join(f"w{k}x{i}" for i in range(70)) for k in range(30)]
+    rows = [(2 * k + j, t + " end" * j) for k, t in enumerate(texts) for j in (0, 1)]
+    got = multiset(jaccard.join(spark, spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_shingles", "component_id", "n_links")
+    assert got == jaccard_truth(rows)
+
+
 def test_jaccard_unit_agrees_with_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(1, 2**60, 40, dtype=np.uint64)

@@ -157,14 +157,14 @@ def _prefixes(buckets: int, percent: int):
 
 
 class Unit:
-    """Sets that are compared with each other; with two sides only pairs across count."""
+    """Sets that are compared with each other; with two sides only pairs across count, also where one side has no sets."""
 
-    def __init__(self, rids, n, prefix, shared, side, weight, percent: int = PERCENT):
+    def __init__(self, rids, n, prefix, shared, side, weight, percent: int = PERCENT, two_sided: bool | None = None):
         order = np.lexsort((rids, n))
         take = lambda x: [x[k] for k in order]
         self.rids, self.n = np.asarray(rids, np.int64)[order], np.asarray(n, np.int64)[order]
         self.side, self.weight = np.asarray(side)[order], np.asarray(weight, np.int64)[order]
-        self.two_sided = len(np.unique(self.side)) > 1
+        self.two_sided = len(np.unique(self.side)) > 1 if two_sided is None else two_sided
         self.percent = percent
         sets = [np.frombuffer(x, words.U) for x in take(shared)]
         self.prefix_size = np.asarray(take(prefix), np.int64)
@@ -268,7 +268,8 @@ EDGE = {"rid": pa.int64(), "root": pa.int64(), "links": pa.int64()}
 def _join_unit(percent: int):
     def run(table: pa.Table) -> pa.Table:
         c = {k: table.column(k).to_pylist() for k in ("rid", "n", "prefix", "shared", "side", "weight")}
-        unit = Unit(c["rid"], c["n"], c["prefix"], c["shared"], c["side"], c["weight"], percent)
+        up, a, b = (table.column(k)[0].as_py() for k in ("up", "a", "b"))
+        unit = Unit(c["rid"], c["n"], c["prefix"], c["shared"], c["side"], c["weight"], percent, up == 1 or a != b)
         unit.join()
         return pa.Table.from_batches([chunks.batch(unit.result(), EDGE)])
 
