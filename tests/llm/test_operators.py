@@ -107,6 +107,24 @@ def test_without_labels_all_is_unknown(spark):
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
 
 
+def test_each_language_is_learned_within_the_bound(spark, monkeypatch):
+    seen = {}
+
+    def train(bucket, offs, label, languages, **more):
+        seen.update(zip(languages, np.bincount(label, minlength=len(languages)).tolist(), strict=True))
+        return langid.Model(languages, np.zeros((langid.BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
+
+    monkeypatch.setattr(langid, "train", train)
+    rows = [(None, f"word{k} " * 5, "nulls") for k in range(200)] + [(k, f"long{k} " * 100_000, "long") for k in range(20)] + [(k, f"text{k} " * 10, "large") for k in range(3000)] + [(None, "same words", "same")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 50)
+    langid.fit(spark, docs, F.lit(True))
+    assert seen["nulls"] == seen["large"] == 50 and 1 <= seen["long"] <= 3 and seen["same"] == 1
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 4)
+    langid.fit(spark, docs, F.lit(True))
+    assert seen == {"nulls": 1, "long": 1, "large": 1, "same": 1}
+
+
 # 3 Jaccard ------------------------------------------------------------------------------------
 
 

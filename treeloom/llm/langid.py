@@ -2,7 +2,7 @@
 
 A text is the average of the embeddings of its subwords, the byte n-grams of lower-cased words with
 a border mark; a softmax over a linear layer gives languages' probabilities. Training is stochastic
-gradient descent in numpy on a bounded sample of labelled texts, drawn by a hash of the id within
+gradient descent in numpy on a bounded sample of labelled texts, drawn by a hash of id and text within
 each language; part of the sample is kept aside to fit a temperature (calibration) and the score
 under which a prediction is rejected.
 
@@ -27,6 +27,8 @@ from . import common, words
 UNKNOWN = "und"
 #: Bound of the training sample: texts per language, and bytes of all languages, which share them evenly.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 6_000_000
+#: Texts per language at least, as far as they exist and fit into its share of bytes; one in any case.
+LEAST_TEXTS = 8
 #: Languages learned at most; the most frequent ones (a bound on the size of the model).
 MAX_LANGUAGES = 400
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 16, (2, 3, 4)
@@ -154,19 +156,55 @@ def _calibrate(model: Model, bucket, offs, label, held, size) -> None:
         model.reject_under = float(min(REJECT_MOST, np.quantile(scores, REJECT_SHARE)))
 
 
+def _chosen(candidates: list, share: float) -> list:
+    """Of one language's candidates (draw, bytes): whole texts in order of draw as they fit into its share of bytes."""
+    taken, size = [], 0
+    for draw, n in candidates:
+        if len(taken) < SAMPLE_TEXTS and size + n <= share:
+            taken.append(draw)
+            size += n
+    if len(taken) < LEAST_TEXTS:  # the shortest ones, so that as many as possible fit
+        taken, size = [], 0
+        for n, draw in sorted((n, draw) for draw, n in candidates):
+            if not taken or len(taken) < LEAST_TEXTS and size + n <= share:
+                taken.append(draw)
+                size += n
+    return taken
+
+
+def draw_sample(spark: SparkSession, rows: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """rows: lang, text, draw (64 bits). The languages, and the sample of each: equal rows once, texts whole.
+
+    Draws under a limit are candidates, about twice as many as needed, and always the least draw of a
+    language. Only their draws and sizes reach the driver, which takes them in order of draw.
+    """
+    have = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not have:
+        return [], None
+    share = SAMPLE_BYTES / len(have)
+    limits = []
+    for r in have:
+        part = min(1.0, max(2 * min(SAMPLE_TEXTS / r.n, share / max(1, r.bytes)), 8 * LEAST_TEXTS / r.n))
+        limits.append((r.lang, max(r.least, min((1 << 63) - 1, int(part * 2.0**64) - (1 << 63)))))
+    limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])
+    near = rows.where(F.col("draw") <= limit[F.col("lang")])
+    candidates: dict[str, list] = {r.lang: [] for r in have}
+    for r in near.groupBy("lang", "draw").agg(F.min(F.octet_length("text")).alias("bytes")).toLocalIterator():
+        candidates[r.lang].append((r.draw, r.bytes))
+    chosen = [(k, draw) for k, v in candidates.items() for draw in _chosen(sorted(v), share)]
+    chosen = F.broadcast(spark.createDataFrame(chosen, "lang string, draw bigint"))
+    return sorted(candidates), near.join(chosen, ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).select("lang", "text", "draw")
+
+
 def fit(spark: SparkSession, docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Learn from rows where `usable` holds; only text and label of a bounded, hash-drawn sample reach the driver, as n-grams."""
     common.prepare(spark)
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1_000_000)).alias("draw")
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id), F.col(text).cast("string"), F.lit(17)).alias("draw")
     )
-    have = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = {r.lang: min(1.0, SAMPLE_TEXTS / r.n, SAMPLE_BYTES / len(have) / max(1, r.bytes)) for r in have}
-    languages = sorted(share)
+    languages, sample = draw_sample(spark, rows)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))])
-    sample = rows.where(F.col("draw") < limit[F.col("lang")]).select("lang", "text", "draw")
 
     def shred(batches):
         for batch in batches:
