@@ -23,7 +23,7 @@ def value(spark):
         (lambda: T.snake_to_camel(F.lit("transaction_id_x2_")), "transactionIdX2_"),
         (lambda: T.camel_to_snake(F.lit("bapId")), "bap_id"),
         (lambda: T.array_minus(F.array(*map(F.lit, "aab")), F.array(F.lit("b"))), ["a", "a"]),
-        (lambda: T.kb_suffix(F.lit("ONDC:RET.1.2.0.search.context.city")), "search.context.city"),
+        (lambda: T.kb_suffix(F.lit("D:RET.1.2.0.search.context.city")), "search.context.city"),
         (lambda: T.kb_suffix(F.lit("D.1.2")), None),
         (lambda: T.jsonpath_segments(F.lit("$.message.items[0].id")), ["message", "items", "id"]),
         (lambda: T.pointer_segments(F.lit("#/paths/~1search/post")), ["paths", "/search", "post"]),

@@ -342,7 +342,7 @@ def identifier_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(T.identifiers(F.col("html"))).cast("long").alias("n_identifiers"))
 
 
-@query(r"""SELECT p_partkey, lower(regexp_replace(p_name, '([A-Z])', '_\1', 'g')) AS snake, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS slug,
+@query(r"""SELECT p_partkey, lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS slug,
 replace(replace(p_name || '|' || p_type, '|', '\|'), chr(10), ' ') AS cell, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '…' ELSE p_name END AS short,
 p_name AS round_trip, substr(sha256(p_name), 1, 16) AS print FROM part""")
 def case_variants(spark, d):
@@ -430,3 +430,6 @@ def usage_pick(spark, d):
     m = P.mode_first_seen(table(spark, d, "events"), ["event_type"], "props", "event_id")
     leaf = F.lit(True)
     return m.select("event_type", R.usage_of(leaf, F.col("most_common"), F.array().cast("array<string>")).alias("usage"), R.owner_of(F.col("event_type")).alias("owner"), R.type_of(F.lit(False), leaf, F.col("most_common"), F.lit("string")).alias("type"))
+
+
+from . import catalogue_builds, catalogue_evidence  # noqa: E402, F401  they register their queries here

@@ -145,12 +145,13 @@ def scan(src: str) -> list[tuple]:
     return out
 
 
-@udtf(returnType="path: array<string>, role: string, gate: string, session_key: string, line: int")
+@udtf(returnType="path: array<string>, role: string, gate: string, session_key: string, line: int, place: int")
 class AccessRecords:
-    """SQL table function: a row per property access in a source."""
+    """SQL table function: a row per property access in a source; `place` numbers them in its order."""
 
     def eval(self, src: str):
-        yield from scan(src)
+        for place, record in enumerate(scan(src)):
+            yield (*record, place)
 
 
 def register(spark) -> None:

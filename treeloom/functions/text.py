@@ -45,12 +45,18 @@ def snake_to_camel(name: Column) -> Column:
 
 
 def camel_to_snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"([A-Z])", "_$1"))
+    """An underscore between a lower-case letter or digit and a capital; runs of capitals stay together."""
+    return F.lower(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"))
 
 
 def case_variants(name: Column) -> Column:
-    """The name and its camel and snake forms, without repeats."""
-    return F.array_distinct(F.array(name, snake_to_camel(name), camel_to_snake(name)))
+    """The name and its snake and camel forms, without repeats."""
+    return F.array_distinct(F.array(name, camel_to_snake(name), snake_to_camel(name)))
+
+
+def path_variants(path: Column) -> Column:
+    """The path and its snake and camel forms, without repeats."""
+    return F.array_distinct(F.array(path, F.transform(path, lambda s: camel_to_snake(s)), F.transform(path, lambda s: snake_to_camel(s))))
 
 
 def safe_name(text: Column) -> Column:
@@ -131,15 +137,33 @@ def suffixes(path: Column) -> Column:
 
 
 def match_tails(path: Column, tail: int = 3) -> Column:
-    """What an access chain may end with to refer to a path: all of it, or its last three segments if it is longer."""
-    return F.array_distinct(F.when(F.size(path) > tail, F.array(path, F.slice(path, -tail, tail))).otherwise(F.array(path)))
+    """What an access chain may end with to refer to a path, in any of its case forms: all of it, or its last three segments if it has as many."""
+    whole_and_tail = lambda v: F.when(F.size(v) >= tail, F.array(v, F.slice(v, -tail, tail))).otherwise(F.array(v))
+    return F.array_distinct(F.flatten(F.transform(path_variants(path), whole_and_tail)))
 
 
 def presence_tokens(path: Column, least: int = 3) -> Column:
-    """Strings whose presence in a source suggests use of a path: its last segment, last two, last three, and case forms."""
-    tails = F.array(F.try_element_at(path, F.lit(-1)), F.when(F.size(path) >= 2, F.array_join(F.slice(path, -2, 2), ".")), F.when(F.size(path) >= 3, F.array_join(F.slice(path, -3, 3), ".")))
-    forms = F.flatten(F.transform(F.array_compact(tails), lambda t: case_variants(t)))
-    return F.filter(F.array_distinct(forms), lambda t: F.length(t) >= least)
+    """Strings whose presence in a source suggests use of a path: its last segment, last two and last three, and case forms of the last and the last two."""
+    end = lambda n: F.slice(path, -F.least(F.size(path), F.lit(n)), n)
+    dotted = lambda segments: F.array_join(segments, ".")
+    last = F.element_at(path, -1)
+    two = F.split(dotted(end(2)), r"\.")
+    forms = F.array(
+        last, dotted(end(2)), dotted(end(3)), snake_to_camel(last), camel_to_snake(last),
+        dotted(F.transform(two, lambda s: snake_to_camel(s))), dotted(F.transform(two, lambda s: camel_to_snake(s))),
+    )
+    return F.when(F.size(path) > 0, F.filter(F.array_distinct(forms), lambda t: F.length(t) >= least)).otherwise(F.array().cast("array<string>"))
+
+
+def comment_mention(comment: Column, path: Column) -> Column:
+    """The form of a path that a comment mentions, all of it or its last two segments, tried form by form; null without a mention."""
+    names = F.flatten(F.transform(path_variants(drop_indices(path)), lambda v: F.array(F.array_join(v, "."), F.when(F.size(v) >= 2, F.array_join(F.slice(v, -2, 2), ".")))))
+    return F.get(F.filter(F.array_compact(names), lambda t: F.contains(comment, t)), F.lit(0))
+
+
+def parse_time(text: Column) -> Column:
+    """A timestamp of an ISO 8601 text; null where it is none."""
+    return F.when(text.rlike(ISO_8601), F.try_to_timestamp(text))
 
 
 def pointer_segments(pointer: Column) -> Column:

@@ -47,10 +47,15 @@ def member_diff(rows: DataFrame, keys: list[str], before: str, after: str) -> Da
 
 
 def cap_sections(entries: DataFrame, by: list[str], order: list, cap: int = SECTION_CAP) -> DataFrame:
-    """The first entries of each section with total_changes, truncated and truncated_count."""
-    w = Window.partitionBy(*by)
-    rows = entries.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("total_changes", F.count(F.lit(1)).over(w))
-    return rows.withColumns({"truncated": F.col("total_changes") > cap, "truncated_count": F.greatest(F.col("total_changes") - cap, F.lit(0))}).where(F.col("rank") <= cap)
+    """The first entries of each section with total_changes, truncated and truncated_count.
+
+    Each task keeps the first entries of a section before the shuffle (a rank that is filtered alone is
+    pushed down as a group limit); the totals are a partial aggregation of their own and one row per section.
+    """
+    first = entries.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= cap)
+    totals = entries.groupBy(*[F.col(c).alias(f"{c}__t") for c in by]).agg(F.count(F.lit(1)).alias("total_changes"))
+    rows = first.join(totals, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}__t")) for c in by])).drop(*[f"{c}__t" for c in by])
+    return rows.withColumns({"truncated": F.col("total_changes") > cap, "truncated_count": F.greatest(F.col("total_changes") - cap, F.lit(0))})
 
 
 def summary(entries: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from ..functions import text as T
 #: Kinds of references in the order in which they are preferred; references and session reads kept per path. Fixed values.
 KINDS = ("generate", "validate", "requirements", "comment", "alias")
 TOP_REFS, TOP_READS = 8, 4
+#: References that a step gives a path at most, by kind. Fixed values.
+STEP_CAPS = {"generate": 4, "validate": 4, "requirements": 2, "comment": 2}
 
 
 def suffix_join(paths: DataFrame, path: str, chains: DataFrame, chain: str) -> DataFrame:
@@ -22,6 +24,20 @@ def suffix_join(paths: DataFrame, path: str, chains: DataFrame, chain: str) -> D
     return keyed.join(ends, "_k").drop("_k").distinct()
 
 
+def persisted_join(paths: DataFrame, path: str, saved: DataFrame, jsonpath: str) -> DataFrame:
+    """Saved JSONPaths that end at a path or at its last three segments, in any of its case forms."""
+    ends = saved.withColumn("_k", F.explode(T.suffixes(T.jsonpath_segments(F.col(jsonpath)))))
+    keyed = paths.withColumn("_k", F.explode(T.match_tails(T.drop_indices(F.col(path)))))
+    return keyed.join(ends, "_k").drop("_k").distinct()
+
+
+def inherited_join(paths: DataFrame, path: str, saved: DataFrame, jsonpath: str, direct: DataFrame, same: list[str]) -> DataFrame:
+    """Saved JSONPaths of ancestors of a path, but for those whose key the path has directly: `same` names the columns that must agree."""
+    rows = saved.withColumn("_s", T.jsonpath_segments(F.col(jsonpath)))
+    found = ancestor_join(paths.withColumn("_p", T.drop_indices(F.col(path))), "_p", rows, "_s").drop("_p", "_s")
+    return found.join(direct.select(*same).distinct(), same, "left_anti")
+
+
 def ancestor_join(paths: DataFrame, path: str, saved: DataFrame, saved_path: str) -> DataFrame:
     """Saved paths that are a proper beginning of a path."""
     keyed = paths.withColumn("_k", F.explode(T.proper_prefixes(F.col(path))))
@@ -34,6 +50,29 @@ def producer_join(reads: DataFrame, key: str, path: str, producers: DataFrame, p
     return hit.withColumn("_n", F.row_number().over(Window.partitionBy(path).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
 
 
+def session_reads(reads: DataFrame, key: str, chain: str, paths: DataFrame, path: str, path_id: list[str], producers: DataFrame, producer_key: str, producer_path: str, order: list, cap: int = TOP_READS) -> DataFrame:
+    """Reads of the session that concern a path, the first few per path, with their producers.
+
+    A read of a key that some step saves concerns the paths which that step's path is or is an ancestor
+    of; a read of a key that no step saves concerns those that its chain refers to.
+    """
+    made = producers.select(F.col(producer_key).alias("_pk"), *[c for c in producers.columns if c != producer_key])
+    keyed = paths.withColumn("_at", F.explode(F.concat(F.array(F.col(path)), T.proper_prefixes(F.col(path)))))
+    near = made.join(keyed, F.col(producer_path) == F.col("_at")).drop("_at")
+    known = reads.join(near, reads[key] == F.col("_pk")).drop("_pk")
+    lost = reads.join(made.select("_pk").distinct(), reads[key] == F.col("_pk"), "left_anti")
+    open_ = suffix_join(paths, path, lost, chain)
+    rows = known.unionByName(open_, allowMissingColumns=True)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*path_id).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+
+
+def capped_refs(refs: DataFrame, keys: list[str], step: list[str], kind: str, order: list, caps: dict | None = None) -> DataFrame:
+    """References with at most so many of a kind from one step for one key; a kind without a cap keeps all."""
+    most = F.coalesce(F.create_map(*[F.lit(x) for kv in (caps or STEP_CAPS).items() for x in kv])[F.col(kind)], F.lit(1 << 30))
+    rows = refs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *step, kind).orderBy(*order)))
+    return rows.where(F.col("_n") <= most).drop("_n")
+
+
 def diverse_top(refs: DataFrame, keys: list[str], kind: str, order: list, kinds: tuple = KINDS, most: int = TOP_REFS) -> DataFrame:
     """The first of each kind, then more in the order of kinds, up to `most` per key."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind)), F.lit(len(kinds) + 1))
@@ -61,6 +100,25 @@ def signature_groups(rows: DataFrame, signed: list[str], ord_: str) -> DataFrame
     return rows.join(groups, "signature")
 
 
+def attribute_groups(bundles: DataFrame, ord_: str) -> DataFrame:
+    """Bundles that may share a draft: equal shape and equal kinds of evidence.
+
+    bundles: path_key, value_type, is_leaf, schema (JSON or null), enum_codes and tag_codes (arrays in order),
+    ref_kinds and jsonpaths (arrays). The shape's signature takes codes in order; the evidence's fingerprint takes
+    the distinct kinds of references and the last two segments of saved paths, sorted.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    tails = F.array_sort(F.array_distinct(F.transform(none("jsonpaths"), lambda p: F.array_join(F.slice(F.split(p, r"\."), -F.least(F.size(F.split(p, r"\.")), F.lit(2)), 2), "."))))
+    keep = {"ignoreNullFields": "false"}
+    shape = F.struct("path_key", "value_type", "is_leaf", "schema", none("enum_codes").alias("enums"), none("tag_codes").alias("tags"))
+    rows = bundles.withColumns({
+        "signature": T.fingerprint(F.to_json(shape, keep)),
+        "evidence": T.fingerprint(F.to_json(F.struct(F.array_sort(F.array_distinct(none("ref_kinds"))).alias("kinds"), tails.alias("tails")), keep)),
+    })
+    groups = rows.groupBy("signature", "evidence").agg(F.min(ord_).alias("representative"), F.count(F.lit(1)).alias("members"))
+    return rows.join(groups, ["signature", "evidence"])
+
+
 def savings(groups: DataFrame) -> DataFrame:
     """Rows, groups and the share of rows that need no draft of their own, in per cent."""
     total, own = F.count(F.lit(1)), F.count_distinct("signature")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cut import written
 
 #: A dictionary of names is compared by broadcast up to so many rows.
 DICTIONARY_ROWS = 10_000
@@ -75,17 +78,19 @@ def kb_lookup(rows: DataFrame, suffix: str, kb: DataFrame) -> DataFrame:
     return rows.join(known, rows[suffix] == known["_s"], "left").drop("_s")
 
 
-def resolve_refs(edges: DataFrame, start: str = "src", ref: str = "dst", most: int = 50) -> DataFrame:
-    """Reference chains: for each source every target reached, with its distance. Cycles end at the level bound.
+def resolve_refs(edges: DataFrame, start: str = "src", ref: str = "dst") -> DataFrame:
+    """Reference chains: root, node, hops for each source and every target reached, with its least distance.
 
-    LIMIT ALL lifts the recursion's row limit (spark.sql.cteRecursionRowLimit); it doesn't reach through
-    an aggregation, so it stands right above the recursion.
+    Breadth first: a round follows the edges of what the last one reached and drops what is known, so a
+    pair is followed once however many ways lead to it, cycles end by themselves, and there is no limit of
+    levels or rows. A root is no target of its own, but for an edge to itself. Null ends are no edges.
     """
-    spark = edges.sparkSession
-    edges.select(F.col(start).alias("s"), F.col(ref).alias("d")).distinct().createOrReplaceTempView("treeloom_refs")
-    return spark.sql(f"""
-        WITH RECURSIVE r(root, node, hops, seen) MAX RECURSION LEVEL {most} AS (
-          SELECT s, d, 1, array(s, d) FROM treeloom_refs
-          UNION ALL
-          SELECT r.root, e.d, r.hops + 1, array_append(r.seen, e.d) FROM r JOIN treeloom_refs e ON e.s = r.node WHERE NOT array_contains(r.seen, e.d))
-        SELECT root, node, min(hops) AS hops FROM (SELECT root, node, hops FROM r LIMIT ALL) GROUP BY root, node""")
+    e = written(edges.select(F.col(start).alias("s"), F.col(ref).alias("d")).where("s is not null and d is not null").distinct(), "ref-edges")
+    rounds = [e.select(F.col("s").alias("root"), F.col("d").alias("node"), F.lit(1).alias("hops"))]
+    while True:
+        known = reduce(DataFrame.unionByName, rounds)
+        step = rounds[-1].join(e, F.col("node") == F.col("s")).select("root", F.col("d").alias("node")).where("root <> node").distinct()
+        step = written(step.join(known, ["root", "node"], "left_anti").withColumn("hops", F.lit(len(rounds) + 1)), "ref-round")
+        if step.isEmpty():
+            return known
+        rounds.append(step)

@@ -62,9 +62,16 @@ def latest_group(df: DataFrame, group: str, when: str, ord_: str) -> DataFrame:
 
 
 def prior_values(df: DataFrame, group: str, ord_: str, values: Column) -> DataFrame:
-    """Distinct values of the rows before each row of its group, in order."""
+    """Distinct values of the rows before each row of its group, in order of their first sighting.
+
+    Values are reduced to their first row first, so that the running list never holds one twice; what
+    is left grows only as the result does. `ord_` orders the rows of a group without ties.
+    """
+    seen = df.select(F.col(group).alias("g"), F.col(ord_).alias("o"), F.posexplode(values).alias("p", "v"))
+    first = seen.groupBy("g", "v").agg(F.min(F.struct("o", "p")).alias("at")).groupBy("g", F.col("at.o").alias("o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at.p", "v"))), lambda r: r["v"]).alias("new"))
     w = Window.partitionBy(group).orderBy(ord_).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("prior", F.array_distinct(F.flatten(F.collect_list(values).over(w))))
+    joined = df.join(first, F.col(group).eqNullSafe(F.col("g")) & (F.col(ord_) == F.col("o")), "left")
+    return joined.withColumn("prior", F.flatten(F.collect_list("new").over(w))).select(*df.columns, "prior")
 
 
 def observations(payloads: DataFrame, ids: list[str], json: str) -> DataFrame:

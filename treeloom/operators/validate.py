@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import builds as B
@@ -50,9 +50,32 @@ def schema_violations(builds: DataFrame) -> DataFrame:
     return top.unionByName(flow.select("build", F.explode(F.array_compact(need)).alias("v")).select("build", "v.path", "v.message"))
 
 
+def flow_config_problems(builds: DataFrame, usable: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Flows whose configuration can't run, one violation each, with the flow's place, id and use case in the path.
+
+    `usable` gives the message for a configuration as JSON text, or null where it is fine. The runner's own rules aren't
+    part of this engine; by default a configuration must be an object with an array of steps that each name their api.
+    """
+    flow = B.flows(builds)
+    message = (usable or _config_message)(F.col("config"))
+    where = F.format_string('x-flows[%d] (id: "%s", usecase: "%s")', "ord", F.coalesce("id", F.lit("")), F.coalesce("usecase", F.lit("")))
+    return flow.select("build", where.alias("path"), message.alias("message")).where("message is not null")
+
+
+def _config_message(config: Column) -> Column:
+    kind = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit(""))
+    steps = F.get_json_object(config, "$.steps")
+    nameless = F.array_position(F.transform(B.members(steps), lambda s: F.coalesce(F.trim(F.get_json_object(s, "$.api")), F.lit("")) == ""), True)
+    return (
+        F.when(~kind(config).startswith("OBJECT"), "config must be an object").when(~kind(steps).startswith("ARRAY"), "config.steps must be an array")
+        .when(nameless > 0, F.concat(F.lit("config.steps["), (nameless - 1).cast("string"), F.lit("].api is missing")))
+    )
+
+
 CHECKS = [
     Check("schema", "required keys and shapes", schema_violations),
     Check("usecases", "use cases of flows and attributes are declared", undeclared_usecases),
+    Check("flow-configs", "configurations of flows can run", flow_config_problems),
 ]
 
 

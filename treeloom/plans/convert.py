@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 from ..operators import diff as D
 from ..operators import match as M
+from ..operators.cut import written
 from . import builds as B
 
 #: What a leaf without a text gets. Fixed values.
@@ -53,6 +55,52 @@ def convert_attributes(docs: DataFrame, kb: DataFrame | None = None) -> DataFram
     return rows.select("build", "path", convert_leaf(F.col("leaf"), F.col("enums"), F.col("tags"), F.col("kb_info")).alias("leaf"))
 
 
+def build_trees(leaves: DataFrame, kb: DataFrame | None = None) -> DataFrame:
+    """build, tree: the nested document of converted leaves (build, path, leaf JSON), each under its `_description`.
+
+    Every container gets a description of type object where it has none, from the knowledge base by its path if that
+    knows it. Trees fold level by level from the deepest one up, one aggregation a level, keys in order of text.
+    """
+    rows = leaves.where(F.size("path") > 0)
+    deepest = rows.agg(F.max(F.size("path"))).first()[0] or 0
+    own = rows.select("build", "path", F.col("leaf").alias("own"))
+    # What lies above a leaf is a container, also if no leaf describes it.
+    above = rows.select("build", F.explode(T.proper_prefixes(F.col("path"))).alias("path")).distinct()
+    nodes = above.withColumn("inner", F.lit(True)).join(own, ["build", "path"], "full_outer")
+    suffix = F.array_join("path", ".")
+    nodes = M.kb_lookup(nodes.withColumn("suffix", suffix), "suffix", kb).drop("suffix") if kb is not None else nodes.withColumn("kb_info", F.lit(None).cast("string"))
+    made = F.to_json(F.struct(F.lit(False).alias("required"), F.lit(NO_USAGE).alias("usage"), F.coalesce("kb_info", F.lit(NO_INFO)).alias("info"), F.lit(OWNER).alias("owner"), F.lit("object").alias("type")))
+    nodes = written(nodes.select("build", "path", F.coalesce("own", made).alias("own")), "tree-nodes")
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[([\s\S]*)\]$", 1)
+    folded = None
+    for level in range(deepest, -1, -1):
+        here = nodes.where(F.size("path") == level)
+        if level == 0:
+            here = nodes.select("build").distinct().select("build", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("own"))
+        if folded is not None:
+            here = here.join(folded, ["build", "path"], "left")
+        else:
+            here = here.withColumn("inside", F.lit(None).cast("string"))
+        text = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"_description":'), F.col("own")), F.col("inside")), F.lit("}"))
+        here = here.select("build", "path", text.alias("json"))
+        if level == 0:
+            return here.select("build", F.col("json").alias("tree"))
+        key = F.element_at("path", -1)
+        folded = here.select("build", F.slice("path", F.lit(1), F.lit(level - 1)).alias("path"), F.struct(key.alias("key"), F.concat(quoted(key), F.lit(":"), F.col("json")).alias("text")).alias("child"))
+        folded = folded.groupBy("build", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("child")), lambda c: c["text"]), ",").alias("inside"))
+
+
+def convert_build(docs: DataFrame, kb: DataFrame | None = None, use_case: str = "default") -> DataFrame:
+    """build, doc: whole builds with their attributes in the new form; enum and tag trees are gone into the leaves, all other sections stay."""
+    trees = build_trees(convert_attributes(docs, kb), kb)
+    sets = F.concat(F.lit('[{"meta":{"use_case_id":"' + use_case + '"},"attribute_set":'), F.col("tree"), F.lit("}]"))
+    rows = docs.join(trees, "build", "left")
+    kept = F.map_filter(F.from_json("doc", "map<string,variant>"), lambda k, _: ~k.isin("x-attributes", "x-enum", "x-tags"))
+    member = lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"^\[([\s\S]*)\]$", 1), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null")))
+    parts = F.concat(F.transform(F.map_entries(kept), member), F.when(F.col("tree").isNotNull(), F.array(F.concat(F.lit('"x-attributes":'), sets))).otherwise(F.array().cast("array<string>")))
+    return rows.select("build", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("doc"))
+
+
 def convert_flows(steps: DataFrame, payloads: DataFrame) -> DataFrame:
     """Each step takes the next unused payload of its action, latest first. steps: flow_id, step_index, action; payloads: flow_id, action, at, payload."""
     return M.kth_occurrence(steps, payloads, ["flow_id", "action"], ["step_index"], [F.col("at").desc_nulls_last()], ["payload"])
