@@ -47,16 +47,21 @@ def test_word_kernel_follows_the_pattern():
 
 def test_fm_index_counts_and_matching_statistics():
     rng = np.random.default_rng(1)
-    text = rng.integers(1, 5, 400)
-    text[[100, 250, 399]] = 0
+    text = rng.integers(1, 5, 160)
+    text[[50, 101, 159]] = 0
     index = FMIndex(text, 5, 8)
     naive = lambda p: [i for i in range(len(text) - len(p) + 1) if list(text[i : i + len(p)]) == list(p)]
-    ends = np.array([e for e in range(8, 400) if 0 not in text[e - 8 : e]])
+    ends = np.array([e for e in range(8, 160) if 0 not in text[e - 8 : e]])
     length, low, high = index.matching_statistics(text, ends, 8)
     assert (length == 8).all() and all(z - a == len(naive(text[e - 8 : e])) for e, a, z in zip(ends, low, high))
-    which, low, high = index.repeated(text, ends, 8)
-    assert list(ends[which]) == [e for e in ends if len(naive(text[e - 8 : e])) > 1]
-    assert list(index.first_occurrence(low, high)) == [naive(text[ends[w] - 8 : ends[w]])[0] for w in which]
+    for least, built in ((1, 1), (2, 1), (2, 2), (3, 2)):
+        index = FMIndex(text, 5, 8, built)
+        every = np.arange(1, 161)
+        length, low, high = index.matching_statistics(text, every, 8, least)
+        for e, n, a, z in zip(every, length, low, high):
+            longest = max((k for k in range(1, min(8, e) + 1) if 0 not in text[e - k : e] and len(naive(text[e - k : e])) >= least), default=0)
+            assert n == longest and (n == 0 or z - a == len(naive(text[e - n : e])))
+    assert not index.matching_statistics(np.array([7, 9, 7]), np.array([1, 2, 3]), 8)[0].any()
 
 
 # 1 WARC ---------------------------------------------------------------------------------------
@@ -407,6 +412,48 @@ def test_probabilities_sum_to_one():
     assert sum(sizes.base(np.array([7, 4, 1, 0]))) == pytest.approx(1.0)
 
 
+def test_exchange_over_several_steps(spark, monkeypatch):
+    """Sums are exact at any number of steps, and rows sent stay linear in the chunks."""
+    monkeypatch.setattr(chunks, "FAN", 4)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i) % 90}" for i in range(60)) + " the" * 40) for k in range(60)], "doc_id bigint, text string").repartition(6)
+    packed = chunks.pack(spark, docs, chunk_bytes=900).cache()
+    n = packed.count()
+    assert n > 20
+
+    def keys_of(row):
+        _, _, data, offs = chunks.rows_of(row)
+        for kind, lower in ((1, True), (2, False)):
+            yield kind, *np.unique(words.split(data, offs, lower=lower).hashes, return_counts=True)
+
+    truth, own = collections.Counter(), {}
+    for r in packed.collect():
+        for kind, keys, counts in keys_of(r.asDict()):
+            own[r.chunk, kind] = keys
+            truth.update({(kind, int(k)): int(c) for k, c in zip(keys, counts)})
+    for buckets, steps in ((3, 1), (16, 2), (40, 3)):
+        assert chunks._steps(buckets)[1] == steps
+        made = len(common.CREATED)
+        sums, last = chunks.exchange(spark, packed, keys_of, buckets)
+        got = collections.defaultdict(list)
+        for r in sums.collect():
+            got[r.sender].append(r.asDict())
+        for (chunk, kind), keys in own.items():
+            assert chunks.sums_of(got[chunk], kind).tolist() == [truth[kind, int(k)] for k in keys]
+        told = {r.kind: (r.n, r.t) for r in last.groupBy("kind").agg(F.sum("types").alias("n"), F.sum("total").alias("t")).collect()}
+        assert told == {kind: (sum(k == kind for k, _ in truth), sum(c for (k, _), c in truth.items() if k == kind)) for kind in (1, 2)}
+        for path in common.CREATED[made:]:
+            if "asked" in path:
+                asked = spark.read.parquet(path)
+                assert asked.count() <= 2 * 4 * n and asked.groupBy("kind", "slot", "group").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_packed_numbers():
+    for a in ([], [0, 0], [1, 255, 256, 3], [2**64 - 1, 0, 7], [2**33]):
+        a = np.array(a, np.uint64)
+        assert common.unpack_numbers(common.pack_numbers(a)).tolist() == a.tolist()
+        assert common.unpack_sorted(common.pack_sorted(np.sort(a))).tolist() == sorted(a.tolist())
+
+
 def test_chunks_bound_texts_and_keep_order(spark):
     rows = spark.createDataFrame([(k, "w" * (k % 50) * 10) for k in range(300)], "doc_id bigint, text string").coalesce(2)
     packed = chunks.pack(spark, rows, chunk_bytes=4000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -9,23 +10,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch sent to Python: whole texts can be long, so batches stay short.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to Python: whole texts can be long, so batches are closed at either bound.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the size of the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the size of the Arrow batches that carry whole texts, where the session has a larger bound."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc's; other C libraries have none and need none
+except (AttributeError, OSError, TypeError):
+    _trim = None
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is spark.checkpoint.dir of the session. Where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    It is spark.checkpoint.dir of the session. Where that is unset, a local master (tests on one
+    machine) gets a temporary folder; on a cluster there is no such folder to choose.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="treeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -93,5 +113,40 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b"", kind)
 
 
+def pack_numbers(a: np.ndarray) -> bytes:
+    """Numbers from 0 on as bytes: only as many bytes of each as the largest needs, equal bytes of all side by side, compressed."""
+    a = np.ascontiguousarray(a, np.uint64)
+    width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+    head = len(a).to_bytes(7, "little") + bytes([width])
+    if not width:
+        return head
+    return head + pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:7], "little"), data[7]
+    out = np.zeros((n, 8), np.uint8)
+    if width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return pack_numbers(np.diff(a, prepend=np.zeros(1, np.uint64)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data), dtype=np.uint64)
+
+
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()

@@ -1,8 +1,10 @@
 """A compressed full-text index over word codes: Burrows-Wheeler transform in a wavelet matrix.
 
-The transform is sorted to a bounded depth, which is enough for patterns up to that many words: the
-suffixes that begin with a pattern are contiguous, and a step to the left counts suffixes that
-compare smaller within the depth. Searches of many patterns go on side by side in arrays.
+The index is the wavelet matrix, the symbols' counts and a table of the intervals of short patterns to begin
+searches with; neither the text nor a suffix array is kept. The transform is sorted to a bounded
+depth, which is enough for patterns up to that many words: the suffixes that begin with a pattern
+are contiguous, and a step to the left counts suffixes that compare smaller within the depth.
+Matching statistics of many ends go on side by side in arrays.
 """
 
 from __future__ import annotations
@@ -42,74 +44,97 @@ class WaveletMatrix:
 class FMIndex:
     """Index of a sequence of word codes 1, 2, ...; 0 separates texts and is part of no pattern."""
 
-    def __init__(self, text: np.ndarray, symbols: int, depth: int):
-        self.depth = depth
-        self.suffixes = sort_suffixes(text, depth)
-        before = text[self.suffixes - 1] if len(text) else text
+    def __init__(self, text: np.ndarray, symbols: int, depth: int, least: int = 1):
+        self.depth, self.size, self.least = depth, len(text), least
+        self.bits = max(1, int(symbols - 1).bit_length())
+        #: Words of the patterns in the table.
+        self.head = max(1, min(depth, 62 // self.bits, 3))
+        codes = self._codes(text)
+        suffixes = sort_suffixes(text, depth, codes, self.head)
+        heads = codes[suffixes]
+        before = text[suffixes - 1] if len(text) else text
+        del suffixes
         self.tree = WaveletMatrix(before, symbols)
         count = np.bincount(text, minlength=symbols)
         first = np.cumsum(count) - count
-        every = np.arange(symbols)
         #: The first suffix of each symbol, less its place in the tree.
-        self.shift = first - self.tree.place(every, np.zeros(symbols, np.int64))
-        self.size = len(text)
+        self.shift = first - self.tree.place(np.arange(symbols), np.zeros(symbols, np.int64))
+        new = np.flatnonzero(np.diff(heads, prepend=-1)) if len(heads) else np.zeros(0, np.int64)
+        stop = np.append(new, len(heads))[1:]
+        often = stop - new >= least
+        #: Short patterns with at least `least` occurrences, and their intervals.
+        self.heads, self.head_low, self.head_high = heads[new[often]], new[often].astype(np.uint32), stop[often].astype(np.uint32)
+
+    def _codes(self, text: np.ndarray) -> np.ndarray:
+        """The next `head` symbols of each place as one number; 0 stands for what is beyond the end."""
+        out = text.astype(np.int64)
+        for k in range(1, self.head):
+            out <<= self.bits
+            if k < len(text):
+                out[:-k] |= text[k:]
+        return out
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of patterns to intervals of the patterns with a symbol before them."""
         return self.shift[symbol] + self.tree.place(symbol, low), self.shift[symbol] + self.tree.place(symbol, high)
 
-    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end (exclusive) in `text`: length of the longest match that ends there, up to `longest`, and its interval.
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, longest: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end (exclusive) in a streamed text: length of the longest match that ends there, up to `longest`, and its interval.
 
-        The text must have no symbol outside the index but 0, at which matches stop. Patterns with a
-        single occurrence go on only where the caller needs the length; see repeated().
+        A match is a run without 0 that occurs in the index at least `least` times; a streamed text that
+        is indexed itself asks for 2 to learn what it shares with others. A symbol outside the index
+        matches nothing. Ends whose match can't go on are left out of further steps.
         """
+        longest = min(longest, self.depth)
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         length, active = np.zeros(len(ends), np.int64), np.arange(len(ends))
-        for k in range(1, min(longest, self.depth) + 1):
+        done = 0
+        if longest >= self.head > 1 and least >= self.least and len(self.heads):
+            # Matches of at least `head` words begin from the table; the others are found step by step.
+            at = ends - self.head
+            codes = self._codes(text)
+            known = np.minimum(np.searchsorted(self.heads, codes[np.maximum(at, 0)]), len(self.heads) - 1)
+            good = (at >= 0) & (self.heads[known] == codes[np.maximum(at, 0)])
+            for k in range(self.head):
+                symbol = text[np.maximum(at, 0) + k]
+                good &= (symbol > 0) & (symbol < len(self.shift))
+            a, z = self.head_low[known].astype(np.int64), self.head_high[known].astype(np.int64)
+            good &= z - a >= least
+            low[good], high[good], length[good] = a[good], z[good], self.head
+            active, rest = np.flatnonzero(good), np.flatnonzero(~good)
+            if len(rest):
+                length[rest], low[rest], high[rest] = self._grown(text, ends[rest], np.arange(len(rest)), low[rest], high[rest], length[rest], 1, self.head - 1, least)
+            done = self.head
+        return self._grown(text, ends, active, low, high, length, done + 1, longest, least)
+
+    def _grown(self, text, ends, active, low, high, length, first: int, last: int, least: int):
+        for k in range(first, last + 1):
             at = ends[active] - k
-            active, at = active[at >= 0], at[at >= 0]
-            symbol = text[at]
-            active, symbol = active[symbol > 0], symbol[symbol > 0]
+            symbol = np.where(at >= 0, text[np.maximum(at, 0)], 0)
+            on = (symbol > 0) & (symbol < len(self.shift))
+            active, symbol = active[on], symbol[on]
             if not len(active):
                 break
             a, z = self.step(symbol, low[active], high[active])
-            found = z > a
+            found = z - a >= least
             active = active[found]
             low[active], high[active], length[active] = a[found], z[found], k
         return length, low, high
 
-    def repeated(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the ends whose last `length` symbols occur at least twice: their numbers and intervals."""
-        active = np.arange(len(ends))
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
-        for k in range(1, length + 1):
-            low, high = self.step(text[ends[active] - k], low, high)
-            more = high - low > 1
-            active, low, high = active[more], low[more], high[more]
-        return active, low, high
-
-    def first_occurrence(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Smallest text position in each interval; intervals are equal or apart."""
-        own, at = np.unique(low, return_index=True)
-        if not len(own):
-            return low
-        bounds = np.column_stack([own, high[at]]).ravel()
-        last = bounds[-1] >= len(self.suffixes)
-        least = np.minimum.reduceat(self.suffixes, bounds[:-1] if last else bounds)[::2]
-        return least[np.searchsorted(own, low)]
-
-
-def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix positions, sorted by their first `depth` symbols; ties by position."""
+
+def sort_suffixes(text: np.ndarray, depth: int, codes: np.ndarray | None = None, width: int = 1) -> np.ndarray:
+    """Suffix positions, sorted by their first `depth` symbols, ties by position; `codes` stand for the first `width` symbols."""
     n = len(text)
-    rank, known = text.astype(np.int64), 1
+    _, rank = np.unique(text if codes is None else codes, return_inverse=True)
+    known = width
     while known < depth:
         step = min(known, depth - known)
+        known += step
         other = np.zeros(n, np.int64)
         if step < n:
             other[: n - step] = rank[step:] + 1
-        key = rank * (other.max(initial=0) + 1) + other
+        key = rank * (int(other.max(initial=0)) + 1) + other
+        if known >= depth:
+            return np.argsort(key, kind="stable")
         _, rank = np.unique(key, return_inverse=True)
-        known += step
     return np.argsort(rank, kind="stable")

@@ -83,45 +83,22 @@ def _infos(batches):
             yield chunks.batch({"rid": (chunk << chunks.ROW_BITS) + np.arange(len(ids)), "doc_id": ids, "n": n, "f1": sums[0], "f2": sums[1]}, INFO)
 
 
-def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys for frequencies: the bucket and 32 bits more."""
-    return chunks.bucket_of(keys, buckets).astype(words.U) << words.U(32) | (keys & words.U(0xFFFFFFFF))
+def _keys_of(buckets: int):
+    """Shortened shingles of a chunk's sets and the number of sets that have each."""
 
-
-REQUEST = {"bucket": pa.int64(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
-ANSWER = {"chunk": pa.int64(), "bucket": pa.int64(), "data": pa.binary()}
-
-
-def _requests(buckets: int):
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                chunk, _, data, offs = chunks.rows_of(row)
-                keys, counts = np.unique(_short(sets_of(data, offs)[0], buckets), return_counts=True)
-                own = (keys >> words.U(32)).astype(np.int64)
-                at = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
-                runs = list(zip(at[:-1], at[1:], strict=True)) if len(own) else []
-                low, counts = keys.astype(np.uint32), counts.astype(np.uint32)
-                yield chunks.batch({"bucket": [own[a] for a, _ in runs], "chunk": [chunk] * len(runs), "keys": [common.blob(low[a:z]) for a, z in runs], "counts": [common.blob(counts[a:z]) for a, z in runs]}, REQUEST)
+    def run(row: dict):
+        _, _, data, offs = chunks.rows_of(row)
+        yield 1, *np.unique(chunks.short_keys(sets_of(data, offs)[0], buckets)[0], return_counts=True)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-    own, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), minlength=len(own)).astype(np.uint32)
-    replies = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
-    return pa.Table.from_batches([chunks.batch({"chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows], "data": [common.blob(x) for x in replies]}, ANSWER)])
-
-
 #: n is the size of the whole set, prefix the number of leading shingles to index, shared the set's shingles with a frequency over 1 in order.
 SET = {"rid": pa.int64(), "n": pa.int64(), "prefix": pa.list_(pa.int64()), "shared": pa.binary()}
 
 
-def _ddl(schema: dict) -> str:
-    return ", ".join(f"{k} {'array<bigint>' if t == SET['prefix'] else 'binary' if t == pa.binary() else 'bigint'}" for k, t in schema.items())
+#: The kind of the rows that tell a chunk's representatives; they travel with the sums.
+REPRESENTATIVES = -1
 
 
 def _prefixes(buckets: int, percent: int):
@@ -131,14 +108,14 @@ def _prefixes(buckets: int, percent: int):
         for row in own.to_pylist():
             chunk, _, data, offs = chunks.rows_of(row)
             h, at = sets_of(data, offs)
-            short = _short(h, buckets)
+            short = chunks.short_keys(h, buckets)[0]
             keys = np.unique(short)
-            counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["data"], np.uint32) for r in sorted((r for r in found if r["bucket"] >= 0), key=lambda r: r["bucket"])]])
-            assert len(counts) == len(keys), "a reply is missing"
+            counts = chunks.sums_of(found, 1)
+            assert len(counts) == len(keys), "a sum is missing"
             df = counts[np.searchsorted(keys, short)]
             for r in found:
-                if r["bucket"] < 0:
-                    for k in np.frombuffer(r["data"], np.int32):
+                if r["kind"] == REPRESENTATIVES:
+                    for k in common.unpack_numbers(r["counts"]).astype(np.int64):
                         x, f = h[at[k] : at[k + 1]], df[at[k] : at[k + 1]]
                         n = len(x)
                         alone = int((f == 1).sum())
@@ -304,22 +281,22 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
     """doc_id, rid (a number of the row), n_shingles, component_id, n_links (similar other documents) for every row of docs."""
     packed = chunks.pack(spark, docs)
     buckets = chunks.bucket_count(packed)
-    infos = common.materialize(spark, packed.mapInArrow(_infos, _ddl(INFO)), "jaccard-sets")
+    infos = common.materialize(spark, packed.mapInArrow(_infos, chunks.ddl(INFO)), "jaccard-sets")
     classes = infos.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("w_rid"), F.count(F.lit(1)).alias("weight"))
     classes = common.materialize(spark, classes, "jaccard-classes")
     reps = classes.groupBy(F.shiftright("w_rid", chunks.ROW_BITS).alias("chunk")).agg(F.sort_array(F.collect_list((F.col("w_rid") % (1 << chunks.ROW_BITS)).cast("int"))).alias("k"))
-    # A chunk's representatives as bytes, so that they travel with the replies; a chunk has a bounded number of texts.
-    reps = reps.mapInArrow(_flags, _ddl(ANSWER))
-    replies = packed.mapInArrow(_requests(buckets), _ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer, _ddl(ANSWER))
-    answers = replies.unionByName(reps)
-    sets = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_prefixes(buckets, percent), _ddl(SET))
+    # A chunk's representatives travel with the sums; a chunk has a bounded number of texts.
+    reps = reps.mapInArrow(_flags, "kind bigint, slot bigint, sender bigint, counts binary")
+    bits = chunks.short_keys(np.zeros(0, words.U), buckets)[1]
+    sums, _ = chunks.exchange(spark, packed, _keys_of(buckets), buckets, bits, name="jaccard-frequencies")
+    sets = packed.groupBy("chunk").cogroup(sums.unionByName(reps).groupBy("sender")).applyInArrow(_prefixes(buckets, percent), chunks.ddl(SET))
     sets = common.materialize(spark, sets, "jaccard-prefixes")
     postings = sets.select("rid", F.explode("prefix").alias("shingle"))
     firsts = postings.groupBy("shingle").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     stars = postings.join(firsts, "shingle").where("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
     groups = components.connected(spark, stars)
     units = _units(sets, groups, classes.select("w_rid", "weight"), percent)
-    found = units.groupBy("group", "kind", "up", "a", "b").applyInArrow(_join_unit(percent), _ddl(EDGE))
+    found = units.groupBy("group", "kind", "up", "a", "b").applyInArrow(_join_unit(percent), chunks.ddl(EDGE))
     found = common.materialize(spark, found, "jaccard-links")
     roots = components.connected(spark, found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
@@ -336,4 +313,5 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
 def _flags(batches):
     for b in batches:
         n = b.num_rows
-        yield chunks.batch({"chunk": b.column(0).to_pylist(), "bucket": [-1] * n, "data": [common.blob(np.array(k, np.int32)) for k in b.column(1).to_pylist()]}, ANSWER)
+        packed = [common.pack_numbers(np.array(k, np.uint64)) for k in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([REPRESENTATIVES] * n, pa.int64()), pa.array([0] * n, pa.int64()), b.column(0), pa.array(packed, pa.binary())], names=["kind", "slot", "sender", "counts"])

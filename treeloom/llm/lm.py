@@ -62,47 +62,13 @@ class Tokens:
         return np.unique(self.key, return_inverse=True), np.unique(self.pair, return_inverse=True)
 
 
-REQUEST = {"bucket": pa.int64(), "chunk": pa.int64(), "level": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
-REPLY = {"chunk": pa.int64(), "bucket": pa.int64(), "level": pa.int32(), "counts": pa.binary(), "types": pa.int64(), "tokens": pa.int64()}
-
-
-def _ddl(schema: dict) -> str:
-    kinds = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean"}
-    return ", ".join(f"{k} {kinds[t]}" for k, t in schema.items())
-
-
-def _requests(buckets: int):
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                chunk, ids, data, offs = chunks.rows_of(row)
-                t = Tokens(data, offs)
-                learn = np.repeat(training(ids), np.diff(t.first))
-                for level, (keys, at) in enumerate(t.keys(), 1):
-                    counts = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
-                    own, ends = chunks.bounds(keys, buckets)
-                    out = {"bucket": own * 2 + level - 1, "chunk": np.full(len(own), chunk), "level": np.full(len(own), level, np.int32)}
-                    out["keys"] = [common.blob(keys[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                    out["counts"] = [common.blob(counts[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                    yield chunks.batch(out, REQUEST)
-
-    return run
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Adds up the counts of a bucket; replies in the order of each request's keys. One reply also tells the bucket's sums."""
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], words.U) for r in rows]
-    counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
-    own, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(own)).astype(np.uint64)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    replies = np.split(total[at].astype(np.uint32), cuts)
-    first = min(range(len(rows)), key=lambda k: rows[k]["chunk"])
-    out = {"chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows], "level": [r["level"] for r in rows], "counts": [common.blob(x) for x in replies]}
-    out["types"] = [int((total > 0).sum()) if k == first else 0 for k in range(len(rows))]
-    out["tokens"] = [int(total.sum()) if k == first else 0 for k in range(len(rows))]
-    return pa.Table.from_batches([chunks.batch(out, REPLY)])
+def _keys_of(row: dict):
+    """A chunk's tokens and pairs with their counts in its training texts."""
+    _, ids, data, offs = chunks.rows_of(row)
+    t = Tokens(data, offs)
+    learn = np.repeat(training(ids), np.diff(t.first))
+    for order, (keys, at) in enumerate(t.keys(), 1):
+        yield order, keys, np.bincount(at[learn], minlength=len(keys))
 
 
 @dataclass
@@ -121,10 +87,9 @@ class Counted:
         self.chunk, self.ids, data, offs = chunks.rows_of(row)
         self.tokens = Tokens(data, offs)
         found = []
-        for level, (keys, at) in enumerate(self.tokens.keys(), 1):
-            own = sorted((r["bucket"], r["counts"]) for r in replies if r["level"] == level)
-            counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(c, np.uint32) for _, c in own]])
-            assert len(counts) == len(keys), "a reply is missing"
+        for order, (keys, at) in enumerate(self.tokens.keys(), 1):
+            counts = chunks.sums_of(replies, order)
+            assert len(counts) == len(keys), "a sum is missing"
             found.append((keys, counts.astype(np.int64), at))
         (keys, counts, at), (_, pairs, pair_at) = found
         self.word = counts[at]
@@ -193,19 +158,19 @@ def _scores(c: Counted, sizes: Sizes, weight: np.ndarray) -> dict:
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Learn from the training part of docs, score all of them."""
     packed = chunks.pack(spark, docs)
-    buckets = chunks.bucket_count(packed)
-    asked = packed.mapInArrow(_requests(buckets), _ddl(REQUEST))
-    replies = common.materialize(spark, asked.groupBy("bucket").applyInArrow(_answer, _ddl(REPLY)), "lm-counts")
-    sums = replies.where("level = 1").agg(F.sum("tokens"), F.sum("types")).first()
+    replies, last = chunks.exchange(spark, packed, _keys_of, chunks.bucket_count(packed), name="lm-counts")
+    sums = last.where("kind = 1").agg(F.sum("total"), F.sum("types")).first()
     sizes = Sizes(int(sums[0] or 0), int(sums[1] or 0))
-    answered = replies.select("chunk", "bucket", "level", "counts").groupBy("chunk")
+    answered = replies.groupBy("sender")
 
     def joined(make, schema):
         def run(own: pa.Table, got: pa.Table) -> pa.Table:
             found = got.to_pylist()
-            return pa.Table.from_batches([chunks.batch(make(Counted(r, found)), schema) for r in own.to_pylist()], pa.schema(list(schema.items())))
+            out = [chunks.batch(make(Counted(r, found)), schema) for r in own.to_pylist()]
+            common.release()
+            return pa.Table.from_batches(out, pa.schema(list(schema.items())))
 
-        return packed.groupBy("chunk").cogroup(answered).applyInArrow(run, _ddl(schema))
+        return packed.groupBy("chunk").cogroup(answered).applyInArrow(run, chunks.ddl(schema))
 
     cells = joined(lambda c: _cells(c, sizes), HISTOGRAM).groupBy("cell").agg(F.sum("n"), F.sum("two"), F.sum("one")) if sizes.tokens else None
     weight = mixture(sorted(tuple(r) for r in cells.collect())) if cells is not None else np.zeros(CONTEXTS)

@@ -5,27 +5,29 @@ id, or earlier in the same one. Words covered by a repeated window are removed.
 
 Windows are dealt to shards by content, so that equal windows meet: a window's anchor is the least
 hash among its runs of ANCHOR words. Windows in a row with the same anchor travel together as one
-segment. An exchange of anchors by bucket (see chunks) first tells which anchors occur again at all;
+segment. An exchange of anchors (see chunks) first tells which anchors occur again at all;
 the others can't hold a repeated window and send nothing. Windows of very frequent anchors travel one
 by one under their own hash, so that no shard grows with a hot passage. Equal segments of a chunk
 are sent once, their later copies are repeated by definition.
 
 A shard indexes its segments in order of document and place and streams them through the index:
-backward search over the wavelet matrix follows each window to its left until it is unique or
-complete; intervals of complete windows tell the first occurrence.
+backward search over the wavelet matrix gives matching statistics, for each word the longest run
+that ends there and occurs at least twice. Where they reach the window's length, the interval
+names the window: of the streamed windows with one interval the first is kept, the others are
+repeated. The shards' windows, the intervals above the threshold, go back to their chunks.
 
 Nulls: a null text has no words; a null doc_id counts as larger than any other. Rows with equal ids
-count in order of their place in the table. Texts with fewer words lose nothing. Empty table: no
-rows. Extra columns are ignored.
+count in order of their place in the table. Texts with fewer words lose nothing. Ties of anchors
+don't matter: equal windows have equal anchors. Texts of any length are read whole. Empty table: no
+rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chunks, common, words
 from .fm_index import FMIndex
@@ -33,6 +35,8 @@ from .fm_index import FMIndex
 WINDOW, ANCHOR = 20, 8
 #: Anchors with more runs than this are dealt window by window.
 HOT_RUNS = 256
+#: Bytes of text per shard, before anchors without another occurrence are left out.
+SHARD_BYTES = 3 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -72,59 +76,35 @@ class Runs:
         self.places = 1 + ((self.size > reach + 1) | (close[np.minimum(self.start + self.size + reach, len(grams))] > close[self.start]))
 
 
-def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys for counting; the least hashes are small, so they are mixed first."""
-    keys = words.mix(keys)
-    return chunks.bucket_of(keys, buckets).astype(words.U) << words.U(32) | (keys & words.U(0xFFFFFFFF))
-
-
-REQUEST = {"bucket": pa.int64(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
-ANSWER = {"chunk": pa.int64(), "bucket": pa.int64(), "data": pa.binary()}
 SEGMENT = {"bucket": pa.int64(), "chunk": pa.int64(), "data": pa.binary(), "text": pa.binary()}
 REMOVED = {"chunk": pa.int64(), "data": pa.binary()}
-RESULT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+KEPT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "spans": SPANS}
 
 
-def _ddl(schema: dict) -> str:
-    return ", ".join(f"{k} {'binary' if t == pa.binary() else 'string' if t == pa.string() else 'bigint'}" for k, t in schema.items())
-
-
-def _requests(buckets: int, window: int, anchor: int):
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                chunk, _, data, offs = chunks.rows_of(row)
-                r = Runs(data, offs, window, anchor)
-                keys, at = np.unique(_short(r.anchor, buckets), return_inverse=True)
-                counts = np.bincount(at, weights=r.places, minlength=len(keys)).astype(np.uint32)
-                own = (keys >> words.U(32)).astype(np.int64)
-                cut = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own)) if len(own) else np.zeros(1, np.int64)
-                runs = list(zip(cut[:-1], cut[1:], strict=True))
-                low = keys.astype(np.uint32)
-                yield chunks.batch({"bucket": [own[a] for a, _ in runs], "chunk": [chunk] * len(runs), "keys": [common.blob(low[a:z]) for a, z in runs], "counts": [common.blob(counts[a:z]) for a, z in runs]}, REQUEST)
+def _short(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys for counting; the least hashes are small, so they are mixed first."""
+    return chunks.short_keys(words.mix(anchors), buckets)[0]
 
-    return run
 
+def _keys_of(buckets: int, window: int, anchor: int):
+    """A chunk's anchors and the places that each has there."""
 
-def _answer(hot: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), minlength=len(own))
-        kind = ((total > 1).astype(np.uint8) + (total > hot))[at].astype(np.uint8)
-        replies = np.split(kind, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.Table.from_batches([chunks.batch({"chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows], "data": [common.blob(x) for x in replies]}, ANSWER)])
+    def run(row: dict):
+        _, _, data, offs = chunks.rows_of(row)
+        r = Runs(data, offs, window, anchor)
+        keys, at = np.unique(_short(r.anchor, buckets), return_inverse=True)
+        yield 1, keys, np.bincount(at, weights=r.places, minlength=len(keys))
 
     return run
 
 
-def _segments(buckets: int, window: int, anchor: int):
+def _segments(buckets: int, shards: int, window: int, anchor: int, hot: int):
     """Segments of shared anchors by bucket; what repeats inside the chunk goes straight to the end (negative bucket)."""
 
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in SEGMENT}
-        found = sorted(got.to_pylist(), key=lambda r: r["bucket"])
+        found = got.to_pylist()
         for row in own.to_pylist():
             chunk, ids, data, offs = chunks.rows_of(row)
             r = Runs(data, offs, window, anchor)
@@ -132,18 +112,18 @@ def _segments(buckets: int, window: int, anchor: int):
                 continue
             short = _short(r.anchor, buckets)
             keys = np.unique(short)
-            kinds = np.concatenate([np.frombuffer(x["data"], np.uint8) for x in found])
-            assert len(kinds) == len(keys), "a reply is missing"
-            kind = kinds[np.searchsorted(keys, short)]
+            places = chunks.sums_of(found, 1)
+            assert len(places) == len(keys), "a sum is missing"
+            kind = (1 * (places > 1) + (places > hot))[np.searchsorted(keys, short)]
             h, first = r.words.hashes, r.words.first
             whole = words.windows(h, window)
             power, inverse = words._power_tables(len(whole))
             total = np.empty(len(whole) + 1, words.U)
             total[0] = 0
             np.cumsum(whole * power[: len(whole)], out=total[1:])
-            shared, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-            size = r.size[hot]
-            single = np.arange(size.sum()) + np.repeat(r.start[hot] - (np.cumsum(size) - size), size)
+            shared, frequent = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+            size = r.size[frequent]
+            single = np.arange(size.sum()) + np.repeat(r.start[frequent] - (np.cumsum(size) - size), size)
             start = np.concatenate([r.start[shared], single])
             size = np.concatenate([r.size[shared], np.ones(len(single), np.int64)])
             route = np.concatenate([r.anchor[shared], whole[single]])
@@ -161,11 +141,10 @@ def _segments(buckets: int, window: int, anchor: int):
                 out["text"].append(b"")
             raw = data.tobytes()
             keep = order[~again]
-            bucket = chunks.bucket_of(words.mix(route[keep]), buckets)
+            bucket = chunks.bucket_of(words.mix(route[keep]), shards)
             by = np.argsort(bucket, kind="stable")
             keep, bucket = keep[by], bucket[by]
-            cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-            for a, z in zip(cut[:-1], cut[1:], strict=True):
+            for a, z in chunks.runs_of(bucket):
                 k = keep[a:z]
                 begins, ends = r.words.starts[start[k]].tolist(), r.words.ends[start[k] + size[k] + window - 2].tolist()
                 head = np.column_stack([order_id[text[k]], text[k], start[k] - first[text[k]], size[k]])
@@ -174,6 +153,7 @@ def _segments(buckets: int, window: int, anchor: int):
                 out["data"].append(common.squeeze(head))
                 # The words themselves compress better than numbers or hashes of them would.
                 out["text"].append(common.squeeze(np.frombuffer(b" ".join([raw[i:j] for i, j in zip(begins, ends, strict=True)]), np.uint8)))
+        common.release()
         return pa.Table.from_batches([chunks.batch(out, SEGMENT)])
 
     return run
@@ -204,12 +184,16 @@ def _shard(window: int):
         text = np.zeros(int((length + 1).sum()), np.int64)
         inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         text[np.repeat(place, length) + inside] = codes[np.repeat(begin, length) + inside] + 1
-        index = FMIndex(text, len(vocabulary) + 1, window)
+        index = FMIndex(text, len(vocabulary) + 1, window, least=2)
         size = head[:, 3]
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        windows = np.repeat(place, size) + offset
-        which, low, high = index.repeated(text, windows + window, window)
-        late = which[index.first_occurrence(low, high) < windows[which]]
+        ends = np.repeat(place, size) + offset + window
+        matched, low, _ = index.matching_statistics(text, ends, window, least=2)
+        # Windows above the threshold; one interval holds all occurrences of a window, in the order of streaming.
+        full = np.flatnonzero(matched == window)
+        _, first, name = np.unique(low[full], return_index=True, return_inverse=True)
+        late = full[first[name] < np.arange(len(full))]
+        del index, text, low
         segment = np.repeat(np.arange(len(size)), size)[late]
         start = head[segment, 2] + offset[late]
         new = np.ones(len(late), bool)
@@ -218,6 +202,7 @@ def _shard(window: int):
         runs = np.column_stack([head[segment[at], 1], start[at], np.diff(np.append(at, len(late)))]).astype(np.uint32)
         owner = chunk_of[segment[at]]
         own = np.unique(owner)
+        common.release()
         return pa.Table.from_batches([chunks.batch({"chunk": own, "data": [common.blob(runs[owner == c]) for c in own]}, REMOVED)])
 
     return run
@@ -225,7 +210,7 @@ def _shard(window: int):
 
 def _kept(window: int):
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in RESULT}
+        out: dict[str, list] = {k: [] for k in KEPT}
         runs = np.concatenate([np.zeros((0, 3), np.uint32), *[np.frombuffer(d, np.uint32).reshape(-1, 3) for d in got.column("data").to_pylist()]]).astype(np.int64)
         for row in own.to_pylist():
             _, ids, data, offs = chunks.rows_of(row)
@@ -239,28 +224,43 @@ def _kept(window: int):
             keep = np.flatnonzero(~gone)
             bounds = np.searchsorted(keep, w.first)
             begins, ends = w.starts[keep].tolist(), w.ends[keep].tolist()
+            # Spans of removed words, by text; a text's border ends a span.
+            inner = np.zeros(len(gone) + 1, bool)
+            inner[w.first] = True
+            opens = np.flatnonzero(gone & (~np.concatenate([[False], gone[:-1]]) | inner[:-1])) if len(gone) else np.zeros(0, np.int64)
+            closes = np.flatnonzero(gone & (~np.concatenate([gone[1:], [False]]) | inner[1:])) + 1 if len(gone) else np.zeros(0, np.int64)
+            at = np.searchsorted(opens, w.first)
+            first = w.first.tolist()
             for k, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                text = b" ".join([raw[i:j] for i, j in zip(begins[a:z], ends[a:z], strict=True)])
-                n = int(w.first[k + 1] - w.first[k])
+                n = first[k + 1] - first[k]
                 out["doc_id"].append(ids[k])
                 out["n_words"].append(n)
                 out["n_removed"].append(n - (z - a))
-                out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
-        return pa.Table.from_batches([chunks.batch(out, RESULT)])
+                out["kept"].append(b" ".join([raw[i:j] for i, j in zip(begins[a:z], ends[a:z], strict=True)]).decode())
+                out["spans"].append([{"start": int(i) - first[k], "stop": int(j) - first[k]} for i, j in zip(opens[at[k] : at[k + 1]], closes[at[k] : at[k + 1]], strict=True)])
+        common.release()
+        return pa.Table.from_batches([chunks.batch(out, KEPT)])
 
     return run
 
 
 def repeated_runs(spark: SparkSession, packed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_RUNS) -> DataFrame:
     """chunk, data: runs of repeated windows as triples of 32-bit numbers (text in the chunk, first word, windows)."""
-    buckets = chunks.bucket_count(packed)
-    answers = packed.mapInArrow(_requests(buckets, window, anchor), _ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer(hot), _ddl(ANSWER))
-    segments = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_segments(buckets, window, anchor), _ddl(SEGMENT))
-    return common.materialize(spark, segments.groupBy("bucket").applyInArrow(_shard(window), _ddl(REMOVED)), "repeated-runs")
+    buckets, shards = chunks.bucket_count(packed), chunks.bucket_count(packed, SHARD_BYTES)
+    bits = chunks.short_keys(np.zeros(0, words.U), buckets)[1]
+    sums, _ = chunks.exchange(spark, packed, _keys_of(buckets, window, anchor), buckets, bits, hot + 1, "anchors")
+    segments = packed.groupBy("chunk").cogroup(sums.groupBy("sender")).applyInArrow(_segments(buckets, shards, window, anchor, hot), chunks.ddl(SEGMENT))
+    return common.materialize(spark, segments.groupBy("bucket").applyInArrow(_shard(window), chunks.ddl(REMOVED)), "repeated-runs")
 
 
-def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_RUNS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every document."""
+def deduplicate(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_RUNS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and spans (start, stop of removed words) for every document."""
     packed = chunks.pack(spark, docs)
     runs = repeated_runs(spark, packed, window, anchor, hot)
-    return packed.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_kept(window), _ddl(RESULT))
+    schema = chunks.ddl({k: t for k, t in KEPT.items() if t != SPANS}) + ", spans array<struct<start: bigint, stop: bigint>>"
+    return packed.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_kept(window), schema)
+
+
+def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_RUNS) -> DataFrame:
+    """The digest form: doc_id, n_words, n_removed, kept_sha256 for every document."""
+    return deduplicate(spark, docs, window, anchor, hot).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

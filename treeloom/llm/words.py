@@ -23,18 +23,23 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Powers kept by a worker, at most; longer runs of bytes make theirs anew and drop them.
+KEPT_POWERS = 1 << 21
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, 1 << 20)
-        inverse = U(pow(int(_BASE), -1, 1 << 64))
-        for k, f in enumerate((_BASE, inverse)):
-            steps = np.full(m, f, U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    inverse = U(pow(int(_BASE), -1, 1 << 64))
+    made = []
+    for f in (_BASE, inverse):
+        steps = np.full(max(n, min(2 * n, KEPT_POWERS)), f, U)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
