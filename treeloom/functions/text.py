@@ -103,9 +103,9 @@ def tokens(text: Column) -> Column:
 
 
 def anchored(info: Column, evidence: Column, least: int = 2) -> Column:
-    """True if so many tokens of info, repeats counted, occur in the evidence."""
-    known = tokens(evidence)
-    return F.coalesce(F.size(F.filter(tokens(info), lambda t: F.array_contains(known, t))) >= least, F.lit(False))
+    """True if so many tokens of info, repeats counted, occur in the evidence. The evidence is cut into tokens once a row, not once a token."""
+    found = F.transform(F.array(tokens(evidence)), lambda known: F.size(F.filter(tokens(info), lambda t: F.array_contains(known, t))))
+    return F.coalesce(F.element_at(found, 1) >= least, F.lit(False))
 
 
 def jsonpath_segments(path: Column) -> Column:

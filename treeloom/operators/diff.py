@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,37 +72,49 @@ def shred(df: DataFrame, ids: list[str], json: str, arrays: bool = False, most_d
     add no segment to the path. A document that can't be parsed has no nodes.
     """
     spark = df.sparkSession
-    name = f"treeloom_shred_{abs(hash((id(df), json, tuple(ids)))):x}"
+    name = f"treeloom_shred_{uuid.uuid4().hex}"
     df.select(*ids, F.try_parse_json(F.col(json)).alias("v")).where("v is not null").createOrReplaceTempView(name)
     keep = ", ".join(f"`{c}`" for c in ids)
     prefix = ", ".join(f"t.`{c}`" for c in ids)
     opens = "schema_of_variant(t.v) LIKE 'OBJECT%'" + (" OR schema_of_variant(t.v) LIKE 'ARRAY%'" if arrays else "")
-    return spark.sql(f"""
+    rows = spark.sql(f"""
         WITH RECURSIVE t({keep}, path, v, depth) MAX RECURSION LEVEL {most_depth} AS (
           SELECT {keep}, CAST(array() AS ARRAY<STRING>), v, 0 FROM {name}
           UNION ALL
           SELECT {prefix}, CASE WHEN e.key IS NULL THEN t.path ELSE array_append(t.path, e.key) END, e.value, t.depth + 1
           FROM t, LATERAL variant_explode(t.v) e WHERE {opens})
         SELECT {keep}, path, to_json(v) AS canon, schema_of_variant(v) LIKE 'OBJECT%' AS is_object, schema_of_variant(v) AS shape, depth FROM t LIMIT ALL""")
+    spark.catalog.dropTempView(name)
+    return rows
 
 
-def deep_diff(old: DataFrame, new: DataFrame, ids: list[str], json: str) -> DataFrame:
+def deep_diff(old: DataFrame, new: DataFrame, ids: list[str], json: str, most_depth: int = 100) -> DataFrame:
     """Differences inside JSON documents: ids, path, kind, before, after. Arrays and scalars are atomic.
 
-    Both sides are shredded; nodes are joined by path, and a node counts only where its parent is an
-    object on both sides. Different shapes at the root are one entry with an empty path.
+    Documents of both sides meet by their ids; only pairs whose canonical texts differ are opened, and of
+    two objects only the members that differ, so equal documents and subtrees cost one comparison
+    and no node is shuffled. Different shapes at the root are one entry with an empty path. A
+    document that one side lacks, or that can't be parsed, gives no entry.
     """
-    a = shred(old, ids, json).select(*[F.col(c).alias(f"{c}__o") for c in ids], F.col("path").alias("po"), F.col("canon").alias("before"), F.col("is_object").alias("oo"))
-    b = shred(new, ids, json).select(*[F.col(c).alias(f"{c}__n") for c in ids], F.col("path").alias("pn"), F.col("canon").alias("after"), F.col("is_object").alias("on"))
-    on = reduce(lambda x, y: x & y, [F.col(f"{c}__o").eqNullSafe(F.col(f"{c}__n")) for c in ids] + [F.col("po") == F.col("pn")])
-    both = a.join(b, on, "full_outer").select(*[F.coalesce(f"{c}__o", f"{c}__n").alias(c) for c in ids], F.coalesce("po", "pn").alias("path"), "before", "after", "oo", "on")
-    objects = both.where("oo and `on`").select(*[F.col(c).alias(f"{c}__p") for c in ids], F.col("path").alias("parent"))
-    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(~(F.col("oo") & F.col("on")) & (F.col("before") != F.col("after")), "modified")
-    rows = both.withColumn("kind", kind).where("kind is not null")
-    inside = rows.where(F.size("path") > 0).withColumn("up", F.slice("path", F.lit(1), F.size("path") - 1))
-    near = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}__p")) for c in ids] + [F.col("up") == F.col("parent")])
-    inside = inside.join(objects, near, "left_semi").select(*ids, "path", "kind", "before", "after")
-    root = rows.where((F.size("path") == 0) & (F.col("kind") == "modified")).select(*ids, "path", "kind", "before", "after")
+    spark = old.sparkSession
+    a = old.select(*[F.col(c).alias(f"{c}__o") for c in ids], F.try_parse_json(F.col(json)).alias("a")).where("a is not null")
+    b = new.select(*[F.col(c).alias(f"{c}__n") for c in ids], F.try_parse_json(F.col(json)).alias("b")).where("b is not null")
+    both = a.join(b, reduce(lambda x, y: x & y, [F.col(f"{c}__o").eqNullSafe(F.col(f"{c}__n")) for c in ids]))
+    name = f"treeloom_pairs_{uuid.uuid4().hex}"
+    both.where(F.to_json("a") != F.to_json("b")).select(*[F.col(f"{c}__o").alias(c) for c in ids], "a", "b").createOrReplaceTempView(name)
+    keep, own = ", ".join(f"`{c}`" for c in ids), ", ".join(f"t.`{c}`" for c in ids)
+    members = lambda v: f"try_variant_get({v}, '$', 'map<string,variant>')"
+    rows = spark.sql(f"""
+        WITH RECURSIVE t({keep}, path, a, b, depth) MAX RECURSION LEVEL {most_depth} AS (
+          SELECT {keep}, CAST(array() AS ARRAY<STRING>), a, b, 0 FROM {name}
+          UNION ALL
+          SELECT {keep}, path, a, b, depth FROM (
+            SELECT {own}, array_append(t.path, m.key) AS path, try_element_at({members("t.a")}, m.key) AS a, try_element_at({members("t.b")}, m.key) AS b, t.depth + 1 AS depth
+            FROM t LATERAL VIEW explode(array_union(map_keys({members("t.a")}), map_keys({members("t.b")}))) m AS key)
+          WHERE NOT (to_json(a) <=> to_json(b)))
+        SELECT {keep}, path, to_json(a) AS before, to_json(b) AS after, {members("a")} IS NOT NULL AND {members("b")} IS NOT NULL AS inner FROM t LIMIT ALL""")
+    spark.catalog.dropTempView(name)
+    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("modified")
     # The text of added and removed nodes is no part of an entry.
-    only = F.col("kind") == "modified"
-    return inside.unionByName(root).withColumns({"before": F.when(only, T.preview(F.col("before"))), "after": F.when(only, T.preview(F.col("after")))})
+    shown = lambda c: F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), T.preview(F.col(c)))
+    return rows.where("not inner").select(*ids, "path", kind.alias("kind"), shown("before").alias("before"), shown("after").alias("after"))
