@@ -247,6 +247,20 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert [list(ids[ends[k] : ends[k + 1]]) for k in range(4)] == [whole.encode(t.decode(), add_special_tokens=False).ids for t in raw]
 
 
+def test_piece_table_grows():
+    table, rng = token_files.PieceTable(bits=4), np.random.default_rng(1)
+    seen = {}
+    for _ in range(5):
+        h = rng.integers(1, 2**63, 40, dtype=np.uint64)
+        table.add(h, np.full(40, 2), np.repeat(h & np.uint64(0xFFFF), 2).astype(np.int32))
+        seen |= {int(x): int(x) & 0xFFFF for x in h}
+    place = table.find(np.array(list(seen), np.uint64))
+    assert (table.ids[table.begin[place]] == list(seen.values())).all() and table.mask.bit_length() > 4
+    assert table.find(np.array([5], np.uint64)) == -1
+    table.clear()
+    assert table.mask.bit_length() == 4 and (table.find(np.array(list(seen), np.uint64)) == -1).all()
+
+
 def test_token_files_round_trip(spark, docs, rows, no_docs):
     folder = common.work_path(spark, "tokens-test")
     token_files.write_orc(spark, docs, folder)

@@ -58,16 +58,31 @@ class PieceTable:
     """Hash table from 64-bit piece hashes to runs of ids, in arrays, with linear probing."""
 
     def __init__(self, bits: int = 22):
-        self.mask = (1 << bits) - 1
-        self.keys = np.zeros(1 << bits, words.U)
-        self.slot = np.zeros(1 << bits, np.int32)
+        self.bits = bits
         self.clear()
 
     def clear(self) -> None:
-        self.keys[:] = 0
+        """Forget all pieces; a table that has grown is small again."""
+        self._slots(self.bits)
         self.count = self.used = 0
         self.begin, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
 
+    def _slots(self, bits: int) -> None:
+        self.mask = (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, words.U)
+        self.slot = np.zeros(1 << bits, np.int32)
+
+    def _place(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Put distinct hashes that are not in the table into free slots."""
+        todo = np.arange(len(h))
+        at = (h & words.U(self.mask)).astype(np.int64)
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]  # of several for one place the last stays
+            self.slot[at[free]] = number[todo[free]]
+            done = free & (self.keys[at] == h[todo])
+            todo, at = todo[~done], (at[~done] + 1) & self.mask
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Number of each piece, -1 where it is not known."""
         out = np.full(len(h), -1, np.int64)
@@ -89,14 +104,15 @@ class PieceTable:
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[self.count : self.count + n] = size
         self.begin[self.count : self.count + n] = self.used + np.cumsum(size) - size
-        todo = np.arange(n)
-        at = (h & words.U(self.mask)).astype(np.int64)
-        while len(todo):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[todo[free]]  # of several for one place the last stays
-            self.slot[at[free]] = todo[free] + self.count
-            done = free & (self.keys[at] == h[todo])
-            todo, at = todo[~done], (at[~done] + 1) & self.mask
+        bits = self.mask.bit_length()
+        while 2 * (self.count + n) > 1 << bits:
+            bits += 1
+        if bits > self.mask.bit_length():  # half of the slots stay free, so that probing always ends
+            old = np.flatnonzero(self.keys)
+            keys, slot = self.keys[old], self.slot[old]
+            self._slots(bits)
+            self._place(keys, slot)
+        self._place(h, np.arange(self.count, self.count + n, dtype=np.int32))
         self.count, self.used = self.count + n, self.used + len(flat)
 
 
@@ -221,6 +237,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFra
                     ids = np.insert(ids, ends[1:], end_id)
                     ends = ends + np.arange(len(ends))
                 column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                common.release()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(ends)), column], names=["doc_id", "n_tokens", "ids"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
