@@ -378,19 +378,33 @@ def test_passages_of_the_benchmark_are_found(spark, docs, rows, no_docs):
         want[(r[0], len(w), len(hit), len(found), positional.digest(sorted(found)), bool(hit))] += 1
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert multiset(positional.report(spark, docs, bench), *columns) == want
-    blocks = positional.load_phrases(spark, bench, block_words=20)
-    assert len(blocks) > 1
-    index = positional.build_index(spark, docs, blocks)
-    assert positional.match(index, blocks).where("n_hit > 0").count() == sum(v for k, v in want.items() if k[2])
+    index = positional.build_index(spark, docs, segment_bytes=2000)
+    assert index.count() > 5 and len(list(positional.phrase_blocks(spark, bench, block_words=20))) > 1
+    again = positional.search(spark, index, bench, block_words=20)  # the same index, block by block
+    assert multiset(again, "doc_id", "n_words", "n_hit") == collections.Counter(k[:3] for k in want.elements())
+    for r in again.collect():
+        assert len({i for s in r.spans for i in range(s.start, s.stop)}) == r.n_hit
     assert positional.report(spark, no_docs, bench).count() == 0
     assert positional.report(spark, docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity_finds_other_orders(spark):
-    docs = spark.createDataFrame([(1, "red blue x green"), (2, "green y red blue"), (3, "red a b c d e blue green"), (4, "red red blue")], "doc_id bigint, text string")
-    blocks = positional.load_phrases(spark, spark.createDataFrame([(1, "red blue green")], "item_id bigint, text string"))
-    got = positional.occurrences(positional.build_index(spark, docs, blocks), blocks, slop=1).collect()
-    assert {(r.doc_id, r.kind) for r in got} == {(1, "proximity"), (2, "proximity")}
+def near_truth(words_, phrase, slop):
+    need = collections.Counter(phrase)
+    span = len(phrase) + slop
+    return any(not need - collections.Counter(words_[a : a + span]) for a in range(max(1, len(words_) - span + 1)))
+
+
+def test_proximity_agrees_with_spans(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["red blue x green", "green y red blue", "red a b c d e blue green", "red red blue", "", None] + [" ".join(rng.choice("red blue green a b".split()) for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    items = ["red blue green", "red red blue", "a b a b green", "none at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: sorted(r.near) for r in positional.decontaminate(spark, docs, bench, slop=1).collect()}
+    assert got == {k: [i for i, p in enumerate(items) if near_truth((t or "").split(), p.split(), 1)] for k, t in enumerate(texts)}
+    assert got[0] == got[1] == [0] and got[2] == []
 
 
 # 10 language model ----------------------------------------------------------------------------
