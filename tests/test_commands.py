@@ -11,6 +11,7 @@ from treeloom.__main__ import COMMANDS, main
 from treeloom.functions import rules
 from treeloom.operators import ordering
 from treeloom.plans import convert
+from treeloom.sources import documents, sinks
 
 CODE = base64.b64encode(b"payload.message.id = 1; // message.id is new").decode()
 BUILD = {
@@ -82,3 +83,16 @@ def test_first_of_an_order(spark):
     rows = spark.range(5)
     assert [r.id for r in ordering.first_n(rows, [F.desc("id")], 2).collect()] == [4, 3]
     assert ordering.first_n(rows, ["id"], 0).count() == ordering.first_n(rows, ["id"], None).count() == 5
+
+
+def test_yaml_and_broken_metadata(spark, tmp_path):
+    import yaml
+
+    doc = {"z": 1, "a": ["ü", {"b": None}]}
+    sinks.write_yaml(spark.createDataFrame([("one", json.dumps(doc))], "build string, doc string"), f"{tmp_path}/yaml")
+    text = spark.read.text(f"{tmp_path}/yaml", wholetext=True).first().value
+    assert yaml.safe_load(text) == doc and text.index("z:") < text.index("a:")
+    flows_ = spark.createDataFrame([("f1",), ("f2",), ("f3",)], "id string")
+    meta = spark.createDataFrame([("f1", '{"title": "t"}'), ("f2", "{broken")], "id string, raw string")
+    got = documents.with_metadata(flows_, meta, "id", {"title": F.lit("none"), "tag": F.lit("x")}, json="raw")
+    assert {r.id: (r.title, r.tag) for r in got.collect()} == {"f1": ("t", "x"), "f2": ("none", "x"), "f3": ("none", "x")}

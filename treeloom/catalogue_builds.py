@@ -316,6 +316,29 @@ def split_files(spark, d):
     return codes.unionByName(parts["docs"].groupBy("build").agg(F.count(F.lit(1)).alias("n")).withColumn("section", F.lit("docs")))
 
 
+def _stored(b: DataFrame) -> DataFrame:
+    """A build taken apart as a store keeps it, and put together again."""
+    return builds.rebuild(builds.envelope(b), builds.flows(b), builds.attribute_sets(b), builds.validations(b), builds.docs(b))
+
+
+@query(f"WITH {_ERRORS}, {_DOCS} SELECT build, 'errors' AS section, kind, path, before, after FROM errors UNION ALL SELECT build, 'docs', kind, path, before, after FROM docs")
+def stored_then_compared(spark, d):
+    """The change log of a stored and rebuilt build against its next version is that of the build itself."""
+    old, new = _part_builds(spark, d)
+    return builds.changelog(_stored(old), new, sections=("errors", "docs", "paths", "info")).where("section <> 'paths'").select("build", "section", "kind", "path", "before", "after")
+
+
+@query("""SELECT o_custkey::VARCHAR AS build, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord, 'f' || o_orderkey AS id, 'u' || (o_custkey % 3) AS usecase, o_orderstatus AS description, o_orderpriority AS tags, round(o_totalprice * 100)::BIGINT AS total FROM orders""")
+def stored_flows(spark, d):
+    f = builds.flows(_stored(_flow_builds(spark, d)[0]))
+    return f.select("build", F.col("ord").cast("long").alias("ord"), "id", "usecase", "description", F.array_join("tags", ",").alias("tags"), F.get_json_object("config", "$.total").cast("long").alias("total"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS build, c_mktsegment AS domain, '1' AS version, '3.0.0' AS openapi, c_name AS title, 'a,dup,dup,b' || c_nationkey AS usecases FROM customer""")
+def build_envelopes(spark, d):
+    return builds.envelope(_stored(_info_builds(spark, d)[0])).select("build", "domain", "version", "openapi", "title", F.array_join("usecases", ",").alias("usecases"))
+
+
 # flows, payloads and profiles -------------------------------------------------------------------
 
 

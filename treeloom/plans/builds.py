@@ -270,6 +270,48 @@ def facts(builds: DataFrame) -> DataFrame:
     )
 
 
+def envelope(builds: DataFrame) -> DataFrame:
+    """What a store keeps of a build beside its flows, attributes, validations and docs: names, use cases, and open sections as JSON text."""
+    d = F.col("doc")
+    at = lambda name, *keys: part(d, *keys).alias(name)
+    return builds.select(
+        "build", at("domain", "info", "domain"), at("version", "info", "version"), at("openapi", "openapi"), at("title", "info", "title"), at("description", "info", "description"),
+        at("branch_name", "info", "x-branch-name"), (part(d, "info", "x-reporting") == "true").alias("reporting"), members(part(d, "info", "x-usecases")).alias("usecases"), at("security", "security"), at("paths", "paths"),
+        at("components", "components"), at("error_codes", "x-errorcodes", "code"), at("supported_actions", "x-supported-actions", "supportedActions"), at("api_properties", "x-supported-actions", "apiProperties"),
+    )
+
+
+def validations(builds: DataFrame) -> DataFrame:
+    return builds.select("build", part(F.col("doc"), "x-validations").alias("rules"))
+
+
+def _in_order(items: Column) -> Column:
+    """Collected structs by their ord; other fields need no order."""
+    listed = F.array_sort(F.collect_list(items), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
+    return F.transform(listed, lambda r: r.dropFields("ord"))
+
+
+def rebuild(meta: DataFrame, flow_rows: DataFrame, set_rows: DataFrame, rule_rows: DataFrame, doc_rows: DataFrame) -> DataFrame:
+    """build, doc: whole builds from what a store keeps of them; the differs see no difference to what was stored.
+
+    meta as from envelope, the others as from flows, attribute_sets, validations and docs. Fields that a build
+    didn't have are left out again. Open sections keep their members, whose keys are sorted.
+    """
+    json = lambda c: F.try_parse_json(F.col(c))
+    f = flow_rows.groupBy("build").agg(_in_order(F.struct("ord", F.lit("playground").alias("type"), "id", "usecase", "tags", "description", json("config").alias("config"))).alias("x-flows"))
+    a = set_rows.groupBy("build").agg(_in_order(F.struct("ord", json("meta").alias("meta"), json("tree").alias("attribute_set"))).alias("x-attributes"))
+    d = doc_rows.groupBy("build").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "slug", "content"))), lambda r: F.struct(r["slug"], r["content"]))).alias("x-docs"))
+    rows = meta.join(f, "build", "left").join(a, "build", "left").join(d, "build", "left").join(rule_rows.select("build", json("rules").alias("x-validations")), "build", "left")
+    info = F.struct("domain", "version", F.col("usecases").alias("x-usecases"), F.col("reporting").alias("x-reporting"), "title", "description", F.col("branch_name").alias("x-branch-name"))
+    empty = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
+    whole = F.struct(
+        "openapi", info.alias("info"), json("security").alias("security"), json("paths").alias("paths"), json("components").alias("components"), F.struct(json("error_codes").alias("code")).alias("x-errorcodes"),
+        F.struct(json("supported_actions").alias("supportedActions"), json("api_properties").alias("apiProperties")).alias("x-supported-actions"),
+        F.try_parse_json(empty("x-flows")).alias("x-flows"), F.try_parse_json(empty("x-attributes")).alias("x-attributes"), "x-validations", "x-docs",
+    )
+    return rows.select("build", F.to_json(whole).alias("doc"))
+
+
 def reconstruct(meta: DataFrame, doc_rows: DataFrame, flow_rows: DataFrame) -> DataFrame:
     """Stored rows back to one document per build: info fields, docs in order, flows in order."""
     d = doc_rows.groupBy("build").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "slug", "content"))), lambda r: F.struct(r["slug"], r["content"]))).alias("x-docs"))

@@ -168,10 +168,13 @@ def read_kb(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("e.key").alias("key"), F.coalesce(F.get_json_object("e.value", "$.info"), F.when(~F.col("e.value").startswith("{"), F.col("e.value"))).alias("info"))
 
 
-def with_metadata(flows: DataFrame, metadata: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
-    """Metadata beside flows, defaults where it is missing or broken."""
+def with_metadata(flows: DataFrame, metadata: DataFrame, key: str, defaults: dict[str, Column], json: str | None = None) -> DataFrame:
+    """Metadata beside flows, defaults where it is missing. With `json` the metadata are a column of JSON text of that name; broken text has no fields, so that the defaults hold."""
     joined = flows.join(metadata, key, "left")
-    return joined.withColumns({k: F.coalesce(F.col(k), v) for k, v in defaults.items()})
+    if json is None:
+        return joined.withColumns({k: F.coalesce(F.col(k), v) for k, v in defaults.items()})
+    whole = F.try_parse_json(F.col(json))
+    return joined.withColumns({k: F.coalesce(F.try_variant_get(whole, f"$.{k}", "string"), v) for k, v in defaults.items()}).drop(json)
 
 
 def catalogue(spark: SparkSession, doc: Column | None, rows: DataFrame) -> DataFrame:

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def write_json(df: DataFrame, path: str, gzip: bool = False) -> None:
     df.write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
 
 
+@F.pandas_udf(StringType())
+def _as_yaml(docs: pd.Series) -> pd.Series:
+    import yaml
+
+    return docs.map(lambda d: None if d is None else yaml.safe_dump(json.loads(d), sort_keys=False, allow_unicode=True, width=4096))
+
+
+def write_yaml(df: DataFrame, path: str, file: str = "build", doc: str = "doc") -> None:
+    """A folder per file name with the JSON document as YAML."""
+    write_pages(df.select(file, _as_yaml(F.col(doc)).alias("page")), path, file, "page")
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
 
