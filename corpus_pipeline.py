@@ -14,7 +14,8 @@ work folders. A stage itself deletes only folders of its own that its result doe
 5. tokens: the mixed corpus as token files in the order of doc_id, described by a row per document.
 
 Null texts are rejected by stage 1; null ids, sources and labels pass through all stages. Empty
-documents give an empty result. The columns of documents are kept up to stage 4.
+documents give an empty result. The columns of documents are kept up to stage 4, whatever their names;
+helper columns take names that documents don't have.
 """
 
 from __future__ import annotations
@@ -25,13 +26,10 @@ from pyspark.sql import functions as F
 from treeloom.llm import common, jaccard, langid, mixing, positional, token_files
 
 
-#: The name of the row number; no table should have a column named so.
-ROW = "_pipeline_row"
-
-
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, written with a number for each row, so that rows with equal or null ids stay apart."""
-    return common.materialize(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, so that rows with equal or null ids stay apart; and the number's name."""
+    row = common.free_name("_pipeline_row", docs)
+    return common.materialize(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def _settled(spark: SparkSession, df: DataFrame, name: str, first: int) -> DataFrame:
@@ -45,32 +43,33 @@ def _settled(spark: SparkSession, df: DataFrame, name: str, first: int) -> DataF
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(spark, docs, F.lit(True))
-    names = ("_lang_pred", "_lang_score", "_lang_rejected")
+    names = tuple(common.free_name(k, docs) for k in ("_lang_pred", "_lang_score", "_lang_rejected"))
     return langid.predict(spark, docs, model, names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(spark, docs)
+    rows, row = _numbered(spark, docs)
     first = len(common.CREATED)
-    found = jaccard.join(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id")
+    found = jaccard.join(spark, rows.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id")
     # Row numbers stand for ids in the join; the row that stays is the one with the smallest doc_id.
     members = found.select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_group"))
     heads = members.select(F.col("_group").alias("_member"), "_group").distinct()
-    grouped = members.unionByName(heads).join(rows.select(F.col(ROW).alias("_member"), "doc_id"), "_member")
+    grouped = members.unionByName(heads).join(rows.select(F.col(row).alias("_member"), "doc_id"), "_member")
     grouped = _settled(spark, grouped, "near-groups", first)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_member").alias("row"))
     kept = grouped.groupBy(F.col("_group").alias("_g")).agg(F.min(order)["row"].alias("_keep"))
-    gone = grouped.join(kept, F.col("_group") == F.col("_g")).where("_member <> _keep").select(F.col("_member").alias("_gone"))
-    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").select(*docs.columns)
+    kept = common.materialize(spark, kept, "near-kept")  # a plain exchange on both sides, so that a hot group is split
+    gone = grouped.join(kept, F.col("_group") == F.col("_g")).where("_member <> _keep").select(F.col("_member").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(spark, docs)
+    rows, row = _numbered(spark, docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     first = len(common.CREATED)
-    hit = positional.decontaminate(spark, rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_gone"))
+    hit = positional.decontaminate(spark, rows.select(F.col(row).alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias(row))
     hit = _settled(spark, hit, "hits", first)
-    return rows.join(hit, rows[ROW] == hit["_gone"], "left_anti").select(*docs.columns)
+    return rows.join(hit, row, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
