@@ -451,7 +451,8 @@ def test_exchange_over_several_steps(spark, monkeypatch):
     def keys_of(row):
         _, _, data, offs = chunks.rows_of(row)
         for kind, lower in ((1, True), (2, False)):
-            yield kind, *np.unique(words.split(data, offs, lower=lower).hashes, return_counts=True)
+            keys, counts = np.unique(words.split(data, offs, lower=lower).hashes, return_counts=True)
+            yield kind, keys, counts.astype(np.uint64) * np.uint64(3_000_000_000)  # beyond 32 bits
 
     truth, own = collections.Counter(), {}
     for r in packed.collect():

@@ -56,3 +56,14 @@ def test_earlier_results_stay_readable(spark, docs, folder):
     corpus_pipeline.decontaminate(spark, docs, folder)
     corpus_pipeline.run(spark, folder)
     assert left.count() == n and first.count() == tokens
+
+
+def test_odd_columns_and_repeated_runs(spark, docs, folder, tmp_path):
+    """Null sources and ids pass, clashing names stay, and a second run gives the same rows."""
+    odd = docs.selectExpr("doc_id", "text", "lang", "CAST(NULL AS string) AS source", "n_chars", "1 AS _pipeline_row", "'mine' AS _lang_pred", "2 AS _keep")
+    one, two, three, four, _ = [f for _, f in corpus_pipeline.STAGES]
+    out = four(spark, three(spark, two(spark, one(spark, odd, folder), folder), folder), folder)
+    assert out.columns == odd.columns
+    assert {(r._pipeline_row, r._lang_pred, r._keep, r.source) for r in out.collect()} == {(1, "mine", 2, None)}
+    runs = [sorted(map(str, corpus_pipeline.run(spark, folder).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]

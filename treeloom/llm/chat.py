@@ -9,8 +9,8 @@ Only DataFrame functions are used; a pair is gathered once, by its id. Nulls: a
 rendered as `unknown`, a null text is empty; a null turn number sorts first; rows with a null
 pair id form one pair. Turns with equal numbers follow role and text; repeated rows are repeated
 turns. A side without turns gives an empty completion, and if one conversation is the beginning of
-the other, its completion is empty. Template marks inside texts are broken up by a space. Empty
-table: no rows. Extra columns are ignored.
+the other, its completion is empty. Template marks inside texts are broken up by a space. Very long texts are
+rendered whole. Rows with a null side belong to neither. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,9 +75,9 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """The stand-in for judged pairs: conversation 2k is chosen over 2k + 1."""
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.coalesce(F.col("conv_id"), F.lit(0)) % 2 == 0).alias("chosen"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
+    """The stand-in for judged pairs: conversation 2k is chosen over 2k + 1. Turns without a conversation have no neighbour and are left out."""
+    return conversations.where(F.col("conv_id").isNotNull()).select(
+        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
 
 

@@ -12,7 +12,8 @@ Counting is exact, over all training texts, in exchanges by bucket (see chunks).
 
 Nulls: a null text is empty and has its end alone; a null doc_id is in the training part. Repeated
 rows count as often as they occur. Without training texts all counts are 0 and every token has the
-base's probability. Empty table: no rows. Extra columns are ignored. Texts are scored whole.
+base's probability. Ties can't occur: counts and scores don't depend on any order. Empty table: no rows. Extra columns
+are ignored, whatever their names. Texts of any length are scored whole.
 """
 
 from __future__ import annotations

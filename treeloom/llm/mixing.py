@@ -12,7 +12,7 @@ slice starts from the sum of the slices before it.
 Only DataFrame functions are used. Nulls: a null text has size 0 and takes 0; a null source is a source of its own,
 last in order; a null doc_id draws a key like an id of its own. Ties of keys go by doc_id, then size.
 Repeated rows are drawn and counted one by one. Documents of size 0 take nothing. Empty table: no
-rows. Extra columns are ignored.
+rows. Extra columns are ignored by mix and kept by apply_mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,13 +103,16 @@ def apply_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Columns are those of docs. Rows are numbered first and mixed under their number, so that rows
     with equal or null ids are each taken as planned; the key is still drawn from doc_id.
     """
-    rows = common.materialize(spark, docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = mix(spark, rows, row="_mix_row", **options).where("taken > 0").select(F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    joined = rows.join(plan, F.col("_mix_row") == F.col("_r")).withColumn("_copy", F.explode(F.expr("sequence(0L, (_taken + _size - 1) div _size - 1)")))
-    left = F.col("_taken") - F.col("_copy") * F.col("_size")
+    name = {k: common.free_name(f"_mix_{k}", docs) for k in ("row", "size", "taken", "copy")}
+    row, size, taken, copy = name["row"], F.col(name["size"]), F.col(name["taken"]), F.col(name["copy"])
+    rows = common.materialize(spark, docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(spark, rows, row=row, **options).where("taken > 0").select(F.col("row").alias(row), F.col("size").alias(name["size"]), F.col("taken").alias(name["taken"]))
+    copies = F.floor((taken + size - 1) / size).cast("long")
+    joined = rows.join(plan, row).withColumn(name["copy"], F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    left = taken - copy * size
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0)).cast("int")), "")
-    return joined.withColumn("text", F.when(left >= F.col("_size"), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return joined.withColumn("text", F.when(left >= size, F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 #: The same in SQL: keys come from the same digits of the same hash.
