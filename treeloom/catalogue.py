@@ -368,7 +368,8 @@ _TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda t: l
 
 @query(f"SELECT doc_id, len({_TOK.format('text')})::BIGINT AS n_tokens, len(list_filter({_TOK.format('text')}, lambda t: list_contains({_TOK.format(repr('license token email this work have than'))}, t))) >= 2 AS anchored FROM documents")
 def anchor_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), T.anchored(F.col("text"), F.lit("license token email this work have than")).alias("anchored"))
+    rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("own"))
+    return rows.select("doc_id", F.size("own").cast("long").alias("n_tokens"), (T.shared_tokens(F.col("own"), T.tokens(F.lit("license token email this work have than"))) >= 2).alias("anchored"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, trim(text) AS t, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM documents),

@@ -102,10 +102,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda t: (F.length(t) >= 4) & ~t.isin(*STOPWORDS))
 
 
+def shared_tokens(own: Column, known: Column) -> Column:
+    """How many of a list of tokens, repeats counted, another list has; the other one is made once a row, not once a token."""
+    return F.element_at(F.transform(F.array(known), lambda k: F.size(F.filter(own, lambda t: F.array_contains(k, t)))), 1)
+
+
 def anchored(info: Column, evidence: Column, least: int = 2) -> Column:
-    """True if so many tokens of info, repeats counted, occur in the evidence. The evidence is cut into tokens once a row, not once a token."""
-    found = F.transform(F.array(tokens(evidence)), lambda known: F.size(F.filter(tokens(info), lambda t: F.array_contains(known, t))))
-    return F.coalesce(F.element_at(found, 1) >= least, F.lit(False))
+    """True if so many tokens of info, repeats counted, occur in the evidence."""
+    return F.coalesce(shared_tokens(tokens(info), tokens(evidence)) >= least, F.lit(False))
 
 
 def jsonpath_segments(path: Column) -> Column:

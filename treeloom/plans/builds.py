@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diff as D
+from ..operators.cut import written
 
 #: Fields of the info block that are compared. Fixed values, as are the section names below.
 INFO_FIELDS = ("title", "description", "domain", "version", "x-branch-name", "x-reporting")
@@ -152,7 +153,7 @@ def _rooted(rows: DataFrame, section: str, keys: list[str], root: Column, label:
 
 def diff_flows(old: DataFrame, new: DataFrame) -> DataFrame:
     """Flows are compared by id; the last of equal ids counts."""
-    a, b = _last(flows(old), ["build", "id"]), _last(flows(new), ["build", "id"])
+    a, b = [written(_last(flows(x), ["build", "id"]), "flows") for x in (old, new)]  # documents are parsed once
     d = D.keyed_diff(a, b, ["build", "id"], ["description", "usecase"])
     base = F.concat(F.lit("x-flows."), F.col("id"))
     out = _came_and_went(d, "flows", base, _say('Flow added: "', F.col("id"), '" (', F.col("usecase_new"), ")"), _say('Flow removed: "', F.col("id"), '"'))
@@ -167,7 +168,7 @@ def diff_flows(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def diff_attributes(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = ["build", "use_case"]
-    a, b = _last(attribute_sets(old), keys), _last(attribute_sets(new), keys)
+    a, b = [written(_last(attribute_sets(x), keys), "attribute-sets") for x in (old, new)]
     canon = lambda t: t.withColumn("meta", T.canonical(F.col("meta")))
     d = D.keyed_diff(canon(a), canon(b), keys, ["meta"])
     base = F.concat(F.lit("x-attributes."), F.col("use_case"))
@@ -209,13 +210,13 @@ def diff_actions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def diff_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     paths = lambda b: b.select("build", F.explode(entries_of(part(F.col("doc"), "paths"))).alias("e")).select("build", F.col("e.key").alias("p"), F.col("e.value").alias("ops"))
-    a, b = paths(old), paths(new)
+    a, b = written(paths(old), "paths"), written(paths(new), "paths")
     base = F.concat(F.lit("paths."), F.col("p"))
     out = _came_and_went(D.keyed_diff(a, b, ["build", "p"], ["ops"]), "paths", base, _say("Path added: ", F.col("p")), _say("Path removed: ", F.col("p")))
     shared = a.select("build", "p").join(b.select("build", "p"), ["build", "p"], "left_semi")
     ops = lambda t: t.join(shared, ["build", "p"], "left_semi").select("build", "p", F.explode(entries_of(F.col("ops"))).alias("e")).select("build", "p", F.col("e.key").alias("m"), F.col("e.value").alias("op"))
     keys = ["build", "p", "m"]
-    a, b = ops(a), ops(b)
+    a, b = written(ops(a), "operations"), written(ops(b), "operations")
     name = F.concat(F.upper("m"), F.lit(" "), F.col("p"))
     at = F.concat(base, F.lit("."), F.col("m"))
     out = out.unionByName(_came_and_went(D.keyed_diff(a, b, keys, ["op"]), "paths", at, _say("Method added: ", name), _say("Method removed: ", name)))
