@@ -8,9 +8,13 @@ Sets are the distinct 5-word shingles of lower-cased texts. Two sets link when
    shingles, rare ones first, so the exchange uses shortened keys: any order that is the same for
    all sets gives a correct prefix filter.
 3. Two similar sets share a shingle of their prefixes (the first n - ceil(0.75 n) + 1 shingles).
-   Sets that share none are never compared; what prefixes connect falls into groups.
-4. A group is joined in units: sets by size class (two similar sets are in the same or neighbouring
-   classes) and by blocks of bounded size, each pair of blocks once. In a unit, inverted lists of
+   Sets that share none are never compared. What prefixes connect falls into groups, which only say
+   what may be put into one unit: a group is cut into blocks, by size class (two similar sets are in the
+   same or neighbouring classes) and by hash into bounded ones.
+4. A group whose classes are one block each is joined class by class. Otherwise a set goes to the
+   blocks that hold a set with which it shares a prefix shingle, and to no others, so that a large, loosely
+   connected group costs what its candidates cost and not the square of its blocks; each pair of blocks is one
+   unit. In a unit, inverted lists of
    prefix shingles are sorted by how many shingles follow, so that all entries whose position
    can't reach the overlap are skipped at once; and the overlaps of a set are derived from those of
    a similar set that has been answered, by going through the lists of the difference only.
@@ -20,14 +24,15 @@ A unit never emits pairs: a row per set with its root in the unit and its number
 
 Nulls: a null or empty text has the empty set, links with nothing and is its own component. A null
 doc_id is larger than any other; a component of such rows alone has a null component_id. Repeated
-rows are copies of each other. Empty table: no rows. Extra columns are ignored.
+rows are copies of each other; of equally frequent shingles the one with the smaller hash comes first. Texts of any
+length are read whole. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chunks, common, components, words
@@ -253,28 +258,40 @@ def _join_unit(percent: int):
     return run
 
 
-def _units(sets: DataFrame, groups: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """A row per set and unit: blocks of a group's size classes, each pair of blocks that can hold similar sets."""
+def _units(spark: SparkSession, sets: DataFrame, postings: DataFrame, groups: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """A row per set and unit. postings: rid, shingle of the prefixes that more than one set has."""
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     rows = sets.join(groups, sets.rid == groups.node).join(weights, sets.rid == weights.w_rid)
     rows = rows.select("rid", "n", F.size("prefix").alias("prefix"), "shared", "weight", F.col("root").alias("group"), F.floor(F.log("n") / step + 1e-9).cast("int").alias("kind"))
+    rows = common.materialize(spark, rows, "jaccard-grouped")
     sizes = rows.groupBy("group", "kind").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("shared") / 8).alias("t"))
     sizes = sizes.select(F.col("group").alias("g"), F.col("kind").alias("k"), F.ceil(F.greatest(F.col("c") / UNIT_SETS, F.col("t") / UNIT_SHINGLES)).cast("int").alias("blocks"))
     up = sizes.select(F.col("g").alias("g2"), (F.col("k") - 1).alias("k2"), F.col("blocks").alias("next"))
     down = sizes.select(F.col("g").alias("g3"), (F.col("k") + 1).alias("k3"), F.col("blocks").alias("previous"))
     sizes = sizes.join(up, (F.col("g") == F.col("g2")) & (F.col("k") == F.col("k2")), "left").join(down, (F.col("g") == F.col("g3")) & (F.col("k") == F.col("k3")), "left")
-    sizes = sizes.select("g", "k", "blocks", F.coalesce("next", F.lit(0)).alias("next"), F.coalesce("previous", F.lit(0)).alias("previous"))
+    sizes = sizes.select("g", "k", "blocks", F.coalesce("next", F.lit(0)).alias("next"), F.coalesce("previous", F.lit(0)).alias("previous"), F.max("blocks").over(Window.partitionBy("g")).alias("most"))  # a group has a row per class, some dozens
+    sizes = common.materialize(spark, sizes, "jaccard-sizes")  # both sides of the join below are then plain exchanges, which Spark splits where a group is hot
     rows = rows.join(sizes, (F.col("group") == F.col("g")) & (F.col("kind") == F.col("k")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    own = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(F.col("kind").alias("kind"), F.lit(0).alias("up"), F.least(j, F.col("block")).alias("a"), F.greatest(j, F.col("block")).alias("b"), (j < F.col("block")).cast("int").alias("side")),
-    )
-    higher = F.transform(F.sequence(F.lit(1), F.col("next")), lambda j: F.struct(F.col("kind").alias("kind"), F.lit(1).alias("up"), F.col("block").alias("a"), (j - 1).alias("b"), F.lit(0).alias("side")))
-    lower = F.transform(F.sequence(F.lit(1), F.col("previous")), lambda j: F.struct((F.col("kind") - 1).alias("kind"), F.lit(1).alias("up"), (j - 1).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side")))
-    empty = F.array().cast("array<struct<kind:int,up:int,a:int,b:int,side:int>>")
-    every = F.concat(own, F.when(F.col("next") > 0, higher).otherwise(empty), F.when(F.col("previous") > 0, lower).otherwise(empty))
-    return rows.select("rid", "n", "prefix", "shared", "weight", "group", F.explode(every).alias("u")).select("rid", "n", "prefix", "shared", "weight", "group", F.col("u.kind").alias("kind"), F.col("u.up").alias("up"), F.col("u.a").alias("a"), F.col("u.b").alias("b"), F.col("u.side").cast("bigint").alias("side"))
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"), "whole": F.col("most") <= 1}).drop("g", "k", "blocks", "most")
+    unit = lambda kind, up, a, b, side: F.struct(kind.alias("kind"), F.lit(up).alias("up"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    kind, block = F.col("kind"), F.col("block")
+    every = F.array_compact(F.array(unit(kind, 0, zero, zero, zero), F.when(F.col("next") > 0, unit(kind, 1, zero, zero, zero)), F.when(F.col("previous") > 0, unit(kind - 1, 1, zero, zero, one))))
+    direct = rows.where("whole").withColumn("units", every)
+    # Blocks of the others: those of the sets on the lists of their prefix shingles.
+    large = common.materialize(spark, postings.join(rows.where("not whole").select("rid", "kind", "block"), "rid"), "jaccard-large")
+    lists = large.groupBy("shingle").agg(F.collect_set(F.struct("kind", "block")).alias("places"))
+    lists = common.materialize(spark, lists.select("shingle", F.sort_array("places").alias("places")), "jaccard-lists")
+    near = large.select("rid", "shingle").join(lists, "shingle").groupBy(F.col("rid").alias("p_rid")).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
+
+    def meet(p: Column) -> Column:
+        same = unit(kind, 0, F.least(block, p["block"]), F.greatest(block, p["block"]), p["block"] < block)
+        return F.when(p["kind"] == kind, same).when(p["kind"] == kind + 1, unit(kind, 1, block, p["block"], zero)).when(p["kind"] == kind - 1, unit(kind - 1, 1, p["block"], block, one))
+
+    others = rows.where("not whole").join(near, F.col("rid") == F.col("p_rid")).drop("p_rid")
+    others = others.withColumn("units", F.array_compact(F.transform("places", meet))).drop("places")
+    found = direct.unionByName(others).select("rid", "n", "prefix", "shared", "weight", "group", F.explode("units").alias("u"))
+    return found.select("rid", "n", "prefix", "shared", "weight", "group", "u.kind", "u.up", "u.a", "u.b", F.col("u.side").cast("bigint").alias("side"))
 
 
 def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -293,9 +310,10 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
     sets = common.materialize(spark, sets, "jaccard-prefixes")
     postings = sets.select("rid", F.explode("prefix").alias("shingle"))
     firsts = postings.groupBy("shingle").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = postings.join(firsts, "shingle").where("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
+    postings = common.materialize(spark, postings.join(firsts, "shingle").select("rid", "shingle", "first"), "jaccard-postings")
+    stars = postings.where("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
     groups = components.connected(spark, stars)
-    units = _units(sets, groups, classes.select("w_rid", "weight"), percent)
+    units = _units(spark, sets, postings.select("rid", "shingle"), groups, classes.select("w_rid", "weight"), percent)
     found = units.groupBy("group", "kind", "up", "a", "b").applyInArrow(_join_unit(percent), chunks.ddl(EDGE))
     found = common.materialize(spark, found, "jaccard-links")
     roots = components.connected(spark, found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
@@ -305,6 +323,7 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
     rows = infos.where("n > 0").join(by_class, ["f1", "f2", "n"]).select("rid", "doc_id", "n", "root", "n_links")
     rows = common.materialize(spark, rows, "jaccard-rows")
     least = rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
+    least = common.materialize(spark, least, "jaccard-components")  # a plain exchange on both sides, so that a hot component is split
     linked = rows.join(least, rows.root == least.r).select("doc_id", "rid", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = infos.where("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
