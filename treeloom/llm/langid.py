@@ -6,38 +6,45 @@ gradient descent in numpy on a bounded sample of labelled texts, drawn by a hash
 each language; part of the sample is kept aside to fit a temperature (calibration) and the score
 under which a prediction is rejected.
 
-Nulls and odd rows: a null text or one without a letter is `und` with score 0 and rejected; rows
-with a null label are never learned from; a null doc_id counts as not held out. Ties between
-languages go to the first by name. Repeated rows each get their prediction. Without any labelled row
-everything is `und`. Empty table: no rows. Extra columns are ignored. Texts are read whole.
+At most SAMPLE_TEXTS texts of a language are learned from, of all languages together at most ALL_TEXTS texts and SAMPLE_BYTES
+bytes, which they share evenly, but LEAST_TEXTS of each as far as they exist and fit in; a longer text is learned from by a random
+TRAIN_GRAMS of its subwords. Predictions read whole texts.
+
+Nulls and odd rows: a null text or one without a letter (Unicode category L) is `und` with score 0 and
+rejected; rows with a null label are never learned from; a null doc_id counts as not held out. Ties between
+languages go to the first by name. Repeated rows each get their prediction, equal rows are learned from once.
+Without any labelled row everything is `und`. Empty table: no rows. Extra columns are ignored; predict()
+keeps them and writes to the names it is given.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, words
 
 UNKNOWN = "und"
-#: Bound of the training sample: texts per language, and bytes of all languages, which share them evenly.
-SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 6_000_000
+#: Bounds of the training sample: texts per language, and bytes and texts of all languages.
+SAMPLE_TEXTS, SAMPLE_BYTES, ALL_TEXTS = 1500, 6_000_000, 12_000
 #: Texts per language at least, as far as they exist and fit into its share of bytes; one in any case.
 LEAST_TEXTS = 8
-#: Languages learned at most; the most frequent ones (a bound on the size of the model).
-MAX_LANGUAGES = 400
+#: Subwords of a text that are learned from, at most.
+TRAIN_GRAMS = 4096
+#: Languages learned at most; above the number of all codes of ISO 639, so that only labels which name no language can go beyond it.
+MAX_LANGUAGES = 8192
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 6, 4.0, 32
 #: Share of right, calibrated predictions that may fall under the rejecting score, and that score's bound.
 REJECT_SHARE, REJECT_MOST = 0.002, 0.5
 PIECE_BYTES = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _HIDE = np.arange(256, dtype=np.uint8)
 _HIDE[:0x80] = 0x20  # all ASCII but letters is a border
 _HIDE[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -79,17 +86,26 @@ def grams(data: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS) -> tuple[n
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # the linear layer applied to each bucket's embedding
+    table: np.ndarray  # a row per bucket: its embedding, or with few languages the linear layer applied to it
     bias: np.ndarray
+    layer: np.ndarray | None = None  # the linear layer, where the table has embeddings
     temperature: float = 1.0
     reject_under: float = 0.0
 
+    @classmethod
+    def of(cls, languages: list[str], embedding: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> Model:
+        """The smaller of two equal forms: a row never has more than DIMENSIONS numbers, however many languages there are."""
+        if len(languages) <= embedding.shape[1]:
+            return cls(languages, (embedding @ layer).astype(np.float32), bias)
+        return cls(languages, embedding, bias, layer)
+
     def logits(self, bucket: np.ndarray, offs: np.ndarray) -> np.ndarray:
         out = np.tile(self.bias, (len(offs) - 1, 1))
         size = np.diff(offs)
         full = np.flatnonzero(size)
         if len(full):
-            out[full] += np.add.reduceat(self.table[bucket], offs[full], axis=0) / size[full, None]
+            mean = np.add.reduceat(self.table[bucket], offs[full], axis=0) / size[full, None]
+            out[full] += mean if self.layer is None else mean @ self.layer
         return out
 
     def probabilities(self, bucket, offs) -> np.ndarray:
@@ -137,7 +153,7 @@ def train(bucket: np.ndarray, offs: np.ndarray, label: np.ndarray, languages: li
             w -= np.float32(rate) * (mean.T @ p)
             b -= np.float32(rate * 0.1) * p.sum(axis=0)
             np.subtract.at(e, flat, np.float32(rate * len(rows)) * np.repeat(back, length, axis=0))
-    model = Model(languages, (e @ w).astype(np.float32), b)
+    model = Model.of(languages, e, w, b)
     held = np.flatnonzero(aside) if aside.sum() >= 20 else np.arange(n)
     if n:
         _calibrate(model, bucket, offs, label, held, size)
@@ -156,11 +172,11 @@ def _calibrate(model: Model, bucket, offs, label, held, size) -> None:
         model.reject_under = float(min(REJECT_MOST, np.quantile(scores, REJECT_SHARE)))
 
 
-def _chosen(candidates: list, share: float) -> list:
-    """Of one language's candidates (draw, bytes): whole texts in order of draw as they fit into its share of bytes."""
+def _chosen(candidates: list, share: float, texts: int) -> list:
+    """Of one language's candidates (draw, bytes): whole texts in order of draw as they fit into its share of bytes and texts."""
     taken, size = [], 0
     for draw, n in candidates:
-        if len(taken) < SAMPLE_TEXTS and size + n <= share:
+        if len(taken) < texts and size + n <= share:
             taken.append(draw)
             size += n
     if len(taken) < LEAST_TEXTS:  # the shortest ones, so that as many as possible fit
@@ -181,17 +197,17 @@ def draw_sample(spark: SparkSession, rows: DataFrame) -> tuple[list[str], DataFr
     have = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not have:
         return [], None
-    share = SAMPLE_BYTES / len(have)
+    share, texts = SAMPLE_BYTES / len(have), min(SAMPLE_TEXTS, max(LEAST_TEXTS, ALL_TEXTS // len(have)))
     limits = []
     for r in have:
-        part = min(1.0, max(2 * min(SAMPLE_TEXTS / r.n, share / max(1, r.bytes)), 8 * LEAST_TEXTS / r.n))
+        part = min(1.0, max(2 * min(texts / r.n, share / max(1, r.bytes)), 8 * LEAST_TEXTS / r.n))
         limits.append((r.lang, max(r.least, min((1 << 63) - 1, int(part * 2.0**64) - (1 << 63)))))
     limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])
     near = rows.where(F.col("draw") <= limit[F.col("lang")])
     candidates: dict[str, list] = {r.lang: [] for r in have}
     for r in near.groupBy("lang", "draw").agg(F.min(F.octet_length("text")).alias("bytes")).toLocalIterator():
         candidates[r.lang].append((r.draw, r.bytes))
-    chosen = [(k, draw) for k, v in candidates.items() for draw in _chosen(sorted(v), share)]
+    chosen = [(k, draw) for k, v in candidates.items() for draw in _chosen(sorted(v), share, texts)]
     chosen = F.broadcast(spark.createDataFrame(chosen, "lang string, draw bigint"))
     return sorted(candidates), near.join(chosen, ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).select("lang", "text", "draw")
 
@@ -211,19 +227,27 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column, text: str = "text"
             data, offs = common.text_bytes(batch.column(1))
             for i, j, d, o in common.pieces(data, offs, PIECE_BYTES):
                 g, at = grams(d, o)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([common.blob(g[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["lang", "draw", "grams"])
+                draws = batch.column(2).slice(i, j - i)
+                found = [common.blob(_some(g[a:b], draw)) for a, b, draw in zip(at[:-1], at[1:], draws.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), draws, pa.array(found, pa.binary())], names=["lang", "draw", "grams"])
 
-    found = sorted(((r.lang, r.draw, bytes(r.grams)) for r in sample.mapInArrow(shred, "lang string, draw bigint, grams binary").toLocalIterator()))
-    found = [r for r in found if r[2]]
     number = {k: i for i, k in enumerate(languages)}
-    label = np.array([number[r[0]] for r in found], np.int64)
-    parts = [np.frombuffer(r[2], np.int32) for r in found]
-    offs = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
-    bucket = np.concatenate([np.zeros(0, np.int32), *parts])
-    del found, parts
+    found = [(number[r.lang], r.draw, np.frombuffer(bytes(r.grams), np.int32)) for r in sample.mapInArrow(shred, "lang string, draw bigint, grams binary").toLocalIterator()]
+    found = sorted((r for r in found if len(r[2])), key=lambda r: r[:2])
+    label = np.array([r[0] for r in found], np.int64)
+    offs = np.concatenate([[0], np.cumsum([len(r[2]) for r in found], dtype=np.int64)]).astype(np.int64)
+    bucket = np.concatenate([np.zeros(0, np.int32), *[r[2] for r in found]])
+    del found
     return train(bucket, offs, label, languages)
 
 
+def _some(g: np.ndarray, draw: int) -> np.ndarray:
+    """At most TRAIN_GRAMS of a text's subwords in their order; which ones follows from the text's draw."""
+    if len(g) <= TRAIN_GRAMS:
+        return g
+    return g[np.sort(np.random.default_rng(draw & 0xFFFFFFFF).choice(len(g), TRAIN_GRAMS, replace=False))]
+
+
 def predict(spark: SparkSession, docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Add prediction, score and rejection to every row under the names given; needs the column text, keeps all other columns."""
     common.prepare(spark)
@@ -239,10 +263,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, added: tuple[str
         for batch in batches:
             column = batch.column(at).cast(pa.string())
             data, offs = common.text_bytes(column)
-            raw = data.tobytes()
             lang, score = [], []
             for i, j, d, o in common.pieces(data, offs, PIECE_BYTES):
-                letters = [_LETTER.search(raw[a:b].decode()) is not None for a, b in zip(offs[i:j], offs[i + 1 : j + 1], strict=True)]
+                letters = [_LETTER.search(d[a:b].tobytes().decode()) is not None for a, b in zip(o[:-1], o[1:], strict=True)]
                 if m.languages:
                     g, to = grams(d, o)
                     p = m.probabilities(g, to)
@@ -252,6 +275,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, added: tuple[str
                     known = ok and bool(m.languages)
                     lang.append(m.languages[best[k]] if known else UNKNOWN)
                     score.append(float(min(1.0, top[k])) if known else 0.0)
+            common.release()
             no = [x == UNKNOWN or s < m.reject_under for x, s in zip(lang, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=[*names, *added])
 
