@@ -6,10 +6,11 @@ rows), prunes it on the rest, removes what it covers, and stops when a rule is n
 The list is emitted as ordered CASE conditions.
 
 Only DataFrame functions run on the data; the learner sees numbers of at most MAX_LABELLED rows,
-drawn by a hash of the id. Nulls: a null text has no words and fails the base rules; a null doc_id
+those with the smallest hashes of the id. Nulls: a null text has no words and fails the base rules; a null doc_id
 matches no label; null labels are ignored; of several labels of a document the lowest holds.
-Repeated rows are each judged. Without labels the list is empty and base rules decide alone. Empty
-table: no rows. Extra columns are ignored.
+Repeated rows are each judged; the learner takes one of them, that with the least statistics. Ties of gain go to
+the first statistic and the lowest threshold. Without labels the list is empty and base rules decide alone. Empty
+table: no rows. Extra columns are ignored, whatever their names. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from . import common
 #: Bound of the labelled rows that the learner sees.
 MAX_LABELLED = 20_000
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 #: Words of a window whose repetition counts.
 REPEAT_WINDOW = 8
 #: The learner: candidate thresholds of a statistic, conditions of a rule, rules, least precision on the pruning rows.
@@ -75,12 +76,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.length("solid").cast("long").alias("word_chars"),
-        (F.length("solid") - F.length(F.regexp_replace("solid", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("solid") - F.length(F.translate("solid", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
-        F.length(F.regexp_replace("solid", r"[^\p{Lu}]", "")).cast("long").alias("n_upper"),
+        F.regexp_count("solid", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("solid", r"[\p{L}]", "")).cast("long").alias("n_other"),
     )
 
@@ -203,12 +204,13 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     """Learn from statistics of labelled documents that pass the base rules."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
-    total = known.count()
-    if total > MAX_LABELLED:
-        known = known.where(F.pmod(F.xxhash64("label_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / total))
+    # The smallest hashes, exact at any number of labels.
+    known = known.orderBy(F.xxhash64("label_id", F.lit(5)), "label_id").limit(MAX_LABELLED)
     tests = ratios()
-    rows = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", *[c.alias(k) for k, c in tests.items()])
-    found = sorted(tuple(r) for r in rows.limit(2 * MAX_LABELLED).collect())
+    rows = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("label_id")).select("label_id", "quality", F.struct(*[c.alias(k) for k, c in tests.items()]).alias("tests"))
+    # Of rows with one id the least statistics count, so that reruns learn from the same rows.
+    rows = rows.groupBy("label_id", "quality").agg(F.min("tests").alias("tests"))
+    found = sorted((r.label_id, r.quality, *r.tests) for r in rows.collect())
     if not found:
         return []
     table = np.array([r[2:] for r in found], float)
