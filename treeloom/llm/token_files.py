@@ -10,7 +10,8 @@ has seen is not encoded again. The ids equal those of the whole text; texts with
 space are cut only between printable ASCII characters.
 
 Nulls: a null text is empty and has the end id alone; null doc_ids come first. Repeated ids keep one
-row each, in an order fixed by their place in the file. Empty table: no rows. Extra columns are ignored.
+row each, in order of a hash of their texts. Texts of any length are encoded whole. Empty table: no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -246,8 +247,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFra
 def write_orc(spark: SparkSession, docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID) -> None:
     """Encode documents and write them in ascending doc_id order."""
     common.prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    # Rows with one id, or none, are dealt by their texts, so that they don't meet in one task.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     encoded = tokenize(ranged, path or tokenizer_path(), end_id).withColumn("row", F.monotonically_increasing_id())
     (
         encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
