@@ -5,7 +5,7 @@ Operators that need corpus-wide counts of shingles, windows or n-grams use `exch
 sends its distinct keys with their counts, by ranges of the hashed key, packed into one binary value
 per range; the counts of each key are added up and every chunk gets the sums of its own keys.
 
-A sender has at most FAN ranges in one step, so that a row carries thousands of keys at any size of
+A sender has at most FAN ranges in one step, so that a row carries about a hundred keys or more at any size of
 the corpus. Where the corpus needs more buckets than that, steps are chained: FAN senders' keys of a
 range are merged (the same key once), which makes a sender of the next step with its FAN finer
 ranges; sums go back the same way. Rows are FAN per chunk and step, linear in the text, and a task
@@ -26,7 +26,7 @@ from . import common, words
 #: A chunk is closed at so many bytes of text or texts; one longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_TEXTS = 8 << 20, 1 << 16
 #: Bytes of text per bucket of an exchange, and the ranges of a sender in one step.
-BUCKET_BYTES, FAN = 4 << 20, 2048
+BUCKET_BYTES, FAN = 4 << 20, 1 << 14
 #: Bytes of text for a compressed byte, about.
 RATIO = 3
 #: Bits of a row number below the chunk's number.
