@@ -172,7 +172,11 @@ class Encoder:
                 cut[1:n] |= _PUNCT[data[1:]] & _ALPHA[data[:-1]]
         cut[offs] = True
         at = np.flatnonzero(cut)
-        start, stop = at[:-1], at[1:]
+        return self._by_cuts(data, offs, at[:-1], at[1:])
+
+    def _by_cuts(self, data: np.ndarray, offs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and n+1 offsets of each text's ids, from those of the pieces; every text starts with a piece."""
+        raw = data.tobytes()
         h = _hash(data, start, stop)
         place = self.table.find(h)
         new = np.flatnonzero(place < 0)
