@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, chat, jaccard, langid, lm, mixing, positional, quality, substrings, token_files, warc
+from . import alignment, byte_bpe, chat, collocations, jaccard, langid, lm, mixing, positional, quality, substrings, token_files, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op12_token_alignment": op12_token_alignment, "op13_byte_bpe": op13_byte_bpe, "op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op6_substring_dedup": op6_substring_dedup, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op11_collocations": op11_collocations, "op12_token_alignment": op12_token_alignment, "op13_byte_bpe": op13_byte_bpe, "op10_lm_score": op10_lm_score, "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_token_files": op5_token_files, "op6_substring_dedup": op6_substring_dedup, "op7_preference_chat": op7_preference_chat, "op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
 
 ORACLE_SQL = {
     "op7_preference_chat": chat.ORACLE,
