@@ -3,8 +3,8 @@
 Both tokenizers read space + text: A is a byte-level vocabulary, B a piece model that adds the space
 itself. Python only makes ids and the byte offsets where tokens end. From there on arrays do the work:
 the ends that both have (array_intersect) cut a text into groups, every end of either closes exactly
-one link, and each token's number is spread over its bytes (array_repeat, sequence), so that groups
-and links find their tokens by place, in time linear in the text.
+one link, and each token's id or number is spread over its bytes (transform, sequence, array_repeat), so
+that groups and links find their tokens by place, in time linear in the text.
 
 An id pair's count is a plain grouping of all links. To bring counts back to documents, the most
 frequent pairs (as many as KEPT_PAIRS allows) are broadcast and summed up in place; links of the other
@@ -163,36 +163,48 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _owner(ends: Column) -> Column:
-    """For each byte the number, from 1 on, of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i + 1, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
+def _spread(values: Column, ends: Column) -> Column:
+    """For each byte the value of the token that holds it."""
+    return F.flatten(F.transform(values, lambda v, i: F.array_repeat(v, F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """Segments with their groups (text `a1,a2|b1;a3|b2,b3`) and their links, one pair (a * 2^32 + b) for each."""
-    a, b = F.col("a_ends"), F.col("b_ends")
+def _numbers(ends: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(ends) - 1)
+
+
+def _sides(ids: Column, ends: Column, cuts: Column) -> Column:
+    """For each group the ids of one side, as text."""
+
+    def text(names: Column, last: Column) -> Column:
+        before = lambda k: F.get(last, k - 1)
+        many = lambda z, k: F.array_join(F.slice(names, F.coalesce(before(k), F.lit(-1)) + 2, z - F.coalesce(before(k), F.lit(-1))), ",")
+        return F.transform(last, lambda z, k: F.when(before(k) == z - 1, F.get(names, z)).otherwise(many(z, k)))
 
-    def both(of_a: Column, of_b: Column) -> Column:
-        link = lambda e: F.get("a_ids", F.get(of_a, e - 1) - 1).cast("long") * F.lit(1 << 32) + F.get("b_ids", F.get(of_b, e - 1) - 1)
-        side = lambda ids, of, low, high: F.array_join(F.slice(ids, F.get(of, low), F.get(of, high - 1) - F.get(of, low) + 1), ",")
+    last = _let(_spread(_numbers(ends), ends), lambda owner: F.transform(cuts, lambda e: F.get(owner, e - 1)))  # the number of each group's last token
+    return _let(ids.cast("array<string>"), lambda names: _let(last, lambda z: text(names, z)))
 
-        def groups(ids_a: Column, ids_b: Column, cuts: Column) -> Column:
-            group = lambda k, low, high: F.concat(side(ids_a, of_a, low, high), F.lit("|"), side(ids_b, of_b, low, high))
-            return F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: group(k, F.coalesce(F.get(cuts, k - 2), F.lit(0)), F.get(cuts, k - 1)))
 
-        texts = _let(F.col("a_ids").cast("array<string>"), lambda x: _let(F.col("b_ids").cast("array<string>"), lambda y: _let(F.array_intersect(a, b), lambda c: groups(x, y, c))))
-        return F.struct(F.transform(F.array_union(a, b), link).alias("links"), texts.alias("groups"))
+def align(tokens: DataFrame) -> DataFrame:
+    """tokens with n_a, n_b, n_groups, n_links and the groups of each segment, as text `a1,a2|b1;a3|b2,b3`."""
+    a, b = F.col("a_ends"), F.col("b_ends")
+    whole = lambda cuts: F.zip_with(_sides(F.col("a_ids"), a, cuts), _sides(F.col("b_ids"), b, cuts), lambda x, y: F.concat(x, F.lit("|"), y))
+    groups = F.when(F.size(a) > 0, _let(F.array_intersect(a, b), lambda cuts: F.struct(F.size(cuts).cast("long").alias("n"), F.array_join(whole(cuts), ";").alias("text"))))
+    n_a, n_b, n = F.size(a).cast("long"), F.size(b).cast("long"), F.coalesce("g.n", F.lit(0).cast("long"))
+    # Every end of either side closes one link, and the ends of both are those of groups.
+    return tokens.withColumn("g", groups).select(*tokens.columns, n_a.alias("n_a"), n_b.alias("n_b"), n.alias("n_groups"), (n_a + n_b - n).alias("n_links"), F.coalesce("g.text", F.lit("")).alias("groups"))
 
-    found = tokens.withColumn("found", F.when(F.size(a) > 0, _let(_owner(a), lambda x: _let(_owner(b), lambda y: both(x, y)))))
-    none = F.array().cast("array<bigint>")
-    return found.select(
-        "row", "doc_id", "segment", "segments", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.coalesce(F.size("found.groups"), F.lit(0)).cast("long").alias("n_groups"),
-        F.coalesce(F.array_join("found.groups", ";"), F.lit("")).alias("groups"), F.coalesce("found.links", none).alias("links"),
-    )
+
+def links(tokens: DataFrame) -> DataFrame:
+    """row, pair (a * 2^32 + b): each link of each row. A link ends where either token does, and there both are found by place."""
+    by_byte = tokens.where(F.size("a_ends") > 0).select(
+        "row", _spread(F.col("a_ids"), F.col("a_ends")).alias("a"), _spread(F.col("b_ids"), F.col("b_ends")).alias("b"), F.array_union("a_ends", "b_ends").alias("ends")
+    )
+    at = lambda side: F.get(side, F.col("e") - 1).cast("long")
+    return by_byte.select("row", "a", "b", F.explode("ends").alias("e")).select("row", (at("a") * F.lit(1 << 32) + at("b")).alias("pair"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """pair, n (its links in the corpus), top (no pair with its B id has more), from a column of pairs."""
+    """pair, n (its links in the corpus), top (no pair with its B id has more), from a column of them."""
     counts = links.groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     best = counts.groupBy("b").agg(F.max("n").alias("best"))  # as many rows as B's vocabulary at most
     return counts.join(best, "b").select("pair", "n", (F.col("n") == F.col("best")).alias("top"))
@@ -211,22 +223,21 @@ def _least_kept(counts: DataFrame, kept: int) -> int:
 
 def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, kept_pairs: int = KEPT_PAIRS) -> DataFrame:
     """Per document: numbers of tokens, groups and links, the sum of its links' counts, links with their B id's highest count, and a digest of its groups."""
-    text = F.when(F.col("segments") > 1, F.col("groups"))
-    digest = F.when((F.col("segments") == 1) & (F.col("n_a") > 0), F.sha2("groups", 256))
-    rows = common.materialize(spark, align(tokenise(spark, docs, paths)).withColumn("digest", digest).withColumn("groups", text), "aligned")
-    links = rows.select("row", F.explode("links").alias("pair"))
-    counts = common.materialize(spark, pair_counts(links.select("pair")), "pair-counts")
+    many = F.col("segments") > 1
+    digest = F.when(~many & (F.col("n_a") > 0), F.sha2("groups", 256))
+    rows = common.materialize(spark, align(tokenise(spark, docs, paths)).withColumn("digest", digest).withColumn("groups", F.when(many, F.col("groups"))), "aligned")
+    pairs = links(rows)
+    counts = common.materialize(spark, pair_counts(pairs.select("pair")), "pair-counts")
     least = _least_kept(counts, kept_pairs)
-    met = links.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
+    met = pairs.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
     rest = F.when(F.col("n").isNull(), F.col("pair")).alias("rest")
     summed = common.materialize(spark, met.groupBy("row", rest).agg(F.count("*").alias("m"), F.sum("n").alias("count_sum"), F.count_if("top").alias("n_best")), "link-sums")
     others = counts.where(F.col("n") < least).withColumnRenamed("pair", "rest")
     late = summed.where("rest is not null").select("row", "rest", "m").join(others, "rest").select("row", (F.col("m") * F.col("n")).alias("count_sum"), F.when(F.col("top"), F.col("m")).otherwise(0).alias("n_best"))
     sums = summed.where("rest is null").select("row", "count_sum", "n_best").unionByName(late).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    parts = F.array_sort(F.collect_list(F.when(F.col("segments") > 1, F.struct("segment", "groups"))))
+    parts = F.array_sort(F.collect_list(F.when(many, F.struct("segment", "groups"))))
     whole = F.sha2(F.array_join(F.transform("parts", lambda p: p["groups"]), ";"), 256)
-    docs = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups")), F.sum(F.size("links").cast("long")).alias("n_links"), F.max("digest").alias("digest"), parts.alias("parts"))
+    numbers = ("n_a", "n_b", "n_groups", "n_links")
+    docs = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return docs.join(sums, "row", "left").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256")
-    )
+    return docs.join(sums, "row", "left").select("doc_id", *numbers, zero("n_best"), zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))
