@@ -3,7 +3,7 @@
 Both tokenizers read space + text: A is a byte-level vocabulary, B a piece model that adds the space
 itself. Python only makes ids and the byte offsets where tokens end. From there on arrays do the work:
 the ends that both have (array_intersect) cut a text into groups, every end of either closes exactly
-one link, and each token's id or number is spread over its bytes (transform, sequence, array_repeat), so
+one link, and each token's number is spread over its bytes (transform, sequence, array_repeat), so
 that groups and links find their tokens by place, in time linear in the text.
 
 An id pair's count is a plain grouping of all links. To bring counts back to documents, the most
@@ -94,9 +94,9 @@ class Pieces(token_files.Encoder):
         at = np.flatnonzero(cut)
         return self._by_cuts(data, offs, at[:-1], at[1:])
 
-    def _ids(self, piece: bytes) -> list[int]:
-        text = piece.decode()[1:]
-        return self.model.encode(text) if text else [self.model.piece_to_id("▁")]
+    def _all_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        alone = [self.model.piece_to_id("▁")]  # an empty text wouldn't get the space
+        return [ids or alone for ids in self.model.encode([p.decode()[1:] for p in pieces], num_threads=1)]
 
 
 _made: dict = {}
@@ -108,13 +108,13 @@ def _both(paths: tuple[str, str]):
     return _made[paths]
 
 
-def _segments(ids: tuple, ends: tuple) -> list[tuple]:
+def _segments(ids: tuple, ends: tuple, segment_bytes: int) -> list[tuple]:
     """ids and ends of A and B cut at common ends; ends count from the segment's start."""
     size = int(ends[0][-1]) if len(ends[0]) else 0
-    if size <= SEGMENT_BYTES:
+    if size <= segment_bytes:
         return [(ids[0], ends[0], ids[1], ends[1])]
     common_ends = np.intersect1d(*ends, assume_unique=True)
-    cuts = np.unique(common_ends[np.searchsorted(common_ends, np.arange(SEGMENT_BYTES, size, SEGMENT_BYTES))])
+    cuts = np.unique(common_ends[np.searchsorted(common_ends, np.arange(segment_bytes, size, segment_bytes))])
     out, before = [], (0, 0, 0)
     for cut in np.union1d(cuts, [size]).tolist():
         to = (cut, int(np.searchsorted(ends[0], cut, "right")), int(np.searchsorted(ends[1], cut, "right")))
@@ -124,7 +124,12 @@ def _segments(ids: tuple, ends: tuple) -> list[tuple]:
     return out
 
 
-def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """doc_id, text to a row per segment: ids and byte offsets of token ends by both tokenizers. The files must exist on every executor."""
     common.prepare(spark)
     paths = paths or vocabulary_paths()
@@ -146,11 +151,12 @@ def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None
                         runs = [(int(x[k]), int(x[k + 1])) for _, x in found]
                         whole = spaced[at[k] : at[k + 1]]
                         if all(np.array_equal(s[p[a] : p[z]], whole) for s, p, (a, z) in zip(spelled, place, runs, strict=True)):
-                            own = _segments(tuple(x[a:z] for (x, _), (a, z) in zip(found, runs, strict=True)), tuple(p[a + 1 : z + 1] - p[a] for p, (a, z) in zip(place, runs, strict=True)))
+                            own = _segments(tuple(x[a:z] for (x, _), (a, z) in zip(found, runs, strict=True)), tuple(p[a + 1 : z + 1] - p[a] for p, (a, z) in zip(place, runs, strict=True)), segment_bytes)
                         k += 1
                     number = next(row)
                     rows += [(number, i + d, s, len(own), x) for s, x in enumerate(own)]
-                lists = [pa.array([x[c] if x else [] for *_, x in rows], pa.list_(pa.int32())) for c in range(4)]
+                none = np.zeros(0, np.int32)
+                lists = [_lists([x[c] if x else none for *_, x in rows]) for c in range(4)]
                 ids = batch.column(0).take(pa.array([r[1] for r in rows]))
                 common.release()
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), *lists], names=["row", "doc_id", "segment", "segments", "a_ids", "a_ends", "b_ids", "b_ends"])
@@ -163,44 +169,49 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _spread(values: Column, ends: Column) -> Column:
-    """For each byte the value of the token that holds it."""
-    return F.flatten(F.transform(values, lambda v, i: F.array_repeat(v, F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
+def _owners(ends: Column) -> Column:
+    """For each byte the number, from 1 on, of the token that holds it."""
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.array_repeat(i, F.element_at(ends, i) - F.coalesce(F.get(ends, i - 2), F.lit(0)))))
+
 
+def _starts(ends: Column) -> Column:
+    return F.concat(F.array(F.lit(0)), ends)
 
-def _numbers(ends: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(ends) - 1)
 
+def _groups(a_names: Column, b_names: Column, a_starts: Column, b_starts: Column, of_a: Column, of_b: Column, cuts: Column) -> Column:
+    """The text of each group, which ends at a cut. Mostly it is one token of either side: two that begin and end together."""
+    at = F.element_at
 
-def _sides(ids: Column, ends: Column, cuts: Column) -> Column:
-    """For each group the ids of one side, as text."""
+    def side(names: Column, of: Column, low: Column, high: Column) -> Column:
+        first = F.coalesce(F.get(of, low), F.lit(1))
+        return F.array_join(F.slice(names, first, at(of, high) - first + 1), ",")
 
-    def text(names: Column, last: Column) -> Column:
-        before = lambda k: F.get(last, k - 1)
-        many = lambda z, k: F.array_join(F.slice(names, F.coalesce(before(k), F.lit(-1)) + 2, z - F.coalesce(before(k), F.lit(-1))), ",")
-        return F.transform(last, lambda z, k: F.when(before(k) == z - 1, F.get(names, z)).otherwise(many(z, k)))
+    def text(e: Column, k: Column) -> Column:
+        low = F.coalesce(F.get(cuts, k - 1), F.lit(0))
+        several = F.concat(side(a_names, of_a, low, e), F.lit("|"), side(b_names, of_b, low, e))
+        return F.when(at(a_starts, at(of_a, e)) == at(b_starts, at(of_b, e)), F.concat(at(a_names, at(of_a, e)), F.lit("|"), at(b_names, at(of_b, e)))).otherwise(several)
 
-    last = _let(_spread(_numbers(ends), ends), lambda owner: F.transform(cuts, lambda e: F.get(owner, e - 1)))  # the number of each group's last token
-    return _let(ids.cast("array<string>"), lambda names: _let(last, lambda z: text(names, z)))
+    return F.transform(cuts, text)
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokens with n_a, n_b, n_groups, n_links and the groups of each segment, as text `a1,a2|b1;a3|b2,b3`."""
+    """row, doc_id, segment, segments, n_a, n_b, n_groups, the groups of a segment (text `a1,a2|b1;a3|b2,b3`) and its links.
+
+    links has a pair, a * 2^32 + b, for each end of either side: where a token ends, one link does, and both its
+    tokens are found by place. Ends of both sides are those of groups.
+    """
     a, b = F.col("a_ends"), F.col("b_ends")
-    whole = lambda cuts: F.zip_with(_sides(F.col("a_ids"), a, cuts), _sides(F.col("b_ids"), b, cuts), lambda x, y: F.concat(x, F.lit("|"), y))
-    groups = F.when(F.size(a) > 0, _let(F.array_intersect(a, b), lambda cuts: F.struct(F.size(cuts).cast("long").alias("n"), F.array_join(whole(cuts), ";").alias("text"))))
-    n_a, n_b, n = F.size(a).cast("long"), F.size(b).cast("long"), F.coalesce("g.n", F.lit(0).cast("long"))
-    # Every end of either side closes one link, and the ends of both are those of groups.
-    return tokens.withColumn("g", groups).select(*tokens.columns, n_a.alias("n_a"), n_b.alias("n_b"), n.alias("n_groups"), (n_a + n_b - n).alias("n_links"), F.coalesce("g.text", F.lit("")).alias("groups"))
+    a_code, b_code = F.transform("a_ids", lambda x: x.cast("long") * F.lit(1 << 32)), F.col("b_ids")
+    names = lambda ids: F.col(ids).cast("array<string>")
 
+    def both(of_a: Column, of_b: Column) -> Column:
+        link = lambda p, q: F.transform(F.array_union(a, b), lambda e: F.element_at(p, F.element_at(of_a, e)) + F.element_at(q, F.element_at(of_b, e)))
+        texts = _let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: _let(_starts(a), lambda s: _let(_starts(b), lambda t: _let(F.array_intersect(a, b), lambda c: _groups(x, y, s, t, of_a, of_b, c))))))
+        return F.struct(_let(a_code, lambda p: link(p, b_code)).alias("links"), F.array_join(texts, ";").alias("groups"))
 
-def links(tokens: DataFrame) -> DataFrame:
-    """row, pair (a * 2^32 + b): each link of each row. A link ends where either token does, and there both are found by place."""
-    by_byte = tokens.where(F.size("a_ends") > 0).select(
-        "row", _spread(F.col("a_ids"), F.col("a_ends")).alias("a"), _spread(F.col("b_ids"), F.col("b_ends")).alias("b"), F.array_union("a_ends", "b_ends").alias("ends")
-    )
-    at = lambda side: F.get(side, F.col("e") - 1).cast("long")
-    return by_byte.select("row", "a", "b", F.explode("ends").alias("e")).select("row", (at("a") * F.lit(1 << 32) + at("b")).alias("pair"))
+    found = tokens.withColumn("found", F.when(F.size(a) > 0, _let(_owners(a), lambda x: _let(_owners(b), lambda y: both(x, y)))))
+    n_a, n_b, links = F.size(a).cast("long"), F.size(b).cast("long"), F.coalesce("found.links", F.array().cast("array<bigint>"))
+    return found.select("row", "doc_id", "segment", "segments", n_a.alias("n_a"), n_b.alias("n_b"), (n_a + n_b - F.size(links)).alias("n_groups"), F.coalesce("found.groups", F.lit("")).alias("groups"), links.alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -221,12 +232,12 @@ def _least_kept(counts: DataFrame, kept: int) -> int:
     return 1
 
 
-def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, kept_pairs: int = KEPT_PAIRS) -> DataFrame:
+def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, kept_pairs: int = KEPT_PAIRS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Per document: numbers of tokens, groups and links, the sum of its links' counts, links with their B id's highest count, and a digest of its groups."""
     many = F.col("segments") > 1
     digest = F.when(~many & (F.col("n_a") > 0), F.sha2("groups", 256))
-    rows = common.materialize(spark, align(tokenise(spark, docs, paths)).withColumn("digest", digest).withColumn("groups", F.when(many, F.col("groups"))), "aligned")
-    pairs = links(rows)
+    rows = common.materialize(spark, align(tokenise(spark, docs, paths, segment_bytes)).withColumn("digest", digest).withColumn("groups", F.when(many, F.col("groups"))), "aligned")
+    pairs = rows.select("row", F.explode("links").alias("pair"))
     counts = common.materialize(spark, pair_counts(pairs.select("pair")), "pair-counts")
     least = _least_kept(counts, kept_pairs)
     met = pairs.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
@@ -238,6 +249,6 @@ def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None =
     parts = F.array_sort(F.collect_list(F.when(many, F.struct("segment", "groups"))))
     whole = F.sha2(F.array_join(F.transform("parts", lambda p: p["groups"]), ";"), 256)
     numbers = ("n_a", "n_b", "n_groups", "n_links")
-    docs = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
+    docs = rows.withColumn("n_links", F.size("links").cast("long")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return docs.join(sums, "row", "left").select("doc_id", *numbers, zero("n_best"), zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))

@@ -186,7 +186,7 @@ class Encoder:
                 new = np.arange(len(h))
             own, first = np.unique(h[new], return_index=True)
             k = new[first]
-            found = [self._ids(raw[a:b]) for a, b in zip(start[k].tolist(), stop[k].tolist(), strict=True)]
+            found = self._all_ids([raw[a:b] for a, b in zip(start[k].tolist(), stop[k].tolist(), strict=True)])
             size = np.fromiter(map(len, found), np.int64, len(found))
             self.table.add(own, size, np.fromiter((x for e in found for x in e), np.int32, int(size.sum())))
             place[new] = self.table.find(h[new])
@@ -196,6 +196,9 @@ class Encoder:
         shift += np.arange(int(ends[-1]))
         return self.table.ids[shift], np.concatenate([[0], ends])[np.searchsorted(start, offs)].astype(np.int64)
 
+    def _all_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        return [self._ids(p) for p in pieces]
+
     def _ids(self, piece: bytes) -> list[int]:
         text = piece.decode()
         word = text[1:] if text[0] == " " else text
