@@ -33,7 +33,8 @@ SEGMENT_BYTES = 64 << 10
 #: Pairs with their counts that every executor holds, at most.
 KEPT_PAIRS = 1 << 19
 
-TOKENS = "row bigint, doc_id bigint, segment int, segments int, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+SIDES = ("a_ids", "a_ends", "a_sizes", "b_ids", "b_ends", "b_sizes")
+TOKENS = ", ".join(["row bigint, doc_id bigint, segment int, segments int", *(f"{c} array<int>" for c in SIDES)])
 
 
 def vocabulary_paths(a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> tuple[str, str]:
@@ -67,7 +68,7 @@ class ByteLevel(token_files.Encoder):
         self.bytes = _Bytes([bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in names])
 
 
-class Pieces(token_files.Encoder):
+class Pieces:
     """B: reads space + text, whose first space the model adds itself.
 
     Where no piece has a space after another character, nothing is merged across the start of a run of spaces, so texts go
@@ -87,14 +88,30 @@ class Pieces(token_files.Encoder):
         n = len(data)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
-        cut = np.zeros(n + 1, bool)
+        cut, raw = np.zeros(n + 1, bool), data.tobytes()
         if self.by_piece:
             cut[1:n] = (data[1:] == 0x20) & (data[:-1] != 0x20)
         cut[offs] = True
         at = np.flatnonzero(cut)
-        return self._by_cuts(data, offs, at[:-1], at[1:])
-
-    def _all_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        h = token_files._hash(data, at[:-1], at[1:])
+        place = self.table.find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.table.count > token_files.CACHE_PIECES:
+                self.table.clear()
+                new = np.arange(len(h))
+            own, first = np.unique(h[new], return_index=True)
+            k = new[first]
+            found = self._ids([raw[x:y] for x, y in zip(at[k].tolist(), at[k + 1].tolist(), strict=True)])
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.table.add(own, size, np.fromiter((x for e in found for x in e), np.int32, int(size.sum())))
+            place[new] = self.table.find(h[new])
+        size = self.table.size[place].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.table.ids[np.repeat(self.table.begin[place] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        return ids, ends[np.searchsorted(at, offs)].astype(np.int64)
+
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
         alone = [self.model.piece_to_id("▁")]  # an empty text wouldn't get the space
         return [ids or alone for ids in self.model.encode([p.decode()[1:] for p in pieces], num_threads=1)]
 
@@ -130,7 +147,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """doc_id, text to a row per segment: ids and byte offsets of token ends by both tokenizers. The files must exist on every executor."""
+    """doc_id, text to a row per segment: ids, byte offsets of ends and sizes of the tokens of both tokenizers. The files must exist on every executor."""
     common.prepare(spark)
     paths = paths or vocabulary_paths()
 
@@ -157,9 +174,11 @@ def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None
                     rows += [(number, i + d, s, len(own), x) for s, x in enumerate(own)]
                 none = np.zeros(0, np.int32)
                 lists = [_lists([x[c] if x else none for *_, x in rows]) for c in range(4)]
+                sizes = [_lists([np.diff(x[c], prepend=0) if x else none for *_, x in rows]) for c in (1, 3)]
+                lists = [*lists[:2], sizes[0], *lists[2:], sizes[1]]
                 ids = batch.column(0).take(pa.array([r[1] for r in rows]))
                 common.release()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), *lists], names=["row", "doc_id", "segment", "segments", "a_ids", "a_ends", "b_ids", "b_ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), *lists], names=["row", "doc_id", "segment", "segments", *SIDES])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
 
@@ -169,49 +188,45 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _owners(ends: Column) -> Column:
-    """For each byte the number, from 1 on, of the token that holds it."""
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.array_repeat(i, F.element_at(ends, i) - F.coalesce(F.get(ends, i - 2), F.lit(0)))))
-
+def _owners(sizes: Column) -> Column:
+    """For each byte the number, from 0 on, of the token that holds it."""
+    return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
 
-def _starts(ends: Column) -> Column:
-    return F.concat(F.array(F.lit(0)), ends)
 
+def _groups(a_names: Column, b_names: Column, cuts: Column) -> Column:
+    """The text of each group, which ends at a cut. Mostly it is one token of either side: two that end together and are as long."""
+    of_a, of_b = (lambda e: F.element_at("a_of", e)), (lambda e: F.element_at("b_of", e))
 
-def _groups(a_names: Column, b_names: Column, a_starts: Column, b_starts: Column, of_a: Column, of_b: Column, cuts: Column) -> Column:
-    """The text of each group, which ends at a cut. Mostly it is one token of either side: two that begin and end together."""
-    at = F.element_at
-
-    def side(names: Column, of: Column, low: Column, high: Column) -> Column:
-        first = F.coalesce(F.get(of, low), F.lit(1))
-        return F.array_join(F.slice(names, first, at(of, high) - first + 1), ",")
+    def side(names: Column, of: str, low: Column, high: Column) -> Column:
+        first = F.coalesce(F.get(of, low), F.lit(0))
+        return F.array_join(F.slice(names, first + 1, F.element_at(of, high) - first + 1), ",")
 
     def text(e: Column, k: Column) -> Column:
         low = F.coalesce(F.get(cuts, k - 1), F.lit(0))
-        several = F.concat(side(a_names, of_a, low, e), F.lit("|"), side(b_names, of_b, low, e))
-        return F.when(at(a_starts, at(of_a, e)) == at(b_starts, at(of_b, e)), F.concat(at(a_names, at(of_a, e)), F.lit("|"), at(b_names, at(of_b, e)))).otherwise(several)
+        several = F.concat(side(a_names, "a_of", low, e), F.lit("|"), side(b_names, "b_of", low, e))
+        one = F.concat(F.get(a_names, of_a(e)), F.lit("|"), F.get(b_names, of_b(e)))
+        return F.when(F.get("a_sizes", of_a(e)) == F.get("b_sizes", of_b(e)), one).otherwise(several)
 
     return F.transform(cuts, text)
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """row, doc_id, segment, segments, n_a, n_b, n_groups, the groups of a segment (text `a1,a2|b1;a3|b2,b3`) and its links.
-
-    links has a pair, a * 2^32 + b, for each end of either side: where a token ends, one link does, and both its
-    tokens are found by place. Ends of both sides are those of groups.
-    """
-    a, b = F.col("a_ends"), F.col("b_ends")
-    a_code, b_code = F.transform("a_ids", lambda x: x.cast("long") * F.lit(1 << 32)), F.col("b_ids")
+    """tokens with a_of and b_of (the number of each byte's token), n_a, n_b, n_groups, and the groups of a segment as text `a1,a2|b1;a3|b2,b3`."""
     names = lambda ids: F.col(ids).cast("array<string>")
+    placed = tokens.withColumns({"a_of": _owners(F.col("a_sizes")), "b_of": _owners(F.col("b_sizes")), "cuts": F.array_intersect("a_ends", "b_ends")})
+    texts = _let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: _groups(x, y, F.col("cuts"))))
+    size = lambda c: F.size(c).cast("long")
+    return placed.select(*tokens.columns, "a_of", "b_of", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("cuts").alias("n_groups"), F.array_join(texts, ";").alias("groups"))
+
 
-    def both(of_a: Column, of_b: Column) -> Column:
-        link = lambda p, q: F.transform(F.array_union(a, b), lambda e: F.element_at(p, F.element_at(of_a, e)) + F.element_at(q, F.element_at(of_b, e)))
-        texts = _let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: _let(_starts(a), lambda s: _let(_starts(b), lambda t: _let(F.array_intersect(a, b), lambda c: _groups(x, y, s, t, of_a, of_b, c))))))
-        return F.struct(_let(a_code, lambda p: link(p, b_code)).alias("links"), F.array_join(texts, ";").alias("groups"))
+def links(aligned: DataFrame, *more: str) -> DataFrame:
+    """A row per link, with row, place and pair (a * 2^32 + b), and one for a segment without any, whose pair is null; `more` names columns that go along.
 
-    found = tokens.withColumn("found", F.when(F.size(a) > 0, _let(_owners(a), lambda x: _let(_owners(b), lambda y: both(x, y)))))
-    n_a, n_b, links = F.size(a).cast("long"), F.size(b).cast("long"), F.coalesce("found.links", F.array().cast("array<bigint>"))
-    return found.select("row", "doc_id", "segment", "segments", n_a.alias("n_a"), n_b.alias("n_b"), (n_a + n_b - F.size(links)).alias("n_groups"), F.coalesce("found.groups", F.lit("")).alias("groups"), links.alias("links"))
+    Where a token of either side ends, one link does, and both its tokens are found by the byte.
+    """
+    ends = aligned.select("row", *more, "a_ids", "b_ids", "a_of", "b_of", F.posexplode_outer(F.array_union("a_ends", "b_ends")).alias("place", "e"))
+    at = lambda side: F.get(f"{side}_ids", F.get(f"{side}_of", F.col("e") - 1)).cast("long")
+    return ends.select("row", *more, "place", (at("a") * F.lit(1 << 32) + at("b")).alias("pair"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -234,21 +249,24 @@ def _least_kept(counts: DataFrame, kept: int) -> int:
 
 def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, kept_pairs: int = KEPT_PAIRS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Per document: numbers of tokens, groups and links, the sum of its links' counts, links with their B id's highest count, and a digest of its groups."""
-    many = F.col("segments") > 1
+    many, first = F.col("segments") > 1, F.coalesce(F.col("place"), F.lit(0)) == 0
     digest = F.when(~many & (F.col("n_a") > 0), F.sha2("groups", 256))
-    rows = common.materialize(spark, align(tokenise(spark, docs, paths, segment_bytes)).withColumn("digest", digest).withColumn("groups", F.when(many, F.col("groups"))), "aligned")
-    pairs = rows.select("row", F.explode("links").alias("pair"))
-    counts = common.materialize(spark, pair_counts(pairs.select("pair")), "pair-counts")
+    told = ["doc_id", "n_a", "n_b", "n_groups", "digest", "part"]  # of a segment, told once, beside its first link
+    rows = align(tokenise(spark, docs, paths, segment_bytes)).withColumns({"digest": digest, "part": F.when(many, F.struct("segment", "groups"))})
+    rows = links(rows, *told).select("row", "pair", first.alias("first"), *(F.when(first, F.col(c)).alias(c) for c in told))
+    rows = common.materialize(spark, rows, "links")
+    counts = common.materialize(spark, pair_counts(rows.select("pair").where("pair is not null")), "pair-counts")
     least = _least_kept(counts, kept_pairs)
-    met = pairs.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
+    met = rows.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
     rest = F.when(F.col("n").isNull(), F.col("pair")).alias("rest")
-    summed = common.materialize(spark, met.groupBy("row", rest).agg(F.count("*").alias("m"), F.sum("n").alias("count_sum"), F.count_if("top").alias("n_best")), "link-sums")
+    numbers = ("n_a", "n_b", "n_groups")
+    of_doc = [F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), F.collect_list("part").alias("parts")]
+    summed = common.materialize(spark, met.groupBy("row", rest).agg(F.count("pair").alias("n_links"), F.sum("n").alias("count_sum"), F.count_if("top").alias("n_best"), *of_doc), "link-sums")
     others = counts.where(F.col("n") < least).withColumnRenamed("pair", "rest")
-    late = summed.where("rest is not null").select("row", "rest", "m").join(others, "rest").select("row", (F.col("m") * F.col("n")).alias("count_sum"), F.when(F.col("top"), F.col("m")).otherwise(0).alias("n_best"))
-    sums = summed.where("rest is null").select("row", "count_sum", "n_best").unionByName(late).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    parts = F.array_sort(F.collect_list(F.when(many, F.struct("segment", "groups"))))
+    late = summed.where("rest is not null").join(others, "rest").withColumns({"count_sum": F.col("n_links") * F.col("n"), "n_best": F.when(F.col("top"), F.col("n_links")).otherwise(F.lit(0).cast("long"))})
+    both = summed.where("rest is null").unionByName(late.select(*summed.columns))
+    parts = F.array_sort(F.flatten(F.collect_list("parts")))
+    docs = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in (*numbers, "n_links", "n_best", "count_sum")), F.max("digest").alias("digest"), parts.alias("parts"))
     whole = F.sha2(F.array_join(F.transform("parts", lambda p: p["groups"]), ";"), 256)
-    numbers = ("n_a", "n_b", "n_groups", "n_links")
-    docs = rows.withColumn("n_links", F.size("links").cast("long")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return docs.join(sums, "row", "left").select("doc_id", *numbers, zero("n_best"), zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))
+    return docs.select("doc_id", *numbers, "n_links", "n_best", zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))
