@@ -9,8 +9,9 @@
 3. Mappers, each a group of chunks' rows of one shard, bincount their candidates by slot; the arrays are summed up in a tree.
 4. Each shard asks the shards of its phrases' parts, which read the counts by slot. Scores are computed with whole numbers of any size.
 
-Groups of mappers grow with the entries, not with the candidates, so no task's rows grow with the corpus; a
-phrase that is in every text is an entry per chunk. Shards follow the bytes of text up to MOST_SHARDS.
+A task puts the candidates of its chunks together before they are shuffled, up to SENDER_ENTRIES. Groups of
+mappers grow with the entries, not with the candidates, so no task's rows grow with the corpus; a phrase that is in every
+text is an entry per sender. Shards follow the bytes of text up to MOST_SHARDS.
 
 Nulls: a null language is `und`, a null text empty; doc_ids aren't read. Repeated rows count as often as they occur.
 Ties of score go by count, then by the phrase's bytes, which no two share. Texts of any length are read whole; empty
@@ -24,6 +25,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ LONGEST, LEAST, BEST = 3, 10, 2000
 INSIDE = 50
 #: Bytes of text for a shard and shards, at most; entries of a mapper; arrays that one task sums up.
 SHARD_BYTES, MOST_SHARDS, GROUP_ENTRIES, FAN_IN = 4 << 20, 1 << 16, 1 << 19, 64
+#: Entries that a task holds while it puts those of its chunks together.
+SENDER_ENTRIES = 1 << 20
 
 #: Bytes that end a piece, and bytes of words.
 BREAK = np.zeros(256, bool)
@@ -181,50 +185,76 @@ def _candidates(spark: SparkSession, packed: DataFrame, buckets: int, least: int
     return grams, chunks.exchange(spark, grams.where("kind = 3"), triples_of, buckets, bits, least, "phrase-triples")[0]
 
 
+def _distinct(keys: np.ndarray, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct name in the order of keys, and for each name its place among those. Names of one key stand side by side."""
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    place = first[at]
+    for k in np.flatnonzero(~pc.equal(names, names.take(pa.array(place))).to_numpy(zero_copy_only=False)).tolist():
+        place[k] = next((j for j in range(k) if keys[j] == keys[k] and names[j] == names[k]), k)  # another name of the key: as rare as equal hashes
+    own = np.unique(place)
+    own = own[np.argsort(keys[own], kind="stable")]
+    number = np.empty(len(keys), np.int64)
+    number[own] = np.arange(len(own))
+    return own, number[place]
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Keys, counts and names of several parts, each name once."""
+    keys, counts, names = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
+    own, at = _distinct(keys, names)
+    return keys[own], np.bincount(at, weights=counts, minlength=len(own)).astype(np.uint64), names.take(pa.array(own))
+
+
 def _entries(spark: SparkSession, grams: DataFrame, replies: DataFrame, buckets: int, shards: int, least: int) -> DataFrame:
-    """Per shard and chunk: candidates with their counts there."""
+    """Per shard and sender: candidates with their counts there. A sender is a run of chunks that a task reads one after the other."""
     bits = chunks.short_keys(np.zeros(0, words.U), buckets)[1]
 
-    def dealt(row: dict, keep: np.ndarray | None = None) -> list[dict]:
-        keys, counts, names = common.unpack_sorted(row["keys"]), common.unpack_numbers(row["counts"]), _names(row["names"])
-        if keep is not None:
-            keys, counts, names = keys[keep], counts[keep], names.filter(pa.array(keep))
-        bucket, names = chunks.bucket_of(keys, shards), names.to_pylist()
-        return [
-            {"shard": int(bucket[a]), "sender": row["chunk"], "n": z - a, "keys": common.pack_sorted(keys[a:z]), "counts": common.pack_numbers(counts[a:z]), "names": _pack_names(names[a:z])}
-            for a, z in chunks.runs_of(bucket)
-        ]
-
-    def short_ones(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _batches(dealt(row), ENTRIES).to_batches()
-
     def triples(own: pa.Table, got: pa.Table) -> pa.Table:
         told, out = chunks.sums_of(got.to_pylist(), 3), []
         for row in own.to_pylist():
-            at = np.unique(common.unpack_sorted(row["keys"]) >> words.U(64 - bits), return_inverse=True)[1]
-            out += dealt(row, told[at] >= words.U(least))
-        return _batches(out, ENTRIES)
+            keys = common.unpack_sorted(row["keys"])
+            keep = (told >= words.U(least))[np.unique(keys >> words.U(64 - bits), return_inverse=True)[1]]
+            names = _names(row["names"]).filter(pa.array(keep)).to_pylist()
+            out.append(row | {"keys": common.pack_sorted(keys[keep]), "counts": common.pack_numbers(common.unpack_numbers(row["counts"])[keep]), "names": _pack_names(names)})
+        return _batches(out, GRAMS)
+
+    def dealt(batches):
+        base, sent, parts, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def flush():
+            keys, counts, names = _merged(parts)
+            bucket, names = chunks.bucket_of(keys, shards), names.to_pylist()
+            rows = [
+                {"shard": int(bucket[a]), "sender": base + sent, "n": z - a, "keys": common.pack_sorted(keys[a:z]), "counts": common.pack_numbers(counts[a:z]), "names": _pack_names(names[a:z])}
+                for a, z in chunks.runs_of(bucket)
+            ]
+            return _batches(rows, ENTRIES).to_batches()
 
-    few = grams.where("kind in (1, 2)").mapInArrow(short_ones, _ddl(ENTRIES))
-    more = grams.where("kind = 3").groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(triples, _ddl(ENTRIES))
-    return common.materialize(spark, few.unionByName(more), "phrase-entries")
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts.append((common.unpack_sorted(row["keys"]), common.unpack_numbers(row["counts"]), _names(row["names"])))
+                size += len(parts[-1][0])
+                if size > SENDER_ENTRIES:
+                    parts[:] = [_merged(parts)]
+                    size = len(parts[0][0])
+                    if 2 * size > SENDER_ENTRIES:
+                        yield from flush()
+                        sent, size = sent + 1, 0
+                        parts.clear()
+        if size:
+            yield from flush()
+
+    more = grams.where("kind = 3").groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(triples, _ddl(GRAMS))
+    some = [g.mapInArrow(dealt, _ddl(ENTRIES)) for g in (grams.where("kind in (1, 2)"), more)]
+    some[1] = some[1].withColumn("sender", -1 - F.col("sender"))  # other senders than the first ones
+    return common.materialize(spark, some[0].unionByName(some[1]), "phrase-entries")
 
 
 def _joined(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Keys and names of all rows, each name once."""
     rows = table.to_pylist()
-    keys = np.concatenate([common.unpack_sorted(r["keys"]) for r in rows])
-    names = pa.concat_arrays([_names(r["names"]) for r in rows])
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    other = np.flatnonzero(~pc.equal(names, names.take(pa.array(first[at]))).to_numpy(zero_copy_only=False))
-    own = first
-    if len(other):  # phrases of one hash
-        seen = {names[int(k)].as_py(): int(k) for k in other}
-        own = np.concatenate([first, np.array(sorted(seen.values()), np.int64)])
-    own = own[np.argsort(keys[own], kind="stable")]
-    return keys[own], names.take(pa.array(own))
+    keys, _, names = _merged([(k, np.zeros(len(k), words.U), _names(r["names"])) for r in rows for k in [common.unpack_sorted(r["keys"])]])
+    return keys, names
 
 
 def _tree(df: DataFrame, parts: int, step: Callable[[pa.Table], pa.Table], schema: dict) -> DataFrame:
