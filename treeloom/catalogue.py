@@ -433,4 +433,4 @@ def usage_pick(spark, d):
     return m.select("event_type", R.usage_of(leaf, F.col("most_common"), F.array().cast("array<string>")).alias("usage"), R.owner_of(F.col("event_type")).alias("owner"), R.type_of(F.lit(False), leaf, F.col("most_common"), F.lit("string")).alias("type"))
 
 
-from . import catalogue_builds, catalogue_evidence  # noqa: E402, F401  they register their queries here
+from . import catalogue_builds, catalogue_evidence, catalogue_scripts  # noqa: E402, F401  they register their queries here

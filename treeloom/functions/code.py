@@ -1,151 +1,200 @@
-"""Property accesses in script source, as a table function.
+"""Property accesses in script source, from its syntax tree: as a table function, and once per distinct source of a table.
 
-There is no parser for scripts here, so a scanner reads tokens: access chains, declared names that
-stand for a chain (also through spread, JSON copies and destructuring), callbacks of iterations,
-for-of loops, and writes and deletes with the condition of the nearest enclosing if.
+A chain's path leaves its root out; a root that stands for another chain (a declared copy, also by
+spread, JSON or structuredClone, a destructured name, the element of an iteration or a for-of loop)
+gives that chain's path before its own. A computed member that is no literal gives no record. Records come in the order of
+a walk from the top: an assignment before what it assigns. A source that can't be parsed has none.
 """
 
 from __future__ import annotations
 
-import re
+import bisect
+import sys
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .script import Bad, Node, parse
+
 #: Roots whose chains are keys of the session, callbacks whose argument is an element, longest condition kept, hops to a condition. Fixed values.
 SESSION = ("sessionData", "session", "sessionStorage")
-ITERATIONS = ("map", "forEach", "filter", "find", "some", "every", "flatMap", "reduce")
+ITERATIONS = ("forEach", "map", "filter", "find", "some", "every", "flatMap", "reduce")
 CONDITION_CHARS, CONDITION_HOPS = 160, 12
 
-_TOKEN = re.compile(r"""\s+|//[^\n]*|/\*[\s\S]*?\*/|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|(?P<id>[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>\?\.|=>|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\.\.\.|[-+*/%|&^]=|\+\+|--|.)""")
-_ASSIGN = {"=", "+=", "-=", "*=", "/=", "|=", "&="}
-_KEYWORDS = {"if", "for", "while", "return", "const", "let", "var", "function", "else", "of", "in", "delete", "new", "typeof", "await", "async", "switch", "case", "true", "false", "null", "undefined"}
-
-
-def _tokens(src: str):
-    out = []
-    for m in _TOKEN.finditer(src):
-        if m.lastgroup:
-            out.append((m.lastgroup, m.group(), m.start()))
-    return out
-
-
-def _chain(t, i):
-    """Chain that starts at identifier i: segments and the index after it. Calls end a chain."""
-    segments, k = [t[i][1]], i + 1
-    while k < len(t):
-        op = t[k][1]
-        if op in (".", "?.") and k + 1 < len(t) and t[k + 1][0] == "id":
-            segments.append(t[k + 1][1])
-            k += 2
-        elif op == "?." and k + 1 < len(t) and t[k + 1][1] == "[":
-            k += 1
-        elif op == "[" and k + 2 < len(t) and t[k + 2][1] == "]":
-            kind, text, _ = t[k + 1]
-            if kind == "str":
-                segments.append(text[1:-1])
-            elif kind == "num":
-                segments.append("[*]")
+_MEMBERS = ("MemberExpression", "OptionalMemberExpression")
+_CALLS = ("CallExpression", "OptionalCallExpression")
+#: Levels of nesting that a source may have.
+_LEVELS = 20_000
+
+
+def condition_text(node: Node) -> str:
+    """A condition in short: names, literals, members, operators and calls; whatever else it has is left out."""
+    out: list[str] = []
+    todo: list = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.type == "Identifier":
+            out.append(n.name)
+        elif n.type == "StringLiteral":
+            out.append(f'"{n.value}"')
+        elif n.type in ("NumericLiteral", "BooleanLiteral"):
+            out.append(n.text)
+        elif n.type == "NullLiteral":
+            out.append("null")
+        elif n.type in _MEMBERS:
+            p = n.property
+            todo += [{"Identifier": f".{p.name}", "StringLiteral": f'["{p.value}"]'}.get(p.type, ""), n.object]
+        elif n.type == "BinaryExpression":
+            todo += [n.kids[1], f" {n.operator} ", n.kids[0]]
+        elif n.type == "UnaryExpression":
+            todo += [n.argument, f"{n.operator} "]
+        elif n.type == "CallExpression":
+            todo += ["(…)", n.callee]
+    text = " ".join("".join(out).split())
+    return text if len(text) <= CONDITION_CHARS else text[: CONDITION_CHARS - 1] + "…"
+
+
+class _Walk:
+    """One walk over a tree: what names stand for at each point, and the records."""
+
+    def __init__(self):
+        self.stands_for: dict[str, list[str]] = {}
+        self.records: list[tuple] = []
+
+    def chain(self, node: Node) -> tuple[list[str], str | None] | None:
+        """Path of a chain of members and its session key; None where a member is dynamic or the root is no name."""
+        own: list[str] = []
+        while node.type in _MEMBERS:
+            p = node.property
+            if node.computed:
+                if p.type not in ("StringLiteral", "NumericLiteral"):
+                    return None
+                own.append(p.value if p.type == "StringLiteral" else p.text)
+            elif p.type == "Identifier":
+                own.append(p.name)
             else:
-                segments.append("[*]")
-            k += 3
-        else:
-            break
-    return segments, k
-
-
-def _close(t, i):
-    """Index of the bracket that closes the one at i."""
-    depth, pairs = 0, {"(": ")", "[": "]", "{": "}"}
-    for k in range(i, len(t)):
-        if t[k][1] in pairs:
-            depth += 1
-        elif t[k][1] in pairs.values():
-            depth -= 1
-            if not depth:
-                return k
-    return len(t)
+                return None
+            node = node.object
+        if node.type != "Identifier":
+            return None
+        own.reverse()
+        if node.name in SESSION:
+            return own, own[0] if own else None
+        return self.stands_for.get(node.name, []) + own, None
+
+    def copied(self, node: Node | None) -> list[str] | None:
+        """The path that a declared value is a copy of."""
+        while node is not None:
+            if node.type in _MEMBERS or node.type == "Identifier":
+                found = self.chain(node)
+                return found[0] if found else None
+            if node.type == "ObjectExpression":
+                return next((path for p in node.properties if p.type == "SpreadElement" and (path := self.copied(p.kids[0])) is not None), None)
+            if node.type not in _CALLS:
+                return None
+            c = node.callee
+            json = c.type in _MEMBERS and c.object.type == "Identifier" and c.object.name == "JSON" and c.property.type == "Identifier" and c.property.name in ("parse", "stringify")
+            if not json and not (c.type == "Identifier" and c.name == "structuredClone"):
+                return None
+            node = node.arguments[0] if node.arguments else None
+        return None
+
+    def declare(self, node: Node) -> None:
+        path = self.copied(node.init)
+        if path is None:
+            return
+        if node.id.type == "Identifier":
+            self.stands_for[node.id.name] = path
+        elif node.id.type == "ObjectPattern":
+            for p in node.id.properties:
+                if p.type == "ObjectProperty" and p.key.type == "Identifier" and p.value.type == "Identifier":
+                    self.stands_for[p.value.name] = [*path, p.key.name]
+
+    def element(self, node: Node) -> str | None:
+        """The name that stands for an element inside this node; it is bound."""
+        name = over = None
+        if node.type in _CALLS and node.callee.type in _MEMBERS and node.callee.property.type == "Identifier" and node.callee.property.name in ITERATIONS:
+            f = node.arguments[0] if node.arguments else None
+            if f is not None and f.type in ("FunctionExpression", "ArrowFunctionExpression") and f.params and f.params[0].type == "Identifier":
+                name, over = f.params[0].name, node.callee.object
+        elif node.type == "ForOfStatement":
+            left = node.left.declarations[0].id if node.left.type == "VariableDeclaration" else node.left
+            name, over = (left.name, node.right) if left.type == "Identifier" else (None, None)
+        path = self.chain(over) if name else None
+        if path is None:
+            return None
+        self.stands_for[name] = [*path[0], "[*]"]
+        return name
+
+    def record(self, node: Node, role: str, above: list[Node]) -> None:
+        found = self.chain(node)
+        if not found or not found[0]:
+            return
+        gate = None
+        if role == "write":
+            around = next((a for a in reversed(above[-CONDITION_HOPS:]) if a.type in ("IfStatement", "ConditionalExpression")), None)
+            gate = (condition_text(around.test) or None) if around is not None else None
+        self.records.append((found[0], role, gate, found[1], node.start))
+
+    def enter(self, node: Node, above: list[Node]) -> None:
+        parent = above[-1] if above else None
+        if node.type == "VariableDeclarator":
+            self.declare(node)
+        elif node.type == "AssignmentExpression":
+            if node.left.type in _MEMBERS:
+                self.record(node.left, "write", above)
+        elif node.type == "UnaryExpression":
+            if node.operator == "delete" and node.argument.type in _MEMBERS:
+                self.record(node.argument, "delete", above)
+        elif node.type in _MEMBERS and not (parent.type in _MEMBERS and parent.object is node):
+            told = parent.type == "AssignmentExpression" and parent.left is node or parent.type == "UnaryExpression" and parent.operator == "delete"
+            if not told or node.type == "OptionalMemberExpression":
+                self.record(node, "read", above)
+
+    def run(self, top: Node) -> list[tuple]:
+        above: list[Node] = []
+        todo: list = [top]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, tuple):  # the end of a node: what a name stood for before it
+                name, before = node
+                above.pop()
+                if name is not None and before is None:
+                    self.stands_for.pop(name, None)
+                elif name is not None:
+                    self.stands_for[name] = before
+                continue
+            outer = dict(self.stands_for) if node.type in (*_CALLS, "ForOfStatement") else {}
+            name = self.element(node) if node.type in (*_CALLS, "ForOfStatement") else None
+            self.enter(node, above)
+            above.append(node)
+            todo.append((name, outer.get(name)))
+            todo += reversed(node.kids)
+        return self.records
 
 
 def scan(src: str) -> list[tuple]:
-    """(path segments, role, gate, session key, line) of each access, in source order."""
-    t = _tokens(src or "")
-    line = lambda pos: src.count("\n", 0, pos) + 1
-    alias: dict[str, list[str]] = {}
-    gates: list[tuple[int, int, str]] = []
-    out: list[tuple] = []
-
-    def real(segments):
-        seen = set()
-        while segments[0] in alias and segments[0] not in seen:
-            seen.add(segments[0])
-            segments = alias[segments[0]] + segments[1:]
-        return segments
-
-    for i, (kind, text, _) in enumerate(t):
-        if kind == "id" and text == "if" and i + 1 < len(t) and t[i + 1][1] == "(":
-            z = _close(t, i + 1)
-            test = " ".join(src[t[i + 2][2] : t[z][2] if z < len(t) else len(src)].split()) if i + 2 < len(t) else ""
-            end = _close(t, z + 1) if z + 1 < len(t) and t[z + 1][1] == "{" else next((k for k in range(z + 1, len(t)) if t[k][1] == ";"), len(t))
-            gates.append((z, end, test if len(test) <= CONDITION_CHARS else test[: CONDITION_CHARS - 1] + "…"))
-
-    def gate(i):
-        around = [g for g in gates if g[0] < i <= g[1]]
-        return around[-1][2] if around and len(around) <= CONDITION_HOPS else None
-
-    i = 0
-    while i < len(t):
-        kind, text, pos = t[i]
-        if kind == "id" and text in ("const", "let", "var") and i + 2 < len(t):
-            k = i + 1
-            if t[k][1] == "{":
-                z = _close(t, k)
-                if z + 2 < len(t) and t[z + 1][1] == "=" and t[z + 2][0] == "id" and t[z + 2][1] not in _KEYWORDS:
-                    root, _ = _chain(t, z + 2)
-                    root = real(root)
-                    j = k + 1
-                    while j < z:
-                        if t[j][0] == "id" and t[j - 1][1] in ("{", ","):
-                            name = t[j + 2][1] if j + 2 < z and t[j + 1][1] == ":" and t[j + 2][0] == "id" else t[j][1]
-                            alias[name] = root + [t[j][1]]
-                        j += 1
-            elif t[k][0] == "id" and k + 2 < len(t) and t[k + 1][1] == "=":
-                j = k + 2
-                while j < len(t) and (t[j][1] in ("{", "...", "(", ".", "await") or t[j][1] in ("JSON", "parse", "stringify", "structuredClone")):
-                    j += 1
-                if j < len(t) and t[j][0] == "id" and t[j][1] not in _KEYWORDS:
-                    segments, end = _chain(t, j)
-                    if end >= len(t) or t[end][1] in (";", ")", "}", "??", "||", "const", "let", "var", "if", "return", ",") or "\n" in src[t[end - 1][2] : t[end][2]]:
-                        alias[t[k][1]] = real(segments)
-            elif t[k][0] == "id" and k + 2 < len(t) and t[k + 1][1] == "of" and t[k + 2][0] == "id":
-                segments, _ = _chain(t, k + 2)
-                alias[t[k][1]] = real(segments) + ["[*]"]
-            i += 1
-            continue
-        if kind == "id" and text not in _KEYWORDS and (i == 0 or t[i - 1][1] not in (".", "?.")):
-            segments, end = _chain(t, i)
-            if len(segments) > 1:
-                called = end < len(t) and t[end][1] == "("
-                if called and segments[-1] in ITERATIONS:
-                    arg = end + 1 + (end + 1 < len(t) and t[end + 1][1] == "(")
-                    if segments[-1] == "reduce":
-                        arg += 2
-                    if arg < len(t) and t[arg][0] == "id":
-                        alias[t[arg][1]] = real(segments[:-1]) + ["[*]"]
-                if called:
-                    segments = segments[:-1]
-                path = real(segments)
-                if len(path) > 1:
-                    after = t[end][1] if end < len(t) else ""
-                    role = "delete" if i and t[i - 1][1] == "delete" else "write" if not called and (after in _ASSIGN or after in ("++", "--")) else "read"
-                    session = path[1] if path[0] in SESSION else None
-                    out.append((path, role, gate(i) if role == "write" else None, session, line(pos)))
-            i = max(end, i + 1)
-            continue
-        i += 1
-    return out
-
-
-@udtf(returnType="path: array<string>, role: string, gate: string, session_key: string, line: int, place: int")
+    """(path segments, role, gate, session key, line) of each access, in the order of the walk."""
+    levels = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(levels, _LEVELS))
+    try:
+        found = _Walk().run(parse(src or ""))
+    except (Bad, RecursionError):
+        return []
+    finally:
+        sys.setrecursionlimit(levels)
+    ends = [k for k, c in enumerate(src or "") if c == "\n"]
+    return [(*record, bisect.bisect_left(ends, start) + 1) for *record, start in found]
+
+
+_FIELDS = "path array<string>, role string, gate string, session_key string, line int, place int"
+
+
+@udtf(returnType=_FIELDS, useArrow=True)
 class AccessRecords:
     """SQL table function: a row per property access in a source; `place` numbers them in its order."""
 
@@ -156,3 +205,24 @@ class AccessRecords:
 
 def register(spark) -> None:
     spark.udtf.register("access_records", AccessRecords)
+
+
+def access_table(sources: DataFrame, src: str = "src") -> DataFrame:
+    """The accesses in each row's source: the columns of sources and those of access_records.
+
+    Sources are put together by their hash, and each distinct one is parsed once, in Arrow batches.
+    """
+    key = F.sha2(F.col(src), 256)
+    kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    names = ["_source", "path", "role", "gate", "session_key", "line", "place"]
+
+    def run(batches):
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(own, *record, place) for place, record in enumerate(scan(text))]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    distinct = sources.where(F.col(src).isNotNull()).groupBy(key.alias("_source")).agg(F.first(src).alias("text"))
+    found = distinct.mapInArrow(run, f"_source string, {_FIELDS}")
+    return sources.withColumn("_source", key).join(found, "_source").drop("_source")

@@ -159,10 +159,15 @@ def presence_tokens(path: Column, least: int = 3) -> Column:
     return F.when(F.size(path) > 0, F.filter(F.array_distinct(forms), lambda t: F.length(t) >= least)).otherwise(F.array().cast("array<string>"))
 
 
-def comment_mention(comment: Column, path: Column) -> Column:
-    """The form of a path that a comment mentions, all of it or its last two segments, tried form by form; null without a mention."""
+def mention_forms(path: Column) -> Column:
+    """What a comment may say to mention a path, first things first: all of it and its last two segments, in each case form."""
     names = F.flatten(F.transform(path_variants(drop_indices(path)), lambda v: F.array(F.array_join(v, "."), F.when(F.size(v) >= 2, F.array_join(F.slice(v, -2, 2), ".")))))
-    return F.get(F.filter(F.array_compact(names), lambda t: F.contains(comment, t)), F.lit(0))
+    return F.array_compact(names)
+
+
+def comment_mention(comment: Column, path: Column) -> Column:
+    """The form of a path that a comment mentions, tried form by form; null without a mention."""
+    return F.get(F.filter(mention_forms(path), lambda t: F.contains(comment, t)), F.lit(0))
 
 
 def parse_time(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +52,17 @@ def producer_join(reads: DataFrame, key: str, path: str, producers: DataFrame, p
     return hit.withColumn("_n", F.row_number().over(Window.partitionBy(path).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
 
 
-def session_reads(reads: DataFrame, key: str, chain: str, paths: DataFrame, path: str, path_id: list[str], producers: DataFrame, producer_key: str, producer_path: str, order: list, cap: int = TOP_READS) -> DataFrame:
+def session_reads(reads: DataFrame, key: str, chain: str, paths: DataFrame, path: str, path_id: list[str], producers: DataFrame, producer_key: str, producer_path: str, order: list, cap: int = TOP_READS, within: dict[str, str] | None = None) -> DataFrame:
     """Reads of the session that concern a path, the first few per path, with their producers.
 
     A read of a key that some step saves concerns the paths which that step's path is or is an ancestor
-    of; a read of a key that no step saves concerns those that its chain refers to.
+    of; a read of a key that no step saves concerns those that its chain refers to. `within` names columns of producers
+    and the columns of paths that they must equal for the two to meet.
     """
     made = producers.select(F.col(producer_key).alias("_pk"), *[c for c in producers.columns if c != producer_key])
     keyed = paths.withColumn("_at", F.explode(F.concat(F.array(F.col(path)), T.proper_prefixes(F.col(path)))))
-    near = made.join(keyed, F.col(producer_path) == F.col("_at")).drop("_at")
+    agree = [F.col(producer_path) == F.col("_at"), *(made[a] == keyed[b] for a, b in (within or {}).items())]
+    near = made.join(keyed, reduce(lambda x, y: x & y, agree)).drop("_at")
     known = reads.join(near, reads[key] == F.col("_pk")).drop("_pk")
     lost = reads.join(made.select("_pk").distinct(), reads[key] == F.col("_pk"), "left_anti")
     open_ = suffix_join(paths, path, lost, chain)

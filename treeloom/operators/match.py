@@ -10,26 +10,77 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .cut import written
 
-#: A dictionary of names is compared by broadcast up to so many rows.
+#: Rows of a dictionary that a task holds at once.
 DICTIONARY_ROWS = 10_000
+#: Edit distances up to which names meet words that share a part with them, one after the other.
+NEAR = (0, 1, 2, 3)
 
 
 def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, ord_: str, most: int | None = None) -> DataFrame:
     """The dictionary's nearest entry by edit distance; of equally near ones the first in order.
 
-    Names are made distinct first. The dictionary is a stated set of bounded size, whose rows are
-    counted; each name folds over it as an array, so no pair of rows is made.
+    Names and words are made distinct first. A dictionary of up to DICTIONARY_ROWS words is broadcast, and each name folds over it.
+    Beyond that, words within a few edits are found by equal parts (near_words), for one distance after the
+    other, until each name has a word; the names that have none then, whose nearest word shares little with them,
+    meet the dictionary in blocks. A null name has no nearest entry; an empty dictionary has none for any.
     """
-    if (n := dictionary.count()) > DICTIONARY_ROWS:
-        raise ValueError(f"the dictionary has {n} rows; at most {DICTIONARY_ROWS} can be held by a task")
-    words = dictionary.agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("ord"), F.col(word).alias("word")))).alias("words"))
-    names = rows.select(name).where(F.col(name).isNotNull()).distinct().crossJoin(F.broadcast(words))
-    scored = F.transform("words", lambda w: F.struct(F.levenshtein(F.col(name), w["word"]).alias("distance"), w["ord"].alias("ord"), w["word"].alias("word")))
-    best = names.select(F.col(name).alias("_name"), F.array_min(scored).alias("b")).select("_name", F.col("b.word").alias("nearest"), F.col("b.distance").alias("distance"))
-    out = rows.join(best, rows[name] == best["_name"], "left").drop("_name")
+    words = dictionary.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.min(ord_).alias("ord"))
+    names = rows.select(F.col(name).alias("_name")).where(F.col(name).isNotNull()).distinct()
+    size = words.count()
+    if size <= DICTIONARY_ROWS:
+        block = words.agg(F.array_sort(F.collect_list(F.struct("ord", "word"))).alias("words"))
+        best = _nearest_of(names.crossJoin(F.broadcast(block)))
+    else:
+        names, words = written(names, "names"), written(words, "words")
+        found = []
+        for bound in NEAR:
+            found.append(written(near_words(names, words, bound), "near-words"))
+            names = written(names.join(found[-1], "_name", "left_anti"), "far-names")
+        blocks = -(-size // DICTIONARY_ROWS)
+        dealt = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("ord", "word")).alias("words"))
+        far = _nearest_of(names.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block"))
+        far = far.groupBy("_name").agg(F.min(F.struct("distance", "ord", "nearest")).alias("b")).select("_name", "b.*")
+        best = reduce(DataFrame.unionByName, [*found, far])
+    out = rows.join(best.drop("ord"), rows[name] == best["_name"], "left").drop("_name")
     return out if most is None else out.withColumn("nearest", F.when(F.col("distance") <= most, F.col("nearest")))
 
 
+def _nearest_of(names: DataFrame) -> DataFrame:
+    """_name, distance, ord, nearest: the best of an array `words` (ord, word) beside each name."""
+    scored = F.transform("words", lambda w: F.struct(F.levenshtein(F.col("_name"), w["word"]).alias("distance"), w["ord"].alias("ord"), w["word"].alias("nearest")))
+    return names.select("_name", F.array_min(scored).alias("b")).where("b is not null").select("_name", "b.*")
+
+
+def near_words(names: DataFrame, words: DataFrame, bound: int) -> DataFrame:
+    """_name, distance, ord, nearest: for names with a word within `bound` edits, the nearest one.
+
+    A word is cut into bound + 1 parts of equal length, of which that many edits leave one whole; it stands in the
+    name at most `bound` places away. So a word's parts and a name's substrings of such lengths at such
+    places are keys, with the word's length and the part's number. Words of no more than `bound` characters go
+    by their length alone.
+    """
+    parts = bound + 1
+
+    def begin(n: Column, k: Column) -> Column:  # of equal parts the last ones have a character more
+        return k * (n.cast("int") / parts).cast("int") + F.greatest(F.lit(0), k - (parts - n % parts))
+
+    def piece(text: Column, n: Column, k: Column, shift: Column) -> Column:
+        return F.when(n <= bound, F.lit("")).otherwise(text.substr(begin(n, k) + shift + 1, begin(n, k + 1) - begin(n, k)))
+
+    numbers = lambda low, high: F.array(*[F.lit(x) for x in range(low, high + 1)])
+    size = F.length("word")
+    own = words.select("word", "ord", size.alias("n"), F.explode(F.when(size <= bound, F.array(F.lit(0))).otherwise(numbers(0, bound))).alias("k"))
+    own = own.withColumn("part", piece(F.col("word"), F.col("n"), F.col("k"), F.lit(0)))
+    asked = names.select("_name", F.explode(F.transform(numbers(-bound, bound), lambda x: F.length("_name") + x)).alias("n")).where("n >= 0")
+    asked = asked.select("_name", "n", F.explode(F.when(F.col("n") <= bound, F.array(F.lit(0))).otherwise(numbers(0, bound))).alias("k"))
+    asked = asked.select("_name", "n", "k", F.explode(F.when(F.col("n") <= bound, F.array(F.lit(0))).otherwise(numbers(-bound, bound))).alias("shift"))
+    at = begin(F.col("n"), F.col("k")) + F.col("shift")
+    asked = asked.where((F.col("n") <= bound) | ((at >= 0) & (at + begin(F.col("n"), F.col("k") + 1) - begin(F.col("n"), F.col("k")) <= F.length("_name"))))
+    asked = asked.select("_name", "n", "k", piece(F.col("_name"), F.col("n"), F.col("k"), F.col("shift")).alias("part")).distinct()
+    pairs = asked.join(own, ["n", "k", "part"]).withColumn("distance", F.levenshtein(F.col("_name"), F.col("word"), bound)).where("distance >= 0")
+    return pairs.groupBy("_name").agg(F.min(F.struct("distance", "ord", F.col("word").alias("nearest"))).alias("b")).select("_name", "b.*")
+
+
 def kth_occurrence(left: DataFrame, right: DataFrame, keys: list[str], left_order: list, right_order: list, payload: list[str]) -> DataFrame:
     """The k-th row of each key on the left meets the k-th row of that key on the right; others stay alone."""
     a = left.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)).cast("long"))

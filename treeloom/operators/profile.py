@@ -75,7 +75,7 @@ def prior_values(df: DataFrame, group: str, ord_: str, values: Column) -> DataFr
 
 
 def observations(payloads: DataFrame, ids: list[str], json: str) -> DataFrame:
-    """Nodes of payloads as rows for leaf_profile: ids, path, kind, value, in_array. Arrays add no segment."""
+    """Nodes of payloads as rows for leaf_profile: ids, path, kind, value, in_array, place. Arrays add no segment."""
     from . import diff
 
     nodes = diff.shred(payloads, ids, json, arrays=True)
@@ -83,4 +83,4 @@ def observations(payloads: DataFrame, ids: list[str], json: str) -> DataFrame:
         F.when(F.col("shape").startswith("OBJECT"), "object").when(F.col("shape") == "STRING", "string").when(F.col("shape") == "BOOLEAN", "boolean").when(F.col("shape") == "VOID", "null").otherwise("number")
     )
     rows = nodes.where(~F.col("shape").startswith("ARRAY"))
-    return rows.select(*ids, "path", F.array_join("path", ".").alias("path_key"), kind.alias("kind"), F.col("canon").alias("value"), (F.col("depth") > F.size("path")).alias("in_array"))
+    return rows.select(*ids, "path", F.array_join("path", ".").alias("path_key"), kind.alias("kind"), F.col("canon").alias("value"), (F.col("depth") > F.size("path")).alias("in_array"), "place")

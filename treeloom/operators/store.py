@@ -1,16 +1,23 @@
-"""Keyed upserts, stale deletes and idempotent ingest over Parquet tables.
+"""Keyed upserts, stale deletes and idempotent ingest over Parquet tables with atomic snapshots.
 
-A store is a folder of tables partitioned by (domain, version). Writes of a build replace its
-partitions; the table `meta`, which carries the build's hash, is written last, so that a build whose
-ingest broke off is not taken for finished.
+A store is a folder of tables. An ingest, of one build or of thousands, writes the whole state of its
+builds to new folders (data/TABLE/commit=ID/domain=D/version=V), then a table of heads that names the
+commit of each build, and at last one manifest, which is put in place by a rename. Readers take the
+newest manifest and see what its heads name: all of an ingest or nothing of it. A manifest has the
+number after its parent's; where another writer has that number by then, the rename fails and the ingest is a Conflict.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PARTITION = ["domain", "version"]
 
@@ -58,23 +65,91 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since this one began; nothing of this one is visible."""
+
+
 class Store:
-    """Tables of builds: meta, docs, flows, attributes, validations, changelogs, validation_table."""
+    """Tables of builds: meta, docs, flows, attributes, validations, changelogs."""
 
-    KEYS = {"docs": ["slug"], "flows": ["usecase", "id"], "attributes": ["use_case"]}
+    TABLES = ("docs", "flows", "attributes", "validations")
+    HEADS = "domain string, version string, commit string, hash string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    # snapshots
+
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def snapshot(self) -> dict:
+        """The newest manifest: number, parent, folder of the heads, schemas of the tables."""
+        folder = self._path("manifests")
+        names = [f.getPath().getName() for f in self._fs().listStatus(folder)] if self._fs().exists(folder) else []
+        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+        if not numbers:
+            return {"number": 0, "heads": None, "schemas": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{max(numbers):012d}.json", wholetext=True).first().value)
+
+    def heads(self, snapshot: dict | None = None) -> DataFrame:
+        """domain, version, commit, hash of every build that a snapshot holds."""
+        at = (snapshot or self.snapshot())["heads"]
+        return self.spark.read.schema(self.HEADS).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], self.HEADS)
+
+    def _commit(self, before: dict, touched: DataFrame, schemas: dict) -> None:
+        """Make `touched` heads of a new snapshot; `before` is the one that they were made from."""
+        at = f"heads/{uuid.uuid4().hex}"
+        upsert(self.heads(before), touched, PARTITION).write.parquet(f"{self.root}/{at}")
+        number = before["number"] + 1
+        manifest = {"number": number, "parent": before["number"], "heads": at, "schemas": before["schemas"] | schemas}
+        new, place = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{number:012d}.json")
+        out = self._fs().create(new, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # none: an existing manifest is never replaced
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, place, options)
+        except Py4JJavaError as e:
+            self._fs().delete(new, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"snapshot {number} is another writer's") from e
+            raise
+
+    def _write(self, name: str, rows: DataFrame, commit: str) -> str:
+        """A table's rows of a commit; returns its schema."""
+        rows.repartition(*PARTITION).write.partitionBy(*PARTITION).parquet(f"{self.root}/data/{name}/commit={commit}")
+        return StructType([f for f in rows.schema if f.name not in PARTITION]).json()
+
+    def vacuum(self) -> int:
+        """Delete folders of commits that no head of the newest snapshot names; returns their number. For times without readers of older snapshots and without writers."""
+        live, gone = {r.commit for r in self.heads().select("commit").distinct().collect()}, 0
+        for name in (f.getPath().getName() for f in self._fs().listStatus(self._path("data"))):
+            for folder in [f.getPath() for f in self._fs().listStatus(self._path(f"data/{name}"))]:
+                if folder.getName().removeprefix("commit=") not in live:
+                    self._fs().delete(folder, True)
+                    gone += 1
+        return gone
+
+    # reading
+
     def exists(self, name: str) -> bool:
-        p = self._path(name)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return name in self.snapshot()["schemas"]
 
-    def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/{name}") if self.exists(name) else None
+    def table(self, name: str, snapshot: dict | None = None) -> DataFrame | None:
+        """All current rows of a table."""
+        snapshot = snapshot or self.snapshot()
+        if name not in snapshot["schemas"]:
+            return None
+        schema = StructType.fromJson(json.loads(snapshot["schemas"][name]))
+        for c in ("commit", *PARTITION):
+            schema = schema.add(c, "string")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/data/{name}")
+        return rows.join(self.heads(snapshot).select("commit", *PARTITION), ["commit", *PARTITION], "left_semi").drop("commit")
 
     def read(self, name: str, domain: str, version: str, columns: list[str] | None = None) -> DataFrame | None:
         """Point read: the filter prunes partitions, the selection columns."""
@@ -84,62 +159,73 @@ class Store:
         t = t.where((F.col("domain") == domain) & (F.col("version") == version))
         return t.select(*columns) if columns else t
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Replace the partitions that rows touch."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(f"{self.root}/{name}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy(*PARTITION).parquet(f"{self.root}/{name}")
+    # ingest
 
-    def ingest(self, build: DataFrame, sections: tuple | None = None) -> dict:
-        """Ingest one build, a row (doc JSON). Returns skipped, hash, changes and counts.
+    def ingest_many(self, builds: DataFrame, sections: tuple | None = None) -> DataFrame:
+        """Ingest builds, rows (doc JSON) with an optional `ord`: domain, version, hash, status, changes of each.
 
-        The previous build of the same domain and version, stored as text with its hash, gives the
-        change log; without changes there is none.
+        A build whose hash is stored is `skipped`; of several with one domain and version the last in order counts,
+        the others are `replaced`, as are those without order but for the greatest text; one without domain or version is `rejected`.
+        The number of jobs doesn't depend on the number of builds. Changes are the entries of the change log
+        against the stored build; without changes the earlier log stays. Without a changed build there is no new snapshot.
         """
         from ..plans import builds as B
+        from .cut import written
+
+        before, commit, d = self.snapshot(), uuid.uuid4().hex, F.col("doc")
+        order = F.struct(F.col("ord") if "ord" in builds.columns else F.lit(0).alias("ord"), "doc")
+        arrived = builds.select("doc", order.alias("ord"), F.sha2("doc", 256).alias("hash"), B.part(d, "info", "domain").alias("domain"), B.part(d, "info", "version").alias("version"))
+        arrived = written(arrived.withColumn("row", F.monotonically_increasing_id()), "arrived-builds")
+        named = arrived.where("domain is not null and version is not null")
+        last = named.groupBy(*PARTITION).agg(F.max_by(F.struct("row", "hash", "doc"), F.struct("ord", "row")).alias("b")).select(*PARTITION, "b.*")
+        known = self.heads(before).select(*PARTITION, "hash")
+        fresh = last.join(known, [*PARTITION, "hash"], "left_anti")
+        schemas = {"meta": self._write("meta", fresh.select("hash", "doc", "row", F.current_timestamp().alias("updated_at"), *PARTITION), commit)}
+        meta = self.spark.read.schema("hash string, doc string, row bigint, domain string, version string").parquet(f"{self.root}/data/meta/commit={commit}")
+        new = meta.select(F.to_json(F.struct(*PARTITION)).alias("build"), "doc")
+        label = lambda df: df.withColumn("b", F.from_json("build", "domain string, version string")).withColumns({k: F.col(f"b.{k}") for k in PARTITION}).drop("build", "b")
+        touched, logs = meta.select(*PARTITION), None
+        changed = not touched.isEmpty()
+        if changed and (was := self.table("meta", before)) is not None:
+            old = was.join(touched, PARTITION, "left_semi").select(F.to_json(F.struct(*PARTITION)).alias("build"), "doc")
+            log = label(B.section_table(B.changelog(old, new, sections or B.STORE_SECTIONS))).withColumns({"from_version": F.col("version"), "to_version": F.col("version")})
+            schemas["changelogs"] = self._write("new_changelogs", log, commit)
+            logs = self.spark.read.schema(StructType.fromJson(json.loads(schemas["changelogs"])).add("domain", "string").add("version", "string")).parquet(f"{self.root}/data/new_changelogs/commit={commit}")
+            kept = self.table("changelogs", before)
+            if kept is not None:
+                kept = kept.join(touched, PARTITION, "left_semi").join(logs.select(*PARTITION).distinct(), PARTITION, "left_anti")
+            self._write("changelogs", logs if kept is None else logs.unionByName(kept), commit)
+        if changed:
+            rows = {"docs": B.docs(new), "flows": B.flows(new), "attributes": B.attribute_sets(new), "validations": B.validations(new)}
+            for name in self.TABLES:
+                own = label(rows[name])
+                schemas[name] = self._write(name, self._flows(own, touched, before) if name == "flows" else own, commit)
+            self._commit(before, meta.select(*PARTITION, F.lit(commit).alias("commit"), "hash"), schemas)
+        changes = logs.groupBy(*PARTITION).agg(F.count("*").alias("changes")) if logs is not None else touched.withColumn("changes", F.lit(0).cast("long")).limit(0)
+        done = meta.select("row", F.lit("ingested").alias("done"))
+        status = F.coalesce("done", F.when(F.col("domain").isNull() | F.col("version").isNull(), "rejected").when(F.col("chosen").isNull(), "replaced").otherwise("skipped"))
+        told = arrived.join(done, "row", "left").join(last.select("row", F.lit(True).alias("chosen")), "row", "left").join(changes, PARTITION, "left")
+        return told.select(*PARTITION, "hash", status.alias("status"), F.when(status == "ingested", F.coalesce("changes", F.lit(0))).otherwise(0).cast("long").alias("changes"))
+
+    def _flows(self, rows: DataFrame, touched: DataFrame, before: dict) -> DataFrame:
+        """The flows that builds have after an ingest: of one use case and id the last one, and stored flows whose use case the build no longer has."""
+        keys = [*PARTITION, "usecase", "id"]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "ord").alias("r")).select(*keys, "r.*")
+        stored = self.table("flows", before)
+        if stored is None:
+            return rows
+        cases = rows.select(*PARTITION, "usecase").distinct()
+        stored = stored.join(touched, PARTITION, "left_semi")
+        return stored.join(cases, on_keys(stored, cases, [*PARTITION, "usecase"]), "left_anti").unionByName(rows)
 
-        d = F.col("doc")
-        one = build.select(F.lit("x").alias("build"), "doc", F.sha2("doc", 256).alias("hash"), B.part(d, "info", "domain").alias("domain"), B.part(d, "info", "version").alias("version"))
-        head = one.select("domain", "version", "hash").first()
-        old = self.read("meta", head.domain, head.version)
-        if old is not None and old.where(F.col("hash") == head.hash).limit(1).count():
-            return {"skipped": True, "hash": head.hash, "changes": 0}
-        label = lambda df: df.drop("build").withColumns({"domain": F.lit(head.domain), "version": F.lit(head.version)})
-        tables = {"docs": label(B.docs(one)), "flows": label(B.flows(one)), "attributes": label(B.attribute_sets(one)), "validations": label(one.select("build", B.part(d, "x-validations").alias("rules")))}
-        changes = 0
-        if old is not None and (was := old.select(F.lit("x").alias("build"), "doc")).limit(1).count():
-            log = B.changelog(was, one.select("build", "doc"), sections or B.STORE_SECTIONS)
-            rows = B.section_table(log).withColumns({"from_version": F.lit(head.version), "to_version": F.lit(head.version)})
-            self.replace("changelogs_next", label(rows))
-            log = self.read("changelogs_next", head.domain, head.version)
-            changes = log.count()
-            if changes:
-                self.replace("changelogs", log)
-        counts = {}
-        for name, rows in tables.items():
-            kept = self._merged(name, rows, head.domain, head.version)
-            kept.write.mode("overwrite").parquet(f"{self.root}/_next/{name}")
-            fresh = self.spark.read.parquet(f"{self.root}/_next/{name}")
-            counts[name] = fresh.count()
-            if counts[name]:
-                self.replace(name, fresh)
-            elif (p := self._path(f"{name}/domain={head.domain}/version={head.version}")) is not None:
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        self.replace("meta", one.select("hash", "doc", F.current_timestamp().alias("updated_at"), "domain", "version"))
-        return {"skipped": False, "hash": head.hash, "changes": changes, **counts}
-
-    def _merged(self, name: str, rows: DataFrame, domain: str, version: str) -> DataFrame:
-        """What a table holds after the ingest: docs and attributes follow the build; flows of dropped use cases stay."""
-        target = self.read(name, domain, version)
-        if name == "flows":
-            rows = rows.groupBy("usecase", "id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("usecase", "id")]), "ord").alias("r")).select("usecase", "id", "r.*")
-            if target is not None:
-                left = without(target, stale_scoped(target, rows, ["usecase"], ["id"]), ["usecase", "id"])
-                return upsert(left, rows, ["usecase", "id"])
-        return rows
+    def ingest(self, build: DataFrame, sections: tuple | None = None) -> dict:
+        """Ingest one build, a row (doc JSON). Returns skipped, hash, changes and the number of its rows in each table."""
+        told = self.ingest_many(build.select("doc"), sections).first()
+        if told.status != "ingested":
+            return {"skipped": told.status == "skipped", "hash": told.hash, "changes": 0}
+        return {"skipped": False, "hash": told.hash, "changes": told.changes, **{name: self.read(name, told.domain, told.version).count() for name in self.TABLES}}
 
     def ingest_validation_table(self, rows: DataFrame) -> int:
-        """rows: domain, version, action, rows JSON. Always replaces; returns the number of action keys."""
-        self.replace("validation_table", rows)
+        """rows: domain, version, action, rows JSON. Always replaces, in a table of its own beside the snapshots; returns the number of action keys."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(f"{self.root}/validation_table")
         return rows.select("action").distinct().count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
@@ -64,21 +64,32 @@ def book(b: DataFrame, processors: list[Processor] | None = None) -> DataFrame:
 
 
 def payloads(b: DataFrame, defaults: bool = True) -> DataFrame:
-    """Example payloads of steps (with default payloads on request) and recorded ones: build, usecase, flow_id, action, payload, ord."""
-    s = B.steps(B.flows(b)).where(F.coalesce("action", F.lit("")) != "")
-    shown = s.select("build", "usecase", "flow_id", "action", "step_index", F.posexplode("examples").alias("k", "e")).select("build", "usecase", "flow_id", "action", "step_index", (F.col("k") + 1).alias("k"), B.part(F.col("e"), "payload").alias("payload"))
+    """Example payloads of steps (with default payloads on request) and recorded ones: build, usecase, flow_id, action, payload, ord.
+
+    `ord` is an ARRAY<BIGINT>: position of the flow, then steps before recorded payloads, then step or position, then
+    the default payload before the examples. Such labels compare number by number.
+    """
+    label = lambda *parts: F.array(*[p.cast("long") if isinstance(p, Column) else F.lit(p).cast("long") for p in parts])
+    f = B.flows(b)
+    s = B.steps(f, "ord").where(F.coalesce("action", F.lit("")) != "")
+    own = ["build", "usecase", "flow_id", "action"]
+    shown = s.select(*own, "ord", "step_index", F.posexplode("examples").alias("k", "e"))
+    shown = shown.select(*own, B.part(F.col("e"), "payload").alias("payload"), label(F.col("ord"), 0, F.col("step_index"), F.col("k") + 1).alias("ord"))
     if defaults:
-        shown = shown.unionByName(s.select("build", "usecase", "flow_id", "action", "step_index", F.lit(0).alias("k"), F.col("default_payload").alias("payload")))
-    h = B.flows(b).select("build", "usecase", F.col("id").alias("flow_id"), F.posexplode(B.members(B.part(F.col("config"), "transaction_history"))).alias("k", "h"))
-    h = h.select("build", "usecase", "flow_id", B.part(F.col("h"), "action").alias("action"), F.lit(1_000_000).alias("step_index"), "k", B.part(F.col("h"), "payload").alias("payload"))
-    return shown.unionByName(h).where("payload is not null and action is not null").withColumn("ord", F.struct("flow_id", "step_index", "k"))
+        shown = shown.unionByName(s.select(*own, F.col("default_payload").alias("payload"), label(F.col("ord"), 0, F.col("step_index"), 0).alias("ord")))
+    h = f.select("build", "usecase", F.col("id").alias("flow_id"), "ord", F.posexplode(B.members(B.part(F.col("config"), "transaction_history"))).alias("k", "h"))
+    h = h.select("build", "usecase", "flow_id", B.part(F.col("h"), "action").alias("action"), B.part(F.col("h"), "payload").alias("payload"), label(F.col("ord"), 1, F.col("k"), 0).alias("ord"))
+    return shown.unionByName(h).where("payload is not null and coalesce(action, '') <> ''")
 
 
 def observe(b: DataFrame, defaults: bool = True) -> DataFrame:
-    """Profiles of all payload paths by use case and action; the path begins with the action."""
-    rows = payloads(b, defaults)
-    nodes = P.observations(rows.withColumn("ord", F.to_json("ord")), ["build", "usecase", "action", "flow_id", "ord"], "payload")
-    nodes = nodes.withColumn("path_key", F.concat_ws(".", F.array("action"), F.col("path")))
+    """Profiles of all payload paths by use case and action; the path begins with the action.
+
+    What is seen first is so by flow, step, payload and place in the payload: the payload's label with the node's
+    positions in its arrays.
+    """
+    nodes = P.observations(payloads(b, defaults), ["build", "usecase", "action", "flow_id", "ord"], "payload")
+    nodes = nodes.withColumns({"path_key": F.concat_ws(".", F.array("action"), F.col("path")), "ord": F.concat("ord", "place")})
     keys = ["build", "usecase", "action", "path_key"]
     return P.leaf_profile(nodes, keys, "value", "flow_id", "ord", "kind", "in_array")
 

@@ -42,11 +42,12 @@ def flows(builds: DataFrame) -> DataFrame:
     return rows.select("build", "ord", part(f, "id").alias("id"), part(f, "usecase").alias("usecase"), part(f, "type").alias("type"), part(f, "description").alias("description"), members(part(f, "tags")).alias("tags"), part(f, "config").alias("config"))
 
 
-def steps(flow_table: DataFrame) -> DataFrame:
-    rows = flow_table.select("build", F.col("id").alias("flow_id"), "usecase", F.posexplode(members(part(F.col("config"), "steps"))).alias("step_index", "step"))
+def steps(flow_table: DataFrame, *more: str) -> DataFrame:
+    """Steps of flows; `more` names columns of flows that are kept."""
+    rows = flow_table.select("build", F.col("id").alias("flow_id"), "usecase", *more, F.posexplode(members(part(F.col("config"), "steps"))).alias("step_index", "step"))
     s = F.col("step")
     return rows.select(
-        "build", "flow_id", "usecase", "step_index", part(s, "api").alias("action"), part(s, "action_id").alias("action_id"), part(s, "owner").alias("owner"), part(s, "responseFor").alias("response_for"),
+        "build", "flow_id", "usecase", *more, "step_index", part(s, "api").alias("action"), part(s, "action_id").alias("action_id"), part(s, "owner").alias("owner"), part(s, "responseFor").alias("response_for"),
         part(s, "description").alias("description"), F.coalesce(F.from_json(part(s, "mock", "saveData"), "map<string,string>"), F.create_map().cast("map<string,string>")).alias("save_data"),
         *[T.decode_base64(part(s, "mock", k)).alias(f"{k}_source") for k in ("generate", "validate", "requirements")], part(s, "mock", "defaultPayload").alias("default_payload"), members(part(s, "examples")).alias("examples"),
     )

@@ -8,26 +8,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators.cut import written
+from ..operators.matcher import contained
 from . import openapi
 
 SOURCES = ("generate", "validate", "requirements")
+FLAGS = ("set_in_generate", "asserted_in_validate", "required_in_requirements")
 KEY = ["build", "action", "path_key"]
 
 
 def accesses(steps: DataFrame) -> DataFrame:
-    """Property accesses in the scripts of steps, in source order: build, action, step, kind, place, chain, role, gate, session_key, snippet."""
-    spark = steps.sparkSession
-    code.register(spark)
+    """Property accesses in the scripts of steps, in the order of the walk: build, action, step, kind, place, chain, role, gate, session_key, snippet."""
     parts = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(k).alias("kind"), F.col(f"{k}_source").alias("src")) for i, k in enumerate(SOURCES)])
-    steps.select("build", "action", "step", F.explode(parts).alias("p")).select("build", "action", "step", "p.*").where("src <> ''").createOrReplaceTempView("treeloom_sources")
-    rows = spark.sql("SELECT s.build, s.action, s.step, s.part, s.kind, s.src, r.path, r.role, r.gate, r.session_key, r.line, r.place AS nth FROM treeloom_sources s, LATERAL access_records(s.src) r")
+    scripts = steps.select("build", "action", "step", F.explode(parts).alias("p")).select("build", "action", "step", "p.*").where("src <> ''")
+    rows = code.access_table(scripts).withColumnRenamed("place", "nth")
     place = F.struct("step", "part", F.col("nth").alias("n"), F.array_join("path", ".").alias("name"))
     return rows.select("build", "action", "step", "kind", place.alias("place"), T.drop_indices(F.filter("path", lambda s: s != "[*]")).alias("chain"), "role", "gate", "session_key", T.snippet(F.col("src"), F.col("line")).alias("snippet"))
 
@@ -39,23 +39,25 @@ def saved(steps: DataFrame) -> DataFrame:
 
 
 def mentions(steps: DataFrame, paths: DataFrame) -> DataFrame:
-    """Comments of a path's own action that mention it. Comments are few; those of an action meet the paths of that action."""
+    """Comments of a path's own action that mention it, by the first of its forms. Every comment is read once for all forms of its action."""
     blob = F.concat_ws("\n", *[F.col(f"{k}_source") for k in SOURCES])
     notes = steps.select("build", "action", "step", F.posexplode(T.comments(blob)).alias("n", "comment")).distinct()
-    hit = paths.join(notes, ["build", "action"]).withColumn("mention", T.comment_mention(F.col("comment"), F.col("path"))).where("mention is not null")
+    forms = paths.select(*KEY, F.posexplode(T.mention_forms(F.col("path"))).alias("form", "mention"))
+    found = contained(notes, forms, ["build", "action"], "comment", "mention")
+    first = forms.join(found, ["build", "action", "mention"]).groupBy(*KEY, "comment").agg(F.min_by("mention", "form").alias("mention"))
+    hit = notes.join(first, ["build", "action", "comment"])
     return hit.select(*KEY, "step", F.lit("comment").alias("kind"), F.struct("step", F.lit(0).alias("part"), F.col("n").alias("n"), F.col("mention").alias("name")).alias("place"), F.trim("comment").alias("snippet"), F.col("mention").alias("matched"))
 
 
 def presence(steps: DataFrame, paths: DataFrame) -> DataFrame:
-    """Whether the tokens of a path occur anywhere in the scripts of each kind, over all steps of the build."""
-    blobs = steps.groupBy("build").agg(*[F.concat_ws("\n", F.collect_set(f"{k}_source")).alias(k) for k in SOURCES])
-    found = paths.select(*KEY, T.presence_tokens(T.drop_indices(F.col("path"))).alias("tokens")).join(blobs, "build", "left")
-
-    def any_in(source: str) -> Column:
-        return F.exists("tokens", lambda t: F.coalesce(F.contains(F.col(source), t), F.lit(False)))
-
-    tests = {"set_in_generate": any_in("generate"), "asserted_in_validate": any_in("validate"), "required_in_requirements": any_in("requirements")}
-    return found.select(*KEY, *[v.alias(k) for k, v in tests.items()])
+    """Whether the tokens of a path occur anywhere in the scripts of each kind, over all steps of the build. Every script is read once for all tokens of its build."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_source").alias("src")) for k in SOURCES])
+    scripts = steps.select("build", F.explode(kinds).alias("s")).select("build", "s.kind", F.col("s.src").alias("src")).distinct()
+    tokens = paths.select(*KEY, F.explode(T.presence_tokens(T.drop_indices(F.col("path")))).alias("token"))
+    found = contained(scripts, tokens, ["build"], "src", "token")
+    hits = found.join(scripts, ["build", "src"]).select("build", "token", "kind").distinct()
+    own = tokens.join(hits, ["build", "token"]).groupBy(*KEY).agg(*[F.bool_or(F.col("kind") == k).alias(flag) for k, flag in zip(SOURCES, FLAGS, strict=True)])
+    return paths.select(*KEY).join(own, KEY, "left").select(*KEY, *[F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS])
 
 
 def bundles(builds: DataFrame, steps: DataFrame, observations: DataFrame) -> DataFrame:
@@ -95,14 +97,14 @@ def bundles(builds: DataFrame, steps: DataFrame, observations: DataFrame) -> Dat
     producers = kept.select(F.concat_ws("\u0000", "build", "key").alias("producer_key"), F.col("build").alias("b3"), F.col("action").alias("origin_action"), F.col("jsonpath").alias("origin_path"), T.jsonpath_segments(F.col("jsonpath")).alias("origin_segments"))
     session = session.withColumn("read_key", F.concat_ws("\u0000", "b2", "session_key"))
     # Only reads of the path's own build and action concern it, and so the cap comes after that test.
-    found = E.session_reads(session, "read_key", "chain", plain, "plain", [*KEY, "b2", "a2"], producers, "producer_key", "origin_segments", ["place", "origin_path"], 1 << 30)
+    found = E.session_reads(session, "read_key", "chain", plain, "plain", [*KEY, "b2", "a2"], producers, "producer_key", "origin_segments", ["place", "origin_path"], 1 << 30, {"b3": "build"})
     found = found.where("build = b2 and action = a2 and (b3 is null or b3 = build)")
     reads_of = E.capped_refs(found.withColumn("kind", F.lit("read")), KEY, [], "kind", ["place", "origin_path"], {"read": E.TOP_READS})
     reads_of = reads_of.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "session_key", "origin_action", "origin_path", "snippet"))).alias("session_reads"))
     schema = openapi.schema_paths(builds).select("build", "action", F.array_join("path", ".").alias("path_key"), "description", "custom", F.col("type").alias("schema_type"), F.col("enums").alias("schema_enums"))
     parts = [refs, save, reads_of, first, used, presence(steps, paths), schema.dropDuplicates(KEY)]
     rows = reduce(lambda a, b: a.join(b, KEY, "left"), parts, paths)
-    return rows.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("consumed_across_steps", "set_in_generate", "asserted_in_validate", "required_in_requirements")})
+    return rows.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("consumed_across_steps", *FLAGS)})
 
 
 def tallies(rows: DataFrame) -> DataFrame:

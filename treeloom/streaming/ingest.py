@@ -11,13 +11,13 @@ from ..operators.store import Store
 def ingest_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str):
     """Ingest build documents (JSON text files, one per build) as they arrive; a build that is unchanged is skipped.
 
-    Batches may be replayed after a failure: ingest is idempotent by the build's hash.
+    A batch is one ingest: all of its builds become visible at once. It may be replayed after a failure, as builds
+    whose hash is stored are skipped.
     """
     stream = spark.readStream.text(folder, wholetext=True).select(F.col("value").alias("doc"))
 
     def batch(df: DataFrame, _: int) -> None:
-        for row in df.toLocalIterator():
-            store.ingest(spark.createDataFrame([(row.doc,)], "doc string"))
+        store.ingest_many(df)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
