@@ -30,6 +30,8 @@ from . import common, token_files
 
 #: A segment closes at the first end common to both after so many bytes.
 SEGMENT_BYTES = 64 << 10
+#: Bytes of text that a task encodes at once; pieces that it remembers of either tokenizer.
+BATCH_BYTES, KEPT_PIECES = 512 << 10, 800_000
 #: Pairs with their counts that every executor holds, at most.
 KEPT_PAIRS = 1 << 19
 
@@ -62,11 +64,17 @@ class ByteLevel(token_files.Encoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.tokenizer.encode_special_tokens = True
+        self.table = token_files.PieceTable(21) if self.by_piece else None
         self.special = []
         byte_of = {chr(letter): b for b, letter in token_files._LETTERS.items()}
         names = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
         self.bytes = _Bytes([bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in names])
 
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table is not None and self.table.count > KEPT_PIECES:
+            self.table.clear()
+        return super().encode(data, offs)
+
 
 class Pieces:
     """B: reads space + text, whose first space the model adds itself.
@@ -82,9 +90,10 @@ class Pieces:
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = _Bytes([bytes([int(t[3:5], 16)]) if self.model.is_byte(k) else t.replace("▁", " ").encode() for k, t in enumerate(names)])
         self.by_piece = not any("▁" in t.lstrip("▁") for t in names)
-        self.table = token_files.PieceTable()
+        self.table = token_files.PieceTable(21)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and n+1 offsets of each text's ids."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
@@ -97,7 +106,7 @@ class Pieces:
         place = self.table.find(h)
         new = np.flatnonzero(place < 0)
         if len(new):
-            if self.table.count > token_files.CACHE_PIECES:
+            if self.table.count > KEPT_PIECES:
                 self.table.clear()
                 new = np.arange(len(h))
             own, first = np.unique(h[new], return_index=True)
@@ -155,7 +164,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None
         both, row = _both(paths), itertools.count(TaskContext.get().partitionId() << 33)
         for batch in batches:
             data, offs = common.text_bytes(batch.column(1))
-            for i, j, b, o in common.pieces(data, offs, token_files.PIECE_BYTES):
+            for i, j, b, o in common.pieces(data, offs, BATCH_BYTES):
                 some = np.flatnonzero(np.diff(o))  # space + text, where there is text
                 spaced, at = np.insert(b, o[some], 0x20), np.concatenate([[0], np.cumsum(np.diff(o)[some] + 1)])
                 found = [t.encode(spaced, at) for t in both]
@@ -193,40 +202,40 @@ def _owners(sizes: Column) -> Column:
     return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
 
 
-def _groups(a_names: Column, b_names: Column, cuts: Column) -> Column:
+def _groups(a_names: Column, b_names: Column, of_a: Column, of_b: Column, cuts: Column) -> Column:
     """The text of each group, which ends at a cut. Mostly it is one token of either side: two that end together and are as long."""
-    of_a, of_b = (lambda e: F.element_at("a_of", e)), (lambda e: F.element_at("b_of", e))
+    at = F.element_at  # of a byte's end, which is its place from 1 on
 
-    def side(names: Column, of: str, low: Column, high: Column) -> Column:
+    def side(names: Column, of: Column, low: Column, high: Column) -> Column:
         first = F.coalesce(F.get(of, low), F.lit(0))
-        return F.array_join(F.slice(names, first + 1, F.element_at(of, high) - first + 1), ",")
+        return F.array_join(F.slice(names, first + 1, at(of, high) - first + 1), ",")
 
     def text(e: Column, k: Column) -> Column:
         low = F.coalesce(F.get(cuts, k - 1), F.lit(0))
-        several = F.concat(side(a_names, "a_of", low, e), F.lit("|"), side(b_names, "b_of", low, e))
-        one = F.concat(F.get(a_names, of_a(e)), F.lit("|"), F.get(b_names, of_b(e)))
-        return F.when(F.get("a_sizes", of_a(e)) == F.get("b_sizes", of_b(e)), one).otherwise(several)
+        several = F.concat(side(a_names, of_a, low, e), F.lit("|"), side(b_names, of_b, low, e))
+        one = F.concat(F.get(a_names, at(of_a, e)), F.lit("|"), F.get(b_names, at(of_b, e)))
+        return F.when(F.get("a_sizes", at(of_a, e)) == F.get("b_sizes", at(of_b, e)), one).otherwise(several)
 
     return F.transform(cuts, text)
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokens with a_of and b_of (the number of each byte's token), n_a, n_b, n_groups, and the groups of a segment as text `a1,a2|b1;a3|b2,b3`."""
-    names = lambda ids: F.col(ids).cast("array<string>")
-    placed = tokens.withColumns({"a_of": _owners(F.col("a_sizes")), "b_of": _owners(F.col("b_sizes")), "cuts": F.array_intersect("a_ends", "b_ends")})
-    texts = _let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: _groups(x, y, F.col("cuts"))))
-    size = lambda c: F.size(c).cast("long")
-    return placed.select(*tokens.columns, "a_of", "b_of", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("cuts").alias("n_groups"), F.array_join(texts, ";").alias("groups"))
+    """row, doc_id, segment, segments, n_a, n_b, n_groups, the groups of a segment (text `a1,a2|b1;a3|b2,b3`) and its links.
 
+    links has a pair, a * 2^32 + b, for each end of either side: where a token ends, one link does, and both its
+    tokens are found by the byte. Ends of both sides are those of groups.
+    """
+    names = lambda ids: F.col(ids).cast("array<string>")
+    codes = F.transform("a_ids", lambda x: x.cast("long") * F.lit(1 << 32))
 
-def links(aligned: DataFrame, *more: str) -> DataFrame:
-    """A row per link, with row, place and pair (a * 2^32 + b), and one for a segment without any, whose pair is null; `more` names columns that go along.
+    def both(of_a: Column, of_b: Column) -> Column:
+        link = lambda p: F.transform(F.array_union("a_ends", "b_ends"), lambda e: F.get(p, F.element_at(of_a, e)) + F.get("b_ids", F.element_at(of_b, e)))
+        texts = _let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: _let(F.array_intersect("a_ends", "b_ends"), lambda c: _groups(x, y, of_a, of_b, c))))
+        return F.struct(_let(codes, link).alias("links"), F.array_join(texts, ";").alias("groups"))
 
-    Where a token of either side ends, one link does, and both its tokens are found by the byte.
-    """
-    ends = aligned.select("row", *more, "a_ids", "b_ids", "a_of", "b_of", F.posexplode_outer(F.array_union("a_ends", "b_ends")).alias("place", "e"))
-    at = lambda side: F.get(f"{side}_ids", F.get(f"{side}_of", F.col("e") - 1)).cast("long")
-    return ends.select("row", *more, "place", (at("a") * F.lit(1 << 32) + at("b")).alias("pair"))
+    found = F.when(F.size("a_ends") > 0, _let(_owners(F.col("a_sizes")), lambda x: _let(_owners(F.col("b_sizes")), lambda y: both(x, y))))
+    n_a, n_b, links = F.size("a_ends").cast("long"), F.size("b_ends").cast("long"), F.coalesce("found.links", F.array().cast("array<bigint>"))
+    return tokens.withColumn("found", found).select("row", "doc_id", "segment", "segments", n_a.alias("n_a"), n_b.alias("n_b"), (n_a + n_b - F.size(links)).alias("n_groups"), F.coalesce("found.groups", F.lit("")).alias("groups"), links.alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -249,24 +258,21 @@ def _least_kept(counts: DataFrame, kept: int) -> int:
 
 def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, kept_pairs: int = KEPT_PAIRS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Per document: numbers of tokens, groups and links, the sum of its links' counts, links with their B id's highest count, and a digest of its groups."""
-    many, first = F.col("segments") > 1, F.coalesce(F.col("place"), F.lit(0)) == 0
+    many = F.col("segments") > 1
     digest = F.when(~many & (F.col("n_a") > 0), F.sha2("groups", 256))
-    told = ["doc_id", "n_a", "n_b", "n_groups", "digest", "part"]  # of a segment, told once, beside its first link
-    rows = align(tokenise(spark, docs, paths, segment_bytes)).withColumns({"digest": digest, "part": F.when(many, F.struct("segment", "groups"))})
-    rows = links(rows, *told).select("row", "pair", first.alias("first"), *(F.when(first, F.col(c)).alias(c) for c in told))
-    rows = common.materialize(spark, rows, "links")
-    counts = common.materialize(spark, pair_counts(rows.select("pair").where("pair is not null")), "pair-counts")
+    rows = common.materialize(spark, align(tokenise(spark, docs, paths, segment_bytes)).withColumn("digest", digest).withColumn("groups", F.when(many, F.col("groups"))), "aligned")
+    pairs = rows.select("row", F.explode("links").alias("pair"))
+    counts = common.materialize(spark, pair_counts(pairs.select("pair")), "pair-counts")
     least = _least_kept(counts, kept_pairs)
-    met = rows.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
+    met = pairs.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
     rest = F.when(F.col("n").isNull(), F.col("pair")).alias("rest")
-    numbers = ("n_a", "n_b", "n_groups")
-    of_doc = [F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), F.collect_list("part").alias("parts")]
-    summed = common.materialize(spark, met.groupBy("row", rest).agg(F.count("pair").alias("n_links"), F.sum("n").alias("count_sum"), F.count_if("top").alias("n_best"), *of_doc), "link-sums")
+    summed = common.materialize(spark, met.groupBy("row", rest).agg(F.count("*").alias("m"), F.sum("n").alias("count_sum"), F.count_if("top").alias("n_best")), "link-sums")
     others = counts.where(F.col("n") < least).withColumnRenamed("pair", "rest")
-    late = summed.where("rest is not null").join(others, "rest").withColumns({"count_sum": F.col("n_links") * F.col("n"), "n_best": F.when(F.col("top"), F.col("n_links")).otherwise(F.lit(0).cast("long"))})
-    both = summed.where("rest is null").unionByName(late.select(*summed.columns))
-    parts = F.array_sort(F.flatten(F.collect_list("parts")))
-    docs = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in (*numbers, "n_links", "n_best", "count_sum")), F.max("digest").alias("digest"), parts.alias("parts"))
+    late = summed.where("rest is not null").select("row", "rest", "m").join(others, "rest").select("row", (F.col("m") * F.col("n")).alias("count_sum"), F.when(F.col("top"), F.col("m")).otherwise(0).alias("n_best"))
+    sums = summed.where("rest is null").select("row", "count_sum", "n_best").unionByName(late).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
+    parts = F.array_sort(F.collect_list(F.when(many, F.struct("segment", "groups"))))
     whole = F.sha2(F.array_join(F.transform("parts", lambda p: p["groups"]), ";"), 256)
+    numbers = ("n_a", "n_b", "n_groups", "n_links")
+    docs = rows.withColumn("n_links", F.size("links").cast("long")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return docs.select("doc_id", *numbers, "n_links", "n_best", zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))
+    return docs.join(sums, "row", "left").select("doc_id", *numbers, zero("n_best"), zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))
