@@ -13,7 +13,7 @@ from .functions import code
 from .operators import match as M
 from .operators.cut import work_path
 from .operators.store import Store
-from .plans import book
+from .plans import book, builds, render
 
 
 def _accesses(spark, d, script: str):
@@ -40,7 +40,7 @@ def script_chains(spark, d):
 
 @query(_stated(
     "'flag', 'read', NULL, NULL", "'b', 'write', 'ctx.flag === \"' || s || '\" && ! done(…)', NULL", "'c', 'write', 'ctx.flag === \"' || s || '\" && ! done(…)', NULL", "'y', 'read', NULL, NULL", "'d', 'write', 'x.y > ' || m, NULL",
-    "'e', 'write', 'x.y > ' || m, NULL", "'f', 'write', 'typeof z == \"o\" || q[\"r\"]', NULL", "'r', 'read', NULL, NULL", "'g', 'write', NULL, NULL", "'h', 'write', 'near', NULL", "'i', 'write', NULL, NULL",
+    "'e', 'write', 'x.y > ' || m, NULL", "'r', 'read', NULL, NULL", "'f', 'write', 'typeof z == \"o\" || q[\"r\"]', NULL", "'g', 'write', NULL, NULL", "'h', 'write', 'near', NULL", "'i', 'write', NULL, NULL",
 ))
 def script_gates(spark, d):
     """The condition of the nearest if or ternary around a write, in either branch, up to twelve levels; compacted from the tree."""
@@ -92,6 +92,17 @@ def observed_samples(spark, d):
     return book.observe(b).select("build", "path_key", "value_type", "is_leaf", F.array_join("samples", ",").alias("samples"))
 
 
+@query("""WITH t AS (SELECT p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(w) WHEN 1 THEN w ELSE upper(w[1:1]) || w[2:] END AS word, p_partkey FROM (SELECT p_brand, p_partkey, replace(lower(p_name), ' ', '') AS w FROM part))
+SELECT p_brand AS build, '| Code | Event | Description | From |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || word || ' |  | ' || p_partkey || ' |  |', chr(10) ORDER BY lower(word), word DESC, p_partkey) AS page FROM t GROUP BY 1""")
+def error_pages_by_locale(spark, d):
+    """Codes of letters in three forms of case: letters come before their case, lower case first, and equal codes stay in order."""
+    w, k = F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), F.col("p_partkey") % 3
+    word = F.when(k == 0, F.upper(w)).when(k == 1, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))
+    entry = F.struct(word.alias("code"), F.col("p_partkey").cast("string").alias("Description"))
+    b = _doc(_gather(table(spark, d, "part"), F.col("p_brand"), "p_partkey", entry, "codes"), x_errorcodes=F.struct(F.col("codes").alias("code")))
+    return render.error_page(builds.error_codes(b))
+
+
 # names and ingest --------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ordering as O
 from . import builds as B
 
 
@@ -58,8 +59,9 @@ def flows_by_usecase(flow_table: DataFrame) -> DataFrame:
 
 
 def error_page(errors: DataFrame) -> DataFrame:
-    """Error codes as a table, sorted by code as text."""
-    return table(errors, ["build"], {"Code": F.col("code"), "Event": F.col("Event"), "Description": F.col("Description"), "From": F.col("From")}, "code")
+    """Error codes as a table, in the order of the locale; equal codes stay in their own order."""
+    place = F.row_number().over(Window.partitionBy("build").orderBy(O.by_locale(F.col("code")), "ord"))
+    return table(errors.withColumn("place", place), ["build"], {"Code": F.col("code"), "Event": F.col("Event"), "Description": F.col("Description"), "From": F.col("From")}, "place")
 
 
 def action_page(edges: DataFrame) -> DataFrame:
