@@ -39,7 +39,7 @@ INSIDE = 50
 #: Bytes of text for a shard and shards, at most; entries of a mapper; arrays that one task sums up.
 SHARD_BYTES, MOST_SHARDS, GROUP_ENTRIES, FAN_IN = 4 << 20, 1 << 16, 1 << 19, 64
 #: Entries that a task holds while it puts those of its chunks together.
-SENDER_ENTRIES = 1 << 20
+SENDER_ENTRIES = 1 << 19
 
 #: Bytes that end a piece, and bytes of words.
 BREAK = np.zeros(256, bool)
@@ -223,9 +223,9 @@ def _entries(spark: SparkSession, grams: DataFrame, replies: DataFrame, buckets:
 
         def flush():
             keys, counts, names = _merged(parts)
-            bucket, names = chunks.bucket_of(keys, shards), names.to_pylist()
+            bucket = chunks.bucket_of(keys, shards)
             rows = [
-                {"shard": int(bucket[a]), "sender": base + sent, "n": z - a, "keys": common.pack_sorted(keys[a:z]), "counts": common.pack_numbers(counts[a:z]), "names": _pack_names(names[a:z])}
+                {"shard": int(bucket[a]), "sender": base + sent, "n": z - a, "keys": common.pack_sorted(keys[a:z]), "counts": common.pack_numbers(counts[a:z]), "names": _pack_names(names.slice(a, z - a).to_pylist())}
                 for a, z in chunks.runs_of(bucket)
             ]
             return _batches(rows, ENTRIES).to_batches()
@@ -236,6 +236,7 @@ def _entries(spark: SparkSession, grams: DataFrame, replies: DataFrame, buckets:
                 size += len(parts[-1][0])
                 if size > SENDER_ENTRIES:
                     parts[:] = [_merged(parts)]
+                    common.release()
                     size = len(parts[0][0])
                     if 2 * size > SENDER_ENTRIES:
                         yield from flush()
