@@ -3,6 +3,7 @@
 import copy
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,33 @@ def test_each_source_is_parsed_once(spark):
     assert got.columns == ["id", "src", "path", "role", "gate", "session_key", "line", "place"]
 
 
+def test_sources_that_differ_in_words_only_are_parsed_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(code, "parse", lambda src: parsed.append(src) or parse(src))
+    own = code.Templates()
+    for k in range(10, 60):
+        t = own.of(f"o.f{k} = 'x{k} y'; g{k}.h[{k}]; const {{ a: z1 }} = p.q{k}; z1.b")
+        assert t.paths == [f"f{k}", "h", str(k), f"q{k}", f"q{k}", "a", "b"] and t.sizes == [1, 2, 1, 3]
+    assert len(parsed) == 1
+
+
+def test_templates_give_what_a_scan_does():
+    rng = random.Random(5)
+    base = """o.a5.b["c d7"].e[0] = x12[h.g9.w].y|if (s1.a2 === 'k9 x5' && d[12] > 7) { q5.r5 = 3 }|const o1 = payload.m12.n; o1.id; o12.id|const {a1: b2, b2: a1} = z9; a1.c; b2.c|for (const t5 of o3.list) { t5.f; t4.f }
+sessionData.key44.list = session['k5 z'].x|a[1e3].b[2024] = c[10]|1 .b5; x[5] . b6|x ? (a5.b = 1) : (a6.b = 2)|if (v10 + v11 * w12345678901234567890 + v10 + v11 * w12345678901234567890 + v10 + v11 * w12345678901234567890 + v10 + v11 * w1234567890123456789 + v12345678) a.b = 1
+a['q\\x41b5'].c|delete u5.v6; u6?.v5|a[05].b; a[5].c|a.b3[`x5`].c; `${p5.q6}`|o5.map(i7 => i7.price); o5.reduce((s1, x1) => s1.h + x1.j, 0)|é5.x6; _9.b; $1.c2|/* c5.d */ x1.y|if ( 12 |a[12345678901234567].b; a[123456789012345].c
+if (2 /*c*/ .b5 > 1) a.b = 2|a.b > 3.14 ? c.d5 = 1 : 0|class K5 { #p1 = a5.b; m2() { return this.#p1 + K5.q } }|a[0 .x]; '2024-01-05'.x; o["1.5 x.7 7.x"]""".replace("\n", "|").split("|")
+    own = code.Templates()
+    for _ in range(3000):
+        src = "; ".join(rng.choice(base) for _ in range(rng.randint(1, 3)))
+        src = re.sub(r"(?<!\de)\d+", lambda m: m[0] if rng.random() < 0.4 else str(rng.randrange(10 ** rng.choice([1, 1, 2, 3]))), src)
+        t, at, got = own.of(src), 0, []
+        for size, *rest in zip(t.sizes, t.roles, t.gates, t.keys, t.lines, strict=True):
+            got.append((t.paths[at : at + size], *rest))
+            at += size
+        assert got == code.scan(src), src
+
+
 # deep documents ----------------------------------------------------------------------------------
 
 
