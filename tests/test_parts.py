@@ -1,6 +1,7 @@
 """Functions, matching, evidence, sources and the code scanner on small inputs."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,20 @@ def test_alias_and_producer(spark):
     assert [r.i for r in E.producer_join(reads, "key", "path", made, "pkey", "ppath", ["i"]).orderBy("i").collect()] == [0, 1, 2, 3]
 
 
+def test_a_key_that_is_read_and_saved_often_is_cut_before_the_join(spark):
+    """Nine hundred million pairs of reads and producers for each path, of which four are wanted."""
+    n = 30_000
+    paths = spark.createDataFrame([(1, ["m", "a"]), (2, ["m", "b"])], "id int, path array<string>")
+    reads = spark.range(n).select("id", F.when(F.col("id") < 10, F.concat(F.lit("open"), "id")).otherwise("k").alias("key"), F.array(F.lit("x"), F.lit("m"), F.lit("b")).alias("chain")).withColumnRenamed("id", "r")
+    made = spark.range(n).select(F.col("id").alias("s"), F.lit("k").alias("pkey"), F.when(F.col("id") % 2 == 0, F.array(F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("a"))).alias("segs"))
+    began = time.time()
+    got = E.session_reads(reads, "key", "chain", paths, "path", ["id"], made, "pkey", "segs", ["r", "s"])
+    assert sorted((x.id, x.r, x.s) for x in got.collect()) == [(1, 10, 0), (1, 10, 1), (1, 10, 2), (1, 10, 3), (2, 0, None), (2, 1, None), (2, 2, None), (2, 3, None)]
+    got = E.producer_join(reads.withColumn("path", F.array(F.lit("m"), F.lit("a"))), "key", "path", made, "pkey", "segs", ["r", "s"])
+    assert sorted((x.r, x.s) for x in got.collect()) == [(10, 0), (10, 1), (10, 2), (10, 3)]
+    assert time.time() - began < 60
+
+
 def test_reference_cycle_ends(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     assert {(r.root, r.node, r.hops) for r in M.resolve_refs(e).collect()} == {("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("a", "c", 2)}

@@ -46,28 +46,50 @@ def ancestor_join(paths: DataFrame, path: str, saved: DataFrame, saved_path: str
     return keyed.join(saved, keyed["_k"] == saved[saved_path]).drop("_k")
 
 
-def producer_join(reads: DataFrame, key: str, path: str, producers: DataFrame, producer_key: str, producer_path: str, order: list, cap: int = TOP_READS) -> DataFrame:
-    """Session reads meet the step that saved the key, where its path is the attribute's or an ancestor's; the first few per path."""
-    hit = reads.join(producers, reads[key] == producers[producer_key]).where((F.col(producer_path) == F.col(path)) | T.is_strict_prefix(F.col(producer_path), F.col(path)))
-    return hit.withColumn("_n", F.row_number().over(Window.partitionBy(path).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+def _firsts(rows: DataFrame, by: list[str], order: list[str], cap: int) -> DataFrame:
+    """The first few rows of each group by those columns of the order that they have; without any, any few."""
+    own = [c for c in order if c in rows.columns]
+    w = Window.partitionBy(*by).orderBy(*(own or [F.lit(0)]))
+    return rows.withColumn("_f", F.row_number().over(w)).where(F.col("_f") <= cap).drop("_f")
 
 
-def session_reads(reads: DataFrame, key: str, chain: str, paths: DataFrame, path: str, path_id: list[str], producers: DataFrame, producer_key: str, producer_path: str, order: list, cap: int = TOP_READS, within: dict[str, str] | None = None) -> DataFrame:
+def producer_join(reads: DataFrame, key: str, path: str, producers: DataFrame, producer_key: str, producer_path: str, order: list[str], cap: int = TOP_READS) -> DataFrame:
+    """Session reads meet the step that saved the key, where its path is the attribute's or an ancestor's; the first few per path.
+
+    `order` names columns. A read with that many before it of its key and path, or a producer with that many before it of its key and
+    path, is in no result, so both are cut before they meet.
+    """
+    empty = F.array().cast("array<string>")
+    few = _firsts(reads, [key, path], order, cap).withColumn("_at", F.explode(F.array_distinct(F.concat(F.array(F.col(path), F.when(F.col(path).isNotNull(), empty)), T.proper_prefixes(F.col(path))))))
+    made = _firsts(producers, [producer_key, producer_path], order, cap)
+    hit = few.join(made, (few[key] == made[producer_key]) & (few["_at"] == made[producer_path])).drop("_at")
+    return _firsts(hit, [path], order, cap)
+
+
+def session_reads(reads: DataFrame, key: str, chain: str, paths: DataFrame, path: str, path_id: list[str], producers: DataFrame, producer_key: str, producer_path: str, order: list[str], cap: int = TOP_READS, within: dict[str, str] | None = None) -> DataFrame:
     """Reads of the session that concern a path, the first few per path, with their producers.
 
     A read of a key that some step saves concerns the paths which that step's path is or is an ancestor
     of; a read of a key that no step saves concerns those that its chain refers to. `within` names columns of producers
     and the columns of paths that they must equal for the two to meet.
+
+    `order` names columns of reads, producers and paths. A pair comes after another one if its read or its producer
+    does and the rest is the same. So of the reads of a key, and of the producers of a path by their key, only the
+    first `cap` can be in a result; they are cut before they meet, and what is joined is bounded by paths and keys.
     """
+    mine = [c for c in path_id if c in reads.columns]
+    theirs = [c for c in path_id if c not in reads.columns]
     made = producers.select(F.col(producer_key).alias("_pk"), *[c for c in producers.columns if c != producer_key])
+    spots = _firsts(made, ["_pk", producer_path, *(within or {}), *(c for c in theirs if c in made.columns)], order, cap)
     keyed = paths.withColumn("_at", F.explode(F.concat(F.array(F.col(path)), T.proper_prefixes(F.col(path)))))
-    agree = [F.col(producer_path) == F.col("_at"), *(made[a] == keyed[b] for a, b in (within or {}).items())]
-    near = made.join(keyed, reduce(lambda x, y: x & y, agree)).drop("_at")
-    known = reads.join(near, reads[key] == F.col("_pk")).drop("_pk")
-    lost = reads.join(made.select("_pk").distinct(), reads[key] == F.col("_pk"), "left_anti")
-    open_ = suffix_join(paths, path, lost, chain)
-    rows = known.unionByName(open_, allowMissingColumns=True)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*path_id).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+    agree = [F.col(producer_path) == F.col("_at"), *(spots[a] == keyed[b] for a, b in (within or {}).items())]
+    near = _firsts(spots.join(keyed, reduce(lambda x, y: x & y, agree)).drop("_at"), [*theirs, "_pk"], order, cap)
+    known = _firsts(reads, [key, *mine], order, cap).join(near, F.col(key) == F.col("_pk")).drop("_pk")
+    lost = reads.join(made.select("_pk").distinct(), reads[key] == F.col("_pk"), "left_anti").distinct()
+    ends = _firsts(lost.withColumn("_k", F.explode(T.suffixes(F.col(chain)))), ["_k", *mine], order, cap)
+    tails = paths.withColumn("_k", F.explode(T.match_tails(F.col(path))))
+    open_ = tails.join(ends, "_k").drop("_k").distinct()
+    return _firsts(known.unionByName(open_, allowMissingColumns=True), path_id, order, cap)
 
 
 def capped_refs(refs: DataFrame, keys: list[str], step: list[str], kind: str, order: list, caps: dict | None = None) -> DataFrame:

@@ -96,8 +96,8 @@ def bundles(builds: DataFrame, steps: DataFrame, observations: DataFrame) -> Dat
     plain = paths.withColumn("plain", T.drop_indices(F.col("path"))).drop("path")
     producers = kept.select(F.concat_ws("\u0000", "build", "key").alias("producer_key"), F.col("build").alias("b3"), F.col("action").alias("origin_action"), F.col("jsonpath").alias("origin_path"), T.jsonpath_segments(F.col("jsonpath")).alias("origin_segments"))
     session = session.withColumn("read_key", F.concat_ws("\u0000", "b2", "session_key"))
-    # Only reads of the path's own build and action concern it, and so the cap comes after that test.
-    found = E.session_reads(session, "read_key", "chain", plain, "plain", [*KEY, "b2", "a2"], producers, "producer_key", "origin_segments", ["place", "origin_path"], 1 << 30, {"b3": "build"})
+    # Only reads of the path's own build and action concern it, and so the cap counts within those of the read.
+    found = E.session_reads(session, "read_key", "chain", plain, "plain", [*KEY, "b2", "a2"], producers, "producer_key", "origin_segments", ["place", "origin_path"], within={"b3": "build"})
     found = found.where("build = b2 and action = a2 and (b3 is null or b3 = build)")
     reads_of = E.capped_refs(found.withColumn("kind", F.lit("read")), KEY, [], "kind", ["place", "origin_path"], {"read": E.TOP_READS})
     reads_of = reads_of.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "session_key", "origin_action", "origin_path", "snippet"))).alias("session_reads"))
