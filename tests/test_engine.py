@@ -167,6 +167,27 @@ def test_nearest_names_beyond_one_block(spark, monkeypatch):
     assert [r.nearest for r in M.nearest_name(spark.createDataFrame([("a",)], "n string"), "n", table.limit(0), "w", "o").collect()] == [None]
 
 
+@pytest.mark.parametrize("m, n", [(0, 2), (3, 3), (4, 2), (2, 4), (5, 5)])
+@pytest.mark.parametrize("bound", [1, 2, 3])
+def test_near_strings_are_equal_without_some_letters(m, n, bound):
+    from itertools import combinations, product
+
+    without = lambda text, out: set(combinations(text, len(text) - out))
+    if abs(m - n) <= bound:
+        x, y = M._left_out(m, n, bound)
+        for a, b in product(product("ab", repeat=m), product("ab", repeat=n)):
+            assert edits(a, b) > bound or without(a, x) & without(b, y)
+
+
+def test_words_with_a_common_beginning_make_no_product(spark, monkeypatch):
+    made, own = [], M._by_letters
+    monkeypatch.setattr(M, "_by_letters", lambda *a: made.append(own(*a)) or made[-1])
+    words = spark.range(20_000).selectExpr("id", "concat('Customer#', lpad(id, 9, '0')) AS w")
+    names = spark.range(300).selectExpr("id AS i", "concat('Customer#', lpad(id * 37, 9, '0'), CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE 'yz' END) AS n")
+    assert M.nearest_name(names, "n", words, "w", "id").where("nearest <> substr(n, 1, 18) or distance <> i % 3").count() == 0
+    assert 0 < made[0].count() < 100_000
+
+
 def test_a_large_dictionary_is_searched_by_parts(spark):
     words = spark.range(60_000).selectExpr("id", "concat(hex(id * 2654435761), '-', id % 97) AS w")
     names = words.where("id % 6000 = 5").selectExpr("id AS i", "concat(substr(w, 1, 3), '#', substr(w, 4)) AS n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +14,16 @@ from .cut import written
 #: Rows of a dictionary that a task holds at once.
 DICTIONARY_ROWS = 10_000
 #: Edit distances up to which names meet words that share a part with them, one after the other.
-NEAR = (0, 1, 2, 3)
+NEAR = (0, 1, 2, 3, 4, 5)
+#: Rows of names without letters that are broadcast; rows of words without letters that a task makes.
+BROADCAST_NAMES, TASK_ROWS = 1 << 20, 1 << 20
 
 
 def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, ord_: str, most: int | None = None) -> DataFrame:
     """The dictionary's nearest entry by edit distance; of equally near ones the first in order.
 
     Names and words are made distinct first. A dictionary of up to DICTIONARY_ROWS words is broadcast, and each name folds over it.
-    Beyond that, words within a few edits are found by equal parts (near_words), for one distance after the
+    Beyond that, words within a few edits are found by what they have in common (near_words), for one distance after the
     other, until each name has a word; the names that have none then, whose nearest word shares little with them,
     meet the dictionary in blocks. A null name has no nearest entry; an empty dictionary has none for any.
     """
@@ -34,7 +37,10 @@ def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, o
         names, words = written(names, "names"), written(words, "words")
         found = []
         for bound in NEAR:
-            found.append(written(near_words(names, words, bound), "near-words"))
+            near = None if names.isEmpty() else near_words(names, words, bound)
+            if near is None:
+                break
+            found.append(written(near, "near-words"))
             names = written(names.join(found[-1], "_name", "left_anti"), "far-names")
         blocks = -(-size // DICTIONARY_ROWS)
         dealt = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("ord", "word")).alias("words"))
@@ -51,8 +57,74 @@ def _nearest_of(names: DataFrame) -> DataFrame:
     return names.select("_name", F.array_min(scored).alias("b")).where("b is not null").select("_name", "b.*")
 
 
-def near_words(names: DataFrame, words: DataFrame, bound: int) -> DataFrame:
-    """_name, distance, ord, nearest: for names with a word within `bound` edits, the nearest one.
+def near_words(names: DataFrame, words: DataFrame, bound: int) -> DataFrame | None:
+    """_name, distance, ord, nearest: for names with a word within `bound` edits, the nearest one; None where all pairs are fewer.
+
+    Candidates share a part (_parts) or what is left without some letters (_by_letters). The first way makes many pairs where words
+    have parts in common, the second many rows where they are long; counts of keys and lengths tell which makes less.
+    """
+    asked, own = _parts(names, words, bound)
+    key = ["n", "k", "part"]
+    pairs = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("a")).join(own.groupBy(*key).agg(F.count(F.lit(1)).alias("b")), key).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
+    lengths = lambda df, c: {r["n"]: r["count"] for r in df.groupBy(F.length(c).alias("n")).count().collect()}
+    m, n = lengths(names, "_name"), lengths(words, "word")
+    met = {(x, y): _left_out(x, y, bound) for x in m for y in n if abs(x - y) <= bound}
+    sent = sum(m[x] * math.comb(x, out) for (x, _), (out, _) in met.items())
+    kept = sum(n[y] * math.comb(y, out) for y, out in {(y, out) for (_, y), (_, out) in met.items()})
+    pairs, product = pairs or 0, sum(m.values()) * sum(n.values())
+    if bound > NEAR[0] and min(pairs, sent + kept) > product:
+        return None
+    found = asked.join(own, key) if pairs <= sent + kept else _by_letters(names, words, met, sent, kept)
+    found = found.withColumn("distance", F.levenshtein(F.col("_name"), F.col("word"), bound)).where("distance >= 0")
+    return found.groupBy("_name").agg(F.min(F.struct("distance", "ord", F.col("word").alias("nearest"))).alias("b")).select("_name", "b.*")
+
+
+def _left_out(m: int, n: int, bound: int) -> tuple[int, int]:
+    """How many letters a name of m and a word of n letters lose at most where they are within that many edits.
+
+    A substitution takes one of each, the others one of either, and the lengths differ by those; so the shorter one loses
+    at most what the difference leaves of the edits. To lose more than need be keeps the rest equal.
+    """
+    shorter = min(bound - abs(m - n), m, n)
+    return shorter + max(0, m - n), shorter + max(0, n - m)
+
+
+def _without(rows: DataFrame, text: str, out: Column, most: int) -> DataFrame:
+    """Rows with `left`: the text without `out` letters, once for each choice of them."""
+    rows = rows.withColumns({"left": F.col(text), "last": F.length(text) + 1, "out": out})
+    for k in range(1, most + 1):  # letters go from the back
+        places = F.when(F.col("out") < k, F.array(F.lit(0))).when(F.col("last") > 1, F.sequence(F.lit(1), F.col("last") - 1))
+        rows = rows.withColumn("at", F.explode(places))
+        # Of equal letters side by side the last ones go, since the others leave the same.
+        rows = rows.where((F.col("at") == 0) | (F.col("at") + 1 == F.col("last")) | (F.col("left").substr(F.col("at"), F.lit(1)) != F.col("left").substr(F.col("at") + 1, F.lit(1))))
+        rows = rows.withColumns({"left": F.when(F.col("at") == 0, F.col("left")).otherwise(F.concat(F.substring("left", 1, F.col("at") - 1), F.col("left").substr(F.col("at") + 1, F.length("left")))), "last": F.when(F.col("at") == 0, F.col("last")).otherwise(F.col("at"))})
+    return rows.drop("last", "at", "out")
+
+
+def _by_letters(names: DataFrame, words: DataFrame, met: dict[tuple[int, int], tuple[int, int]], sent: int, kept: int) -> DataFrame:
+    """Pairs of a name and a word that are equal without the letters that `met` allows for their lengths."""
+    listed = lambda own: F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in zip(("n", "y", "x"), o, strict=False)]) for o in sorted(own)])
+    by_name: dict[int, set] = {}
+    by_word: dict[int, set] = {}
+    for (m, n), (x, y) in met.items():
+        by_name.setdefault(m, set()).add((n, y, x))
+        by_word.setdefault(n, set()).add((n, y))
+    if not met:
+        return names.crossJoin(words).where("false")
+    choose = lambda c, by: F.explode(_case(F.length(c), {k: listed(v) for k, v in by.items()})).alias("p")
+    asked = names.repartition(1 + sent // TASK_ROWS).select("_name", choose("_name", by_name)).select("_name", "p.*")
+    asked = _without(asked, "_name", F.col("x"), max(x for x, _ in met.values())).select("_name", "n", "y", F.xxhash64("left").alias("h")).distinct()
+    own = words.repartition(1 + kept // TASK_ROWS).select("word", "ord", choose("word", by_word)).select("word", "ord", "p.*")
+    own = _without(own, "word", F.col("y"), max(y for _, y in met.values())).select("word", "ord", "n", "y", F.xxhash64("left").alias("h"))
+    return (F.broadcast(asked) if sent <= BROADCAST_NAMES else asked).join(own, ["n", "y", "h"])
+
+
+def _case(value: Column, by: dict[int, Column]) -> Column:
+    return reduce(lambda c, k: c.when(value == k, by[k]), by, F.when(F.lit(False), None))
+
+
+def _parts(names: DataFrame, words: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """Names and words by equal parts of words.
 
     A word is cut into bound + 1 parts of equal length, of which that many edits leave one whole; it stands in the
     name at most `bound` places away. So a word's parts and a name's substrings of such lengths at such
@@ -77,8 +149,7 @@ def near_words(names: DataFrame, words: DataFrame, bound: int) -> DataFrame:
     at = begin(F.col("n"), F.col("k")) + F.col("shift")
     asked = asked.where((F.col("n") <= bound) | ((at >= 0) & (at + begin(F.col("n"), F.col("k") + 1) - begin(F.col("n"), F.col("k")) <= F.length("_name"))))
     asked = asked.select("_name", "n", "k", piece(F.col("_name"), F.col("n"), F.col("k"), F.col("shift")).alias("part")).distinct()
-    pairs = asked.join(own, ["n", "k", "part"]).withColumn("distance", F.levenshtein(F.col("_name"), F.col("word"), bound)).where("distance >= 0")
-    return pairs.groupBy("_name").agg(F.min(F.struct("distance", "ord", F.col("word").alias("nearest"))).alias("b")).select("_name", "b.*")
+    return asked, own
 
 
 def kth_occurrence(left: DataFrame, right: DataFrame, keys: list[str], left_order: list, right_order: list, payload: list[str]) -> DataFrame:
