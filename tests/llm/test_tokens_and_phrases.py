@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from treeloom.llm import alignment, byte_bpe, collocations, common
+from treeloom.llm import alignment, byte_bpe, chunks, collocations, common
 from treeloom.llm.perfect_hash import PerfectHash, StoredKeys
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,6 +58,38 @@ def test_phrases_stay_in_pieces_and_languages(spark):
     assert told(collocations.mine(spark, docs, 3)) == brute_phrases([(r[1], r[2]) for r in rows], 3, 2000)
 
 
+def test_a_phrase_is_told_by_one_chunk(spark, docs, rows):
+    packed = chunks.pack(spark, docs.selectExpr("crc32(coalesce(lang, 'und')) AS doc_id", "text").repartition(3), 2000)
+    assert packed.count() > 10
+    want = collections.Counter()
+    for r in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (r[1] or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update((r[2], *w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    want = sorted(n for n in want.values() if n >= 5)
+    for salt in (0, 3):
+        found = collocations._entries(spark, packed, 4, 3, 5, salt).collect()
+        assert sorted(n for r in found if r["shard"] is not None for n in common.unpack_numbers(r["counts"]).tolist()) == want
+        assert len({(r["shard"], name) for r in found if r["shard"] is not None for name in collocations._names(r["names"]).to_pylist()}) == len(want)
+        assert sum(r["check"] for r in found) % 2**64 == 0 and any(r["check"] for r in found)
+
+
+@pytest.mark.parametrize("fan", [chunks.FAN, 2])
+def test_one_chunk_is_the_teller_of_a_key(spark, monkeypatch, fan):
+    monkeypatch.setattr(chunks, "FAN", fan)
+    packed = chunks.pack(spark, spark.range(40).selectExpr("id AS doc_id", "repeat('x', 50) AS text").repartition(4), 100)
+    keys_of = lambda row: [(1, np.array([5, 2**63 + row["ids"][0] % 3, 2**64 - 1 - row["chunk"]], np.uint64), np.array([1, 2, 1], np.uint64))]
+    told = collections.Counter()
+    for r in chunks.exchange(spark, packed, keys_of, 8, least=3)[0].collect():
+        told.update(common.unpack_numbers(r["counts"]).tolist())
+    first = collections.Counter(r["ids"][0] % 3 for r in packed.collect())
+    n = sum(first.values())
+    want = collections.Counter({0: n})
+    for count, senders in [(n, n), *((2 * k, k) for k in first.values())]:
+        want.update({2 * count + 1: 1, 2 * count: senders - 1})
+    assert n > 10 and told == want
+
+
 def test_perfect_hash_is_minimal_and_names_are_verified():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))

@@ -119,21 +119,30 @@ def _ask(kind: int, sender: int, keys: np.ndarray, counts: np.ndarray, slot: np.
     )
 
 
-def _merged(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each row, distinct keys of all, each row key's place there, and sums."""
+def _merged(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each row, distinct keys of all, their first places in the rows, each row key's place there, and sums."""
+    rows.sort(key=lambda r: hash((r["slot"], r["sender"])))  # another row is the first one in each slot, the same in each run
     keys = [common.unpack_sorted(r["keys"]) for r in rows]
-    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    own, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([common.unpack_numbers(r["counts"]) for r in rows]), minlength=len(own))
-    return keys, own, at, total.astype(np.uint64)  # exact up to 2 ** 53
+    return keys, own, first, at, total.astype(np.uint64)  # exact up to 2 ** 53
 
 
-def _sum_up(most: int | None):
+def _only(first: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """What rows are told, with the bit of a key's teller at its first place alone."""
+    out = told & ~words.U(1)
+    out[first] = told[first]
+    return out
+
+
+def _sum_up(most: int | None, least: int | None):
     def run(table: pa.Table) -> pa.Table:
         """A bucket's sums, in the order of each row's keys. The row of the least sender tells the bucket's types and total."""
         rows = table.to_pylist()
-        keys, own, at, total = _merged(rows)
+        keys, _, one, at, total = _merged(rows)
         told = total if most is None else np.minimum(total, words.U(most))
-        parts = np.split(told[at], np.cumsum([len(k) for k in keys])[:-1])
+        told = told[at] if least is None else _only(one, np.where(total >= words.U(least), total * words.U(2) + words.U(1), words.U(0))[at])
+        parts = np.split(told, np.cumsum([len(k) for k in keys])[:-1])
         first = min(range(len(rows)), key=lambda k: rows[k]["sender"])
         out = {k: [r[k] for r in rows] for k in ("kind", "slot", "sender")} | {"counts": [common.pack_numbers(x) for x in parts]}
         out["types"] = [int((total > 0).sum()) if k == first else 0 for k in range(len(rows))]
@@ -148,7 +157,7 @@ def _merge(every: int, bits: int, width: int):
     def run(table: pa.Table) -> pa.Table:
         """Senders of a range become one sender of the finer ranges, each `width` buckets wide."""
         rows = table.to_pylist()
-        _, own, _, total = _merged(rows)
+        _, own, _, _, total = _merged(rows)
         common.release()
         return pa.Table.from_batches([_ask(rows[0]["kind"], rows[0]["group"], own, total, bucket_of(own, every, bits) // width)])
 
@@ -166,12 +175,13 @@ def _steps(buckets: int) -> tuple[int, int]:
     return fan, steps
 
 
-def exchange(spark: SparkSession, packed: DataFrame, keys_of, buckets: int, bits: int = 64, most: int | None = None, name: str = "sums") -> tuple[DataFrame, DataFrame]:
+def exchange(spark: SparkSession, packed: DataFrame, keys_of, buckets: int, bits: int = 64, most: int | None = None, name: str = "sums", least: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Sums of counts by key over all chunks.
 
     keys_of(row of a chunk) gives (kind, ascending distinct keys below 2 ** bits, counts) for each kind of key.
     Returns rows (kind, slot, sender, counts): a chunk's sums by kind, in the order of its keys if
-    rows are taken by slot, packed by common.pack_numbers and, with `most`, not told beyond it; and the rows of the
+    rows are taken by slot, packed by common.pack_numbers and, with `most`, not told beyond it; with `least`, sums below
+    it are told as 0 and others as twice the sum, and to one of the key's chunks, its teller, as one more; and the rows of the
     last step, whose `types` and `total` sum up to the number of distinct keys with a count and to all counts.
     """
     fan, steps = _steps(buckets)
@@ -191,15 +201,16 @@ def exchange(spark: SparkSession, packed: DataFrame, keys_of, buckets: int, bits
         dealt = asked[-1].withColumn("group", F.pmod(F.xxhash64("sender"), F.lit(senders)))
         asked[-1] = common.materialize(spark, dealt, f"{name}-asked")
         asked.append(asked[-1].groupBy("kind", "slot", "group").applyInArrow(_merge(every, bits, fan ** (steps - 1 - step)), ddl(ASKED)))
-    last = sums = common.materialize(spark, asked[-1].groupBy("kind", "slot").applyInArrow(_sum_up(most), ddl(SUMS)), name)
+    last = sums = common.materialize(spark, asked[-1].groupBy("kind", "slot").applyInArrow(_sum_up(most, least), ddl(SUMS)), name)
     for before in reversed(asked[:-1]):
 
         def back(own: pa.Table, got: pa.Table) -> pa.Table:
             rows = own.to_pylist()
-            keys, merged, at, _ = _merged(rows)
+            keys, merged, first, at, _ = _merged(rows)
             told = np.concatenate([common.unpack_numbers(r["counts"]) for r in sorted(got.to_pylist(), key=lambda r: r["slot"])])
             assert len(told) == len(merged), "a sum is missing"
-            parts = np.split(told[at], np.cumsum([len(k) for k in keys])[:-1])
+            told = told[at] if least is None else _only(first, told[at])
+            parts = np.split(told, np.cumsum([len(k) for k in keys])[:-1])
             out = {k: [r[k] for r in rows] for k in ("kind", "slot", "sender")} | {"counts": [common.pack_numbers(x) for x in parts], "types": [0] * len(rows), "total": [0] * len(rows)}
             return pa.Table.from_batches([batch(out, SUMS)])
 

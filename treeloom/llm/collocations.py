@@ -1,17 +1,19 @@
 """Phrases of two and three words whose words attract each other, by language.
 
-1. Candidates, Apriori-safe: an exchange over all chunks (chunks.exchange) adds up counts of hashed
-   words and pairs, told only up to `least` and by shortened hashes, so that none is too small. Triples are
-   asked for only where both of their pairs may be frequent. What may be frequent goes on with its words as text.
-2. Candidates are dealt to shards by their hash. A shard's distinct ones get slots by a minimal
-   perfect hash; a slot keeps its phrase, with which every lookup is compared, and phrases of one hash
-   have slots of their own.
-3. Mappers, each a group of chunks' rows of one shard, bincount their candidates by slot; the arrays are summed up in a tree.
+1. Candidates, Apriori: an exchange over all chunks (chunks.exchange) adds up the counts of words and pairs by
+   their 64-bit keys. Triples are asked for, in a second one, only where both of their pairs are frequent. Of a key's
+   chunks one is its teller: it alone goes on with the phrase as text, with the corpus-wide count.
+2. Phrases are dealt to shards by their keys. A shard's get slots by a minimal perfect hash; a slot keeps its
+   phrase, with which every lookup is compared, and phrases of one key have slots of their own.
+3. Counts are put in slots by groups of tellers' rows; the arrays are summed up in a tree.
 4. Each shard asks the shards of its phrases' parts, which read the counts by slot. Scores are computed with whole numbers of any size.
 
-A task puts the candidates of its chunks together before they are shuffled, up to SENDER_ENTRIES. Groups of
-mappers grow with the entries, not with the candidates, so no task's rows grow with the corpus; a phrase that is in every
-text is an entry per sender. Shards follow the bytes of text up to MOST_SHARDS.
+Keys are verified: each chunk adds up a second hash, from the text, over all its occurrences of frequent phrases; tellers
+take off their phrase's, times its count. The sum over the corpus is zero if all occurrences counted under a key are of its phrase (but
+for a chance of 2 ** -64). If it isn't, all is counted again with other hashes.
+
+A phrase's text is shuffled once per corpus, its key once per chunk. No task's rows grow with the corpus, and
+a phrase that is in every text is a key per chunk. Shards follow the bytes of text up to MOST_SHARDS.
 
 Nulls: a null language is `und`, a null text empty; doc_ids aren't read. Repeated rows count as often as they occur.
 Ties of score go by count, then by the phrase's bytes, which no two share. Texts of any length are read whole; empty
@@ -20,12 +22,12 @@ texts have no words. Empty table: no rows. Extra columns are ignored, whatever t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +39,7 @@ LONGEST, LEAST, BEST = 3, 10, 2000
 #: Percent of a phrase's occurrences that lie inside a longer one, from which on it's dropped.
 INSIDE = 50
 #: Bytes of text for a shard and shards, at most; entries of a mapper; arrays that one task sums up.
-SHARD_BYTES, MOST_SHARDS, GROUP_ENTRIES, FAN_IN = 4 << 20, 1 << 16, 1 << 19, 64
-#: Entries that a task holds while it puts those of its chunks together.
-SENDER_ENTRIES = 1 << 19
+SHARD_BYTES, MOST_SHARDS, GROUP_ENTRIES, FAN_IN = 16 << 20, 1 << 16, 1 << 19, 64
 
 #: Bytes that end a piece, and bytes of words.
 BREAK = np.zeros(256, bool)
@@ -47,8 +47,9 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD = ~BREAK
 WORD[[0x20, 0x09]] = False
 
-GRAMS = {"chunk": pa.int64(), "kind": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "names": pa.binary()}
+TRIPLES = {"chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 ENTRIES = {"shard": pa.int64(), "sender": pa.int64(), "n": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "names": pa.binary()}
+SENT = ENTRIES | {"check": pa.int64()}
 INDEX = {"shard": pa.int64(), "keys": pa.binary(), "names": pa.binary()}
 ARRAYS = {"shard": pa.int64(), "part": pa.int64(), "counts": pa.binary()}
 SLOTS = INDEX | {"counts": pa.binary()}
@@ -73,6 +74,14 @@ def _names(packed: bytes) -> pa.Array:
     return pa.array(raw.split(b"\n") if raw else [], pa.binary())
 
 
+def _turned(salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Another byte for each byte, so that words get other hashes with another salt; and which ones are of words."""
+    turn = np.random.default_rng(salt).permutation(256).astype(np.uint8) if salt else np.arange(256, dtype=np.uint8)
+    word = np.empty(256, bool)
+    word[turn] = WORD
+    return turn, word
+
+
 def _language(ids) -> np.ndarray:
     return np.array(ids, np.int64).view(words.U)
 
@@ -83,12 +92,13 @@ def _mixed(hashes: np.ndarray, k: int, language: np.ndarray) -> np.ndarray:
     return words.mix(found ^ words.mix(language[: len(found)]))
 
 
-def keys_of_names(names: pa.Array) -> np.ndarray:
+def keys_of_names(names: pa.Array, salt: int = 0) -> np.ndarray:
     """The keys that texts give to these phrases."""
     own = names.to_pylist()
     phrases = [x[16:] for x in own]
     offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, phrases), np.int64, len(phrases)))]).astype(np.int64)
-    found = words.split(np.frombuffer(b"".join(phrases), np.uint8), offs, WORD)
+    turn, word = _turned(salt)
+    found = words.split(turn[np.frombuffer(b"".join(phrases), np.uint8)], offs, word)
     language = np.array([int(x[:16], 16) for x in own], words.U)
     keys = np.zeros(len(own), words.U)
     for k in range(1, LONGEST + 1):
@@ -101,12 +111,10 @@ def keys_of_names(names: pa.Array) -> np.ndarray:
 class Phrases:
     """A chunk's words, and the keys of its words, pairs and triples inside pieces."""
 
-    def __init__(self, row: dict):
-        self.chunk, ids, data, offs = chunks.rows_of(row)
-        self.data = words.LOWER[data]
-        parts, base = [], 0
-        for i, _, b, o in common.pieces(self.data, offs, 2 << 20):
-            w = words.split(b, o, WORD)
+    def __init__(self, row: dict, salt: int = 0):
+        self.chunk, ids, data, self.offs = chunks.rows_of(row)
+        self.data, parts, offs = words.LOWER[data], [], self.offs
+        for i, w in self._split(salt):
             parts.append((w.hashes, w.starts + offs[i], w.ends + offs[i], w.text_of() + i))
         self.hashes, self.starts, self.ends, text = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, words.U if not k else np.int64) for k in range(4))
         self.language = _language(ids)[text]
@@ -114,6 +122,15 @@ class Phrases:
         self.joined = np.zeros(len(text), bool)  # whether the next word is of the same piece
         self.joined[:-1] = (text[1:] == text[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1] - 1])
 
+    def _split(self, salt: int):
+        turn, word = _turned(salt)
+        for i, _, b, o in common.pieces(self.data, self.offs, 2 << 20):
+            yield i, words.split(turn[b], o, word)
+
+    def second(self, salt: int) -> np.ndarray:
+        """Other hashes of the words."""
+        return np.concatenate([np.zeros(0, words.U), *(w.hashes for _, w in self._split(salt))])
+
     def places(self, k: int) -> np.ndarray:
         """The words at which a phrase of k words begins."""
         ok = np.ones(max(0, len(self.hashes) - k + 1), bool)
@@ -136,10 +153,20 @@ class Phrases:
             out.append(prefix[lang] + (raw[a:z] if whole else b" ".join(raw[self.starts[j] : self.ends[j]] for j in range(at, at + k))))
         return out
 
-    def grams(self, kind: int, places: np.ndarray) -> dict:
-        """Row of the distinct phrases that begin at these places."""
-        keys, first, counts = np.unique(self.keys(kind, places), return_index=True, return_counts=True)
-        return {"chunk": self.chunk, "kind": kind, "keys": common.pack_sorted(keys), "counts": common.pack_numbers(counts), "names": _pack_names(self.names(places[first], kind))}
+    def told(self, kind: int, places: np.ndarray, replies: list[dict]) -> tuple[np.ndarray, ...]:
+        """Distinct keys of the phrases that begin at these places, their first ones and each one's number there, and what chunks.exchange tells of them."""
+        keys, first, at = np.unique(self.keys(kind, places), return_index=True, return_inverse=True)
+        told = chunks.sums_of(replies, kind)
+        assert len(told) == len(keys), "a sum is missing"
+        return keys, first, at, told
+
+    def triples(self, replies: list[dict]) -> np.ndarray:
+        """The words at which two frequent pairs begin one after the other."""
+        pair, places = np.zeros(len(self.hashes) + 1, bool), self.places(2)
+        _, _, at, told = self.told(2, places, replies)
+        pair[places[(told > 0)[at]]] = True
+        triples = self.places(3)
+        return triples[pair[triples] & pair[triples + 1]]
 
 
 def _batches(rows: list[dict], schema: dict) -> pa.Table:
@@ -147,42 +174,65 @@ def _batches(rows: list[dict], schema: dict) -> pa.Table:
     return pa.Table.from_batches([chunks.batch({k: [r[k] for r in rows] for k in schema}, schema)], pa.schema(list(schema.items())))
 
 
-def _candidates(spark: SparkSession, packed: DataFrame, buckets: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Per chunk and kind, words and pairs that may occur `least` times, and triples of such pairs with the answers about them."""
-    bits = chunks.short_keys(np.zeros(0, words.U), buckets)[1]
-    short = lambda keys: keys >> words.U(64 - bits)
+def _entries(spark: SparkSession, packed: DataFrame, buckets: int, shards: int, least: int, salt: int) -> DataFrame:
+    """Per shard and chunk: the frequent phrases that the chunk tells, with their corpus-wide counts. A row without a shard has a chunk's words by language and its part of the check."""
 
     def pairs_of(row: dict):
-        p = Phrases(row)
+        p = Phrases(row, salt)
         for kind in (1, 2):
-            yield kind, *np.unique(short(p.keys(kind, p.places(kind))), return_counts=True)
+            yield kind, *np.unique(p.keys(kind, p.places(kind)), return_counts=True)
 
-    def frequent(own: pa.Table, got: pa.Table) -> pa.Table:
+    def asked(own: pa.Table, got: pa.Table) -> pa.Table:
         replies, out = got.to_pylist(), []
         for row in own.to_pylist():
-            p, pair = Phrases(row), None
-            for kind in (1, 2):
-                places = p.places(kind)
-                keys, at = np.unique(short(p.keys(kind, places)), return_inverse=True)
-                told = chunks.sums_of(replies, kind)
-                assert len(told) == len(keys), "a sum is missing"
-                places = places[(told >= words.U(least))[at]]
-                out.append(p.grams(kind, places))
-            pair = np.zeros(len(p.hashes) + 1, bool)
-            pair[places] = True
-            triples = p.places(3)
-            out.append(p.grams(3, triples[pair[triples] & pair[triples + 1]]))
-            languages, n = np.unique(p.language, return_counts=True)
-            out.append({"chunk": p.chunk, "kind": 0, "keys": common.pack_sorted(languages), "counts": common.pack_numbers(n), "names": b""})
-        return _batches(out, GRAMS)
+            p = Phrases(row, salt)
+            keys, counts = np.unique(p.keys(3, p.triples(replies)), return_counts=True)
+            out.append({"chunk": p.chunk, "keys": common.pack_sorted(keys), "counts": common.pack_numbers(counts)})
+        return _batches(out, TRIPLES)
 
     def triples_of(row: dict):
-        keys, at = np.unique(short(common.unpack_sorted(row["keys"])), return_inverse=True)
-        yield 3, keys, np.bincount(at, weights=common.unpack_numbers(row["counts"]), minlength=len(keys)).astype(np.uint64)
+        yield 3, common.unpack_sorted(row["keys"]), common.unpack_numbers(row["counts"])
+
+    def tell(own: pa.Table, got: pa.Table) -> pa.Table:
+        replies, out = got.to_pylist(), []
+        for row in own.to_pylist():
+            p = Phrases(row, salt)
+            other, parts, check = p.second(salt + 1), [], words.U(0)
+            for kind in (1, 2, 3):
+                places = p.triples(replies) if kind == 3 else p.places(kind)
+                keys, first, at, told = p.told(kind, places, replies)
+                mine, total = (told & words.U(1)) > 0, told >> words.U(1)
+                second = _mixed(other, kind, p.language)[places]
+                check = np.sum(second[(told > 0)[at]], initial=check) + np.sum(~(second[first[mine]] * total[mine]) + words.U(1))  # ~x + 1 takes x off
+                parts.append((keys[mine], total[mine], pa.array(p.names(places[first[mine]], kind), pa.binary())))
+            keys, counts, names = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), pa.concat_arrays([x[2] for x in parts])
+            order = np.argsort(keys, kind="stable")
+            keys, counts, names = keys[order], counts[order], names.take(pa.array(order))
+            bucket = chunks.bucket_of(keys, shards)
+            out += [
+                {"shard": int(bucket[a]), "sender": p.chunk, "n": z - a, "keys": common.pack_sorted(keys[a:z]), "counts": common.pack_numbers(counts[a:z]), "names": _pack_names(names.slice(a, z - a).to_pylist()), "check": 0}
+                for a, z in chunks.runs_of(bucket)
+            ]
+            languages, n = np.unique(p.language, return_counts=True)
+            out.append({"shard": None, "sender": p.chunk, "n": 0, "keys": common.pack_sorted(languages), "counts": common.pack_numbers(n), "names": b"", "check": int(np.array(check, np.uint64).view(np.int64))})
+        return _batches(out, SENT)
 
-    replies, _ = chunks.exchange(spark, packed, pairs_of, buckets, bits, least, "phrase-pairs")
-    grams = common.materialize(spark, packed.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(frequent, _ddl(GRAMS)), "phrases")
-    return grams, chunks.exchange(spark, grams.where("kind = 3"), triples_of, buckets, bits, least, "phrase-triples")[0]
+    pairs, _ = chunks.exchange(spark, packed, pairs_of, buckets, name="phrase-pairs", least=least)
+    triples = packed.groupBy("chunk").cogroup(pairs.groupBy("sender")).applyInArrow(asked, _ddl(TRIPLES))
+    replies = pairs.unionByName(chunks.exchange(spark, triples, triples_of, buckets, name="phrase-triples", least=least)[0])
+    return common.materialize(spark, packed.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(tell, _ddl(SENT)), "phrase-entries")
+
+
+def _verified(spark: SparkSession, packed: DataFrame, buckets: int, shards: int, least: int) -> tuple[DataFrame, int]:
+    """_entries with hashes that tell all frequent phrases apart, and their salt; what only led to them is deleted."""
+    for salt in itertools.count():
+        first = len(common.CREATED)
+        entries = _entries(spark, packed, buckets, shards, least, salt)
+        same = int(entries.agg(F.sum(F.col("check").cast("decimal(38,0)"))).first()[0] or 0) % (1 << 64) == 0
+        for path in common.CREATED[first : len(common.CREATED) - same]:
+            common.remove(spark, path)
+        if same:
+            return entries, salt
 
 
 def _distinct(keys: np.ndarray, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,52 +255,6 @@ def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return keys[own], np.bincount(at, weights=counts, minlength=len(own)).astype(np.uint64), names.take(pa.array(own))
 
 
-def _entries(spark: SparkSession, grams: DataFrame, replies: DataFrame, buckets: int, shards: int, least: int) -> DataFrame:
-    """Per shard and sender: candidates with their counts there. A sender is a run of chunks that a task reads one after the other."""
-    bits = chunks.short_keys(np.zeros(0, words.U), buckets)[1]
-
-    def triples(own: pa.Table, got: pa.Table) -> pa.Table:
-        told, out = chunks.sums_of(got.to_pylist(), 3), []
-        for row in own.to_pylist():
-            keys = common.unpack_sorted(row["keys"])
-            keep = (told >= words.U(least))[np.unique(keys >> words.U(64 - bits), return_inverse=True)[1]]
-            names = _names(row["names"]).filter(pa.array(keep)).to_pylist()
-            out.append(row | {"keys": common.pack_sorted(keys[keep]), "counts": common.pack_numbers(common.unpack_numbers(row["counts"])[keep]), "names": _pack_names(names)})
-        return _batches(out, GRAMS)
-
-    def dealt(batches):
-        base, sent, parts, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def flush():
-            keys, counts, names = _merged(parts)
-            bucket = chunks.bucket_of(keys, shards)
-            rows = [
-                {"shard": int(bucket[a]), "sender": base + sent, "n": z - a, "keys": common.pack_sorted(keys[a:z]), "counts": common.pack_numbers(counts[a:z]), "names": _pack_names(names.slice(a, z - a).to_pylist())}
-                for a, z in chunks.runs_of(bucket)
-            ]
-            return _batches(rows, ENTRIES).to_batches()
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                parts.append((common.unpack_sorted(row["keys"]), common.unpack_numbers(row["counts"]), _names(row["names"])))
-                size += len(parts[-1][0])
-                if size > SENDER_ENTRIES:
-                    parts[:] = [_merged(parts)]
-                    common.release()
-                    size = len(parts[0][0])
-                    if 2 * size > SENDER_ENTRIES:
-                        yield from flush()
-                        sent, size = sent + 1, 0
-                        parts.clear()
-        if size:
-            yield from flush()
-
-    more = grams.where("kind = 3").groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(triples, _ddl(GRAMS))
-    some = [g.mapInArrow(dealt, _ddl(ENTRIES)) for g in (grams.where("kind in (1, 2)"), more)]
-    some[1] = some[1].withColumn("sender", -1 - F.col("sender"))  # other senders than the first ones
-    return common.materialize(spark, some[0].unionByName(some[1]), "phrase-entries")
-
-
 def _joined(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Keys and names of all rows, each name once."""
     rows = table.to_pylist()
@@ -313,14 +317,14 @@ def _cuts(name: bytes) -> list[tuple[bytes, bytes]]:
     return [(lang + b" ".join(parts[:k]), lang + b" ".join(parts[k:])) for k in range(1, len(parts))]
 
 
-def _scored(spark: SparkSession, slots: DataFrame, shards: int, least: int) -> DataFrame:
+def _scored(spark: SparkSession, slots: DataFrame, shards: int, least: int, salt: int) -> DataFrame:
     """Candidates with the cut of the lowest score, and the phrases that they hide."""
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 names = pa.array(sorted({part for name in _phrases(row, least) for cut in _cuts(name) for part in cut}), pa.binary())
-                keys = keys_of_names(names)
+                keys = keys_of_names(names, salt)
                 order = np.argsort(keys, kind="stable")
                 keys, own = keys[order], names.take(pa.array(order)).to_pylist()
                 bucket = chunks.bucket_of(keys, shards)
@@ -364,13 +368,15 @@ def mine(spark: SparkSession, docs: DataFrame, least: int = LEAST, best: int = B
     packed = chunks.pack(spark, own.select(F.col("lang_key").alias("doc_id"), "text"))
     buckets = chunks.bucket_count(packed)
     shards = min(MOST_SHARDS, chunks.bucket_count(packed, SHARD_BYTES))
-    grams, replies = _candidates(spark, packed, buckets, least)
-    slots = _slots(spark, _entries(spark, grams, replies, buckets, shards, least), shards)
-    found = _scored(spark, slots, shards, least)
+    folder = common.CREATED[-1]
+    entries, salt = _verified(spark, packed, buckets, shards, least)
+    common.remove(spark, folder)
+    slots = _slots(spark, entries.where("shard is not null").drop("check"), shards)
+    found = _scored(spark, slots, shards, least, salt)
     hidden = found.select("lang_key", F.explode("hides").alias("phrase"))
     order = Window.partitionBy("lang_key").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
     top = found.drop("hides").join(hidden, ["lang_key", "phrase"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    sizes = grams.where("kind = 0").mapInArrow(_languages, "lang_key bigint, n bigint").groupBy("lang_key").agg(F.sum("n").alias("n"))
+    sizes = entries.where("shard is null").mapInArrow(_languages, "lang_key bigint, n bigint").groupBy("lang_key").agg(F.sum("n").alias("n"))
     names = own.groupBy("lang_key").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"))
     named = names.select("lang_key", F.when(F.col("lang") == F.col("other"), F.col("lang")).otherwise(F.raise_error(F.lit("two languages have one hash"))).alias("lang"))
     return top.join(sizes, "lang_key").join(named, "lang_key").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
