@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from treeloom.plans import book, flows, openapi
+from treeloom.operators import profile
+from treeloom.plans import book, builds, flows, openapi
 from treeloom.sources import schemas
 
 from .test_builds import BASE
@@ -43,6 +44,25 @@ def test_steps_and_observations(spark):
     assert "search.only.default" not in {r.path_key for r in book.reconstructed(frame(spark)).collect()}
 
 
+def test_flows_as_rows_are_observed_like_a_build(spark):
+    payload = lambda i, k: {"a": [i % 3, {"b": k}], "c": None if i else {"d": 1}}
+    steps = lambda i: [{"api": a, "examples": [{"payload": payload(i, k)} for k in (1, 1, 2)], "mock": {"defaultPayload": payload(9, i)}} for a in ("x", "y", "x")]
+    own = [{"id": f"f{i // 2}", **({"usecase": f"u{i % 2}"} if i < 6 else {}), "config": {"steps": steps(i), "transaction_history": [{"action": "x", "payload": payload(0, i)}]}} for i in range(9)]
+    doc = spark.createDataFrame([("b", json.dumps({"x-flows": own}))], "build string, doc string")
+    rows = spark.createDataFrame([("b", i * 2**59 - 2**62, json.dumps(f)) for i, f in enumerate(own)], "build string, ord bigint, flow string")
+    whole = sorted(map(tuple, book.observe(doc).collect()), key=str)
+    assert sorted(map(tuple, book.observe_flows(builds.flow_rows(rows)).collect()), key=str) == whole
+    got = {(r.usecase, r.path_key): r for r in book.observe(doc).collect()}
+    x = got[(None, "x.a")]
+    assert (x.n_flows, x.n_values, x.samples, x.is_array_indexed) == (2, 27, ["0", "1", "2"], True)
+    assert got[("u0", "x.c")].value_type == "null" and got[("u0", "x")].n_flows == 3
+    nodes = profile.observations(book.payloads(doc), ["build", "usecase", "action", "flow_id", "ord"], "payload")  # each payload by itself
+    nodes = nodes.withColumns({"path_key": F.concat_ws(".", F.array("action"), F.col("path")), "ord": F.concat("ord", "place")})
+    each = profile.leaf_profile(nodes, ["build", "usecase", "action", "path_key"], "value", "flow_id", "ord", "kind", "in_array")
+    assert sorted(map(tuple, each.collect()), key=str) == whole
+    assert book.flow_payloads(builds.flow_rows(rows)).count() == 9 * 13
+
+
 def test_book_and_split(spark):
     page = book.book(frame(spark)).first().page
     assert page.index("# Overview") < page.index("# Flows") < page.index("# Error codes")

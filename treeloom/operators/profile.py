@@ -20,14 +20,17 @@ def mode_first_seen(df: DataFrame, keys: list[str], value: str, ord_: str) -> Da
     return counts.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value"), "n"), F.struct("n", -F.col("first"))).alias("m")).select(*keys, F.col("m.value").alias("most_common"), F.col("m.n").alias("count"))
 
 
-def leaf_profile(df: DataFrame, keys: list[str], value: str, flow: str, ord_: str, kind: str, in_array: str, samples: int = SAMPLES) -> DataFrame:
+def leaf_profile(df: DataFrame, keys: list[str], value: str, flow: str | None, ord_: str, kind: str, in_array: str, samples: int = SAMPLES, times: str | None = None) -> DataFrame:
     """Per key: first type, distinct samples in first-seen order, number of flows, leaf and array flags.
 
     Values are reduced to one row per distinct value first, so a list never holds repeats. Containers
-    have kind `object`; whether a path is a leaf follows its first sighting.
+    have kind `object`; whether a path is a leaf follows its first sighting. Without `flow` flows aren't numbered;
+    `times` has how often a row was seen.
     """
     scalar = F.col(kind) != "object"
-    own = df.groupBy(*keys).agg(F.min_by(kind, ord_).alias("value_type"), F.count_distinct(flow).alias("n_flows"), F.bool_or(F.col(in_array) & scalar).alias("later_array"), F.min_by(in_array, ord_).alias("first_array"), F.count_if(scalar).alias("n_values"))
+    n_values = F.count_if(scalar) if times is None else F.coalesce(F.sum(F.when(scalar, F.col(times))), F.lit(0).cast("long"))
+    n_flows = [] if flow is None else [F.count_distinct(flow).alias("n_flows")]
+    own = df.groupBy(*keys).agg(F.min_by(kind, ord_).alias("value_type"), *n_flows, F.bool_or(F.col(in_array) & scalar).alias("later_array"), F.min_by(in_array, ord_).alias("first_array"), n_values.alias("n_values"))
     ranked = df.where(scalar).groupBy(*keys, value).agg(F.min(ord_).alias("first")).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("first"))).where(F.col("rank") <= samples)
     kept = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(value).alias("v")))), lambda s: s["v"]).alias("samples"))
     s = [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
@@ -35,7 +38,7 @@ def leaf_profile(df: DataFrame, keys: list[str], value: str, flow: str, ord_: st
     for c in s[1:]:
         cond = cond & c
     return own.alias("o").join(kept.alias("s"), cond, "left").select(
-        *[F.col(f"o.{k}") for k in keys], "value_type", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "n_flows", (F.col("value_type") != "object").alias("is_leaf"), (F.col("first_array") | F.col("later_array")).alias("is_array_indexed"), "n_values"
+        *[F.col(f"o.{k}") for k in keys], "value_type", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), *["n_flows"] * len(n_flows), (F.col("value_type") != "object").alias("is_leaf"), (F.col("first_array") | F.col("later_array")).alias("is_array_indexed"), "n_values"
     )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import validate as V
+from ..operators.cut import written
 from . import builds as B
 from . import openapi, render
 
@@ -64,39 +66,63 @@ def book(b: DataFrame, processors: list[Processor] | None = None) -> DataFrame:
 
 
 def payloads(b: DataFrame, defaults: bool = True) -> DataFrame:
+    return flow_payloads(B.flows(b), defaults)
+
+
+def flow_payloads(f: DataFrame, defaults: bool = True) -> DataFrame:
     """Example payloads of steps (with default payloads on request) and recorded ones: build, usecase, flow_id, action, payload, ord.
 
     `ord` is an ARRAY<BIGINT>: position of the flow, then steps before recorded payloads, then step or position, then
     the default payload before the examples. Such labels compare number by number.
     """
     label = lambda *parts: F.array(*[p.cast("long") if isinstance(p, Column) else F.lit(p).cast("long") for p in parts])
-    f = B.flows(b)
     s = B.steps(f, "ord").where(F.coalesce("action", F.lit("")) != "")
     own = ["build", "usecase", "flow_id", "action"]
-    shown = s.select(*own, "ord", "step_index", F.posexplode("examples").alias("k", "e"))
-    shown = shown.select(*own, B.part(F.col("e"), "payload").alias("payload"), label(F.col("ord"), 0, F.col("step_index"), F.col("k") + 1).alias("ord"))
+    shown = F.transform("examples", lambda e, k: F.struct(B.part(e, "payload").alias("payload"), (k + 1).alias("k")))
     if defaults:
-        shown = shown.unionByName(s.select(*own, F.col("default_payload").alias("payload"), label(F.col("ord"), 0, F.col("step_index"), 0).alias("ord")))
+        shown = F.concat(F.array(F.struct(F.col("default_payload").alias("payload"), F.lit(0).alias("k"))), shown)
+    shown = s.select(*own, "ord", "step_index", F.inline(shown)).select(*own, "payload", label(F.col("ord"), 0, F.col("step_index"), F.col("k")).alias("ord"))
     h = f.select("build", "usecase", F.col("id").alias("flow_id"), "ord", F.posexplode(B.members(B.part(F.col("config"), "transaction_history"))).alias("k", "h"))
     h = h.select("build", "usecase", "flow_id", B.part(F.col("h"), "action").alias("action"), B.part(F.col("h"), "payload").alias("payload"), label(F.col("ord"), 1, F.col("k"), 0).alias("ord"))
     return shown.unionByName(h).where("payload is not null and coalesce(action, '') <> ''")
 
 
 def observe(b: DataFrame, defaults: bool = True) -> DataFrame:
+    return observe_flows(B.flows(b), defaults)
+
+
+def _number(label: Column) -> Column:
+    """A label of payloads as one number, in the same order: its first part is any, the second 0 or 1, the others are positions in arrays."""
+    rest = F.get(label, F.lit(1)) * (1 << 62) + F.get(label, F.lit(2)) * (1 << 32) + F.get(label, F.lit(3))
+    return F.get(label, F.lit(0)).cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + rest
+
+
+def observe_flows(f: DataFrame, defaults: bool = True, count_flows: bool = True) -> DataFrame:
     """Profiles of all payload paths by use case and action; the path begins with the action.
 
     What is seen first is so by flow, step, payload and place in the payload: the payload's label with the node's
-    positions in its arrays.
+    positions in its arrays. Equal payloads are walked once, with the first one's label; n_flows is left out on request, as
+    it takes a row per flow and path.
     """
-    nodes = P.observations(payloads(b, defaults), ["build", "usecase", "action", "flow_id", "ord"], "payload")
-    nodes = nodes.withColumns({"path_key": F.concat_ws(".", F.array("action"), F.col("path")), "ord": F.concat("ord", "place")})
-    keys = ["build", "usecase", "action", "path_key"]
-    return P.leaf_profile(nodes, keys, "value", "flow_id", "ord", "kind", "in_array")
+    ids, own = ["build", "usecase", "action"], ["payload"] * count_flows
+    p = flow_payloads(f, defaults)
+    once = p.groupBy(*ids, "payload").agg(F.min(_number(F.col("ord"))).alias("ord"), F.count(F.lit(1)).alias("n")).withColumn("json", F.col("payload"))
+    nodes = P.observations(once, [*ids, *own, "ord", "n"], "json")
+    nodes = written(nodes.withColumns({"path_key": F.concat_ws(".", F.array("action"), F.col("path")), "ord": F.struct("ord", "place")}).drop("place"), "nodes")
+    keys = [*ids, "path_key"]
+    found = P.leaf_profile(nodes, keys, "value", None, "ord", "kind", "in_array", times="n")
+    if not count_flows:
+        return found
+    same = lambda a, b, names: reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names])
+    paths = nodes.select(*keys, "payload").distinct()
+    flows = p.select(*ids, "payload", "flow_id").distinct().alias("f").join(paths.alias("p"), same("f", "p", [*ids, "payload"])).select(*[f"p.{k}" for k in keys], "f.flow_id")
+    flows = flows.groupBy(*keys).agg(F.count_distinct("flow_id").alias("n_flows"))
+    return found.alias("o").join(flows.alias("n"), same("o", "n", keys)).select(*[f"o.{k}" for k in keys], "value_type", "samples", "n_flows", "is_leaf", "is_array_indexed", "n_values")
 
 
 def reconstructed(b: DataFrame) -> DataFrame:
     """The union of all example shapes per use case and action, default payloads left out."""
-    return observe(b, defaults=False).select("build", "usecase", "action", "path_key", "value_type", "is_leaf")
+    return observe_flows(B.flows(b), defaults=False, count_flows=False).select("build", "usecase", "action", "path_key", "value_type", "is_leaf")
 
 
 def coverage(bundles: DataFrame) -> DataFrame:
@@ -109,4 +135,4 @@ def checked(b: DataFrame) -> DataFrame:
 
 
 def schema_overlay(b: DataFrame) -> DataFrame:
-    return openapi.with_schema(observe(b).select("build", "usecase", F.split("path_key", r"\.").alias("path")), b)
+    return openapi.with_schema(observe_flows(B.flows(b), count_flows=False).select("build", "usecase", F.split("path_key", r"\.").alias("path")), b)
