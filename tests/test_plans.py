@@ -112,3 +112,19 @@ def test_references_into_paths_are_followed(spark):
     doc = {"paths": {"/x": {"post": {"requestBody": {"content": {"application/json": {"schema": {"properties": {"a": {"$ref": "#/paths/~1y/own"}}}}}}}}, "/y": {"own": {"type": "number"}}}}
     got = openapi.schema_paths(spark.createDataFrame([("b", json.dumps(doc)), ("c", "["), ("d", "[]"), ("e", None)], "build string, doc string")).collect()
     assert [(r.build, r.action, r.path, r.type) for r in got] == [("b", "x", ["a"], "number")]
+
+
+def test_info_meets_its_other_side_in_one_row(spark):
+    row = lambda name, info: (name, json.dumps({"openapi": "3.0.0" if name == "a" else None, "info": info}))
+    old = spark.createDataFrame([row("a", {"title": "t", "domain": "d", "x-usecases": ["u", "u"]}), row("b", {"title": "x"}), ("c", None)], "build string, doc string")
+    new = spark.createDataFrame([row("a", {"title": "T", "domain": "d", "description": "e", "x-usecases": ["v"]}), row("b", {"version": "1"}), ("c", None)], "build string, doc string")
+    log = builds.diff_info(old, new)
+    assert sorted((r.build, r.kind, r.path, r.before, r.after) for r in log.where("path <> 'info.x-usecases'").collect()) == [("a", "modified", "info.description", "", "e"), ("a", "modified", "info.title", "t", "T"), ("b", "modified", "info.title", "x", ""), ("b", "modified", "info.version", "", "1")]
+    assert sorted((r.kind, r.summary) for r in log.where("path = 'info.x-usecases'").collect()) == [("added", 'Use case added: "v"'), *[("removed", 'Use case removed: "u"')] * 2]
+    lines = log._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    joins = [k for k, x in enumerate(lines) if x.lstrip(" :+-").startswith("Join")]
+    assert joins
+    for k in joins:  # no row per field goes into a join
+        inside = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+        assert not any("Generate" in x for x in lines[k + 1 : inside])
