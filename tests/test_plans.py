@@ -128,3 +128,10 @@ def test_info_meets_its_other_side_in_one_row(spark):
     for k in joins:  # no row per field goes into a join
         inside = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
         assert not any("Generate" in x for x in lines[k + 1 : inside])
+
+
+def test_changelog_makes_a_document_once(spark):
+    side = lambda t: spark.range(2).selectExpr("concat('b', id) AS build", f"""concat('{{"info":{{"title":"{t}"}},"x-docs":{{"a":"{t}', id, '"}}}}') AS doc""")
+    log = builds.changelog(side("x"), side("yz"), ("info", "docs", "errors"))
+    assert "Range (" not in log._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.build, r.section, r.path, r.before) for r in log.collect()) == [(b, *e) for b in ("b0", "b1") for e in (("docs", "x-docs.a", "2 chars"), ("info", "info.title", "x"))]
