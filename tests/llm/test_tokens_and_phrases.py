@@ -176,6 +176,11 @@ def test_segments_end_where_both_have_an_end():
     assert [[x.tolist() for x in s] for s in got] == [[[0, 1, 2], [2, 4, 6], [0, 1], [4, 6]], [[3, 4, 5], [2, 4, 6], [2, 3], [3, 6]]]
 
 
+def test_ends_are_numbered_over_both_sides():
+    got = alignment._numbered((np.array([2, 4, 900]), np.array([4, 60, 900])))
+    assert [x.tolist() for x in got] == [[1, 2, 4], [2, 3, 4]]
+
+
 # 13 byte-level BPE -------------------------------------------------------------------------------
 
 

@@ -1,10 +1,10 @@
 """Alignment of two tokenizers over the same bytes: groups, links and corpus-wide counts of linked ids.
 
 Both tokenizers read space + text: A is a byte-level vocabulary, B a piece model that adds the space
-itself. Python only makes ids and the byte offsets where tokens end. From there on arrays do the work:
-the ends that both have (array_intersect) cut a text into groups, every end of either closes exactly
-one link, and each token's number is spread over its bytes (transform, sequence, array_repeat), so
-that groups and links find their tokens by place, in time linear in the text.
+itself. Python only makes ids and the offsets where tokens end, numbered within a segment. From there on
+arrays do the work: the ends that both have (array_intersect) cut a text into groups, every end of either
+closes exactly one link, and each token's id and number are spread over the ends that it holds (transform,
+array_repeat, flatten), so that groups and links find their tokens by place, in time linear in the text.
 
 An id pair's count is a plain grouping of all links. To bring counts back to documents, the most
 frequent pairs (as many as KEPT_PAIRS allows) are broadcast and summed up in place; links of the other
@@ -150,13 +150,25 @@ def _segments(ids: tuple, ends: tuple, segment_bytes: int) -> list[tuple]:
     return out
 
 
+def _numbered(ends: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Each end's number among the ends of both sides, from 1 on; an end of both has one number."""
+    there = np.zeros(max((int(e[-1]) for e in ends if len(e)), default=0) + 1, bool)
+    for e in ends:
+        there[e] = True
+    number = np.cumsum(there)
+    return tuple(number[e] for e in ends)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """doc_id, text to a row per segment: ids, byte offsets of ends and sizes of the tokens of both tokenizers. The files must exist on every executor."""
+    """doc_id, text to a row per segment: ids, ends and sizes of the tokens of both tokenizers. The files must exist on every executor.
+
+    Ends are told by their numbers among all ends of a segment, and sizes are differences of those: where neither side has an end, nothing is told.
+    """
     common.prepare(spark)
     paths = paths or vocabulary_paths()
 
@@ -178,6 +190,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None
                         whole = spaced[at[k] : at[k + 1]]
                         if all(np.array_equal(s[p[a] : p[z]], whole) for s, p, (a, z) in zip(spelled, place, runs, strict=True)):
                             own = _segments(tuple(x[a:z] for (x, _), (a, z) in zip(found, runs, strict=True)), tuple(p[a + 1 : z + 1] - p[a] for p, (a, z) in zip(place, runs, strict=True)), segment_bytes)
+                            own = [(a, x, b, y) for a, p, b, q in own for x, y in [_numbered((p, q))]]
                         k += 1
                     number = next(row)
                     rows += [(number, i + d, s, len(own), x) for s, x in enumerate(own)]
@@ -198,23 +211,22 @@ def _let(value: Column, body) -> Column:
 
 
 def _owners(sizes: Column) -> Column:
-    """For each byte the number, from 0 on, of the token that holds it."""
+    """For each end the number, from 0 on, of the token that holds the bytes before it."""
     return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
 
 
 def _groups(a_names: Column, b_names: Column, of_a: Column, of_b: Column, cuts: Column) -> Column:
-    """The text of each group, which ends at a cut. Mostly it is one token of either side: two that end together and are as long."""
-    at = F.element_at  # of a byte's end, which is its place from 1 on
+    """The text of each group, which ends at a cut. Mostly it is one token of either side: no end lies between two cuts."""
 
     def side(names: Column, of: Column, low: Column, high: Column) -> Column:
-        first = F.coalesce(F.get(of, low), F.lit(0))
-        return F.array_join(F.slice(names, first + 1, at(of, high) - first + 1), ",")
+        first = F.get(of, low)
+        return F.array_join(F.slice(names, first + 1, F.get(of, high - 1) - first + 1), ",")
 
     def text(e: Column, k: Column) -> Column:
         low = F.coalesce(F.get(cuts, k - 1), F.lit(0))
         several = F.concat(side(a_names, of_a, low, e), F.lit("|"), side(b_names, of_b, low, e))
-        one = F.concat(F.get(a_names, at(of_a, e)), F.lit("|"), F.get(b_names, at(of_b, e)))
-        return F.when(F.get("a_sizes", at(of_a, e)) == F.get("b_sizes", at(of_b, e)), one).otherwise(several)
+        one = F.concat(F.get(a_names, F.get(of_a, low)), F.lit("|"), F.get(b_names, F.get(of_b, low)))
+        return F.when(e - low == 1, one).otherwise(several)
 
     return F.transform(cuts, text)
 
@@ -222,20 +234,23 @@ def _groups(a_names: Column, b_names: Column, of_a: Column, of_b: Column, cuts:
 def align(tokens: DataFrame) -> DataFrame:
     """row, doc_id, segment, segments, n_a, n_b, n_groups, the groups of a segment (text `a1,a2|b1;a3|b2,b3`) and its links.
 
-    links has a pair, a * 2^32 + b, for each end of either side: where a token ends, one link does, and both its
-    tokens are found by the byte. Ends of both sides are those of groups.
+    There is a link for each end of either side: where a token ends, one link does. Spread over the ends that they
+    hold, the ids of A and of B are those of the links, a_links and b_links. Ends of both sides are those of groups.
     """
-    names = lambda ids: F.col(ids).cast("array<string>")
-    codes = F.transform("a_ids", lambda x: x.cast("long") * F.lit(1 << 32))
+    names = lambda ids: F.transform(ids, lambda x: x.cast("string"))
+    spread = lambda ids, sizes: F.flatten(F.zip_with(ids, sizes, lambda x, n: F.array_repeat(x, n)))
 
-    def both(of_a: Column, of_b: Column) -> Column:
-        link = lambda p: F.transform(F.array_union("a_ends", "b_ends"), lambda e: F.get(p, F.element_at(of_a, e)) + F.get("b_ids", F.element_at(of_b, e)))
-        texts = _let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: _let(F.array_intersect("a_ends", "b_ends"), lambda c: _groups(x, y, of_a, of_b, c))))
-        return F.struct(_let(codes, link).alias("links"), F.array_join(texts, ";").alias("groups"))
+    def joined(of_a: Column, of_b: Column) -> Column:
+        cut = lambda x, y: _let(F.transform("cuts", lambda e: e), lambda c: _groups(x, y, of_a, of_b, c))
+        return F.array_join(_let(names("a_ids"), lambda x: _let(names("b_ids"), lambda y: cut(x, y))), ";")
 
-    found = F.when(F.size("a_ends") > 0, _let(_owners(F.col("a_sizes")), lambda x: _let(_owners(F.col("b_sizes")), lambda y: both(x, y))))
-    n_a, n_b, links = F.size("a_ends").cast("long"), F.size("b_ends").cast("long"), F.coalesce("found.links", F.array().cast("array<bigint>"))
-    return tokens.withColumn("found", found).select("row", "doc_id", "segment", "segments", n_a.alias("n_a"), n_b.alias("n_b"), (n_a + n_b - F.size(links)).alias("n_groups"), F.coalesce("found.groups", F.lit("")).alias("groups"), links.alias("links"))
+    groups = _let(_owners(F.col("a_sizes")), lambda x: _let(_owners(F.col("b_sizes")), lambda y: joined(x, y)))
+    tokens = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    n_a, n_b, n_groups = (F.size(c).cast("long") for c in ("a_ends", "b_ends", "cuts"))
+    return tokens.select(
+        "row", "doc_id", "segment", "segments", n_a.alias("n_a"), n_b.alias("n_b"), n_groups.alias("n_groups"), F.when(F.size("cuts") > 0, groups).otherwise("").alias("groups"),
+        spread("a_ids", "a_sizes").alias("a_links"), spread("b_ids", "b_sizes").alias("b_links"),
+    )
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -261,7 +276,8 @@ def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None =
     many = F.col("segments") > 1
     digest = F.when(~many & (F.col("n_a") > 0), F.sha2("groups", 256))
     rows = common.materialize(spark, align(tokenise(spark, docs, paths, segment_bytes)).withColumn("digest", digest).withColumn("groups", F.when(many, F.col("groups"))), "aligned")
-    pairs = rows.select("row", F.explode("links").alias("pair"))
+    pair = F.shiftleft(F.col("a").cast("long"), 32) + F.get("b_links", F.col("at"))
+    pairs = rows.select("row", "b_links", F.posexplode("a_links").alias("at", "a")).select("row", pair.alias("pair"))
     counts = common.materialize(spark, pair_counts(pairs.select("pair")), "pair-counts")
     least = _least_kept(counts, kept_pairs)
     met = pairs.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
@@ -273,6 +289,6 @@ def report(spark: SparkSession, docs: DataFrame, paths: tuple[str, str] | None =
     parts = F.array_sort(F.collect_list(F.when(many, F.struct("segment", "groups"))))
     whole = F.sha2(F.array_join(F.transform("parts", lambda p: p["groups"]), ";"), 256)
     numbers = ("n_a", "n_b", "n_groups", "n_links")
-    docs = rows.withColumn("n_links", F.size("links").cast("long")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
+    docs = rows.withColumn("n_links", F.size("a_links").cast("long")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in numbers), F.max("digest").alias("digest"), parts.alias("parts"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return docs.join(sums, "row", "left").select("doc_id", *numbers, zero("n_best"), zero("count_sum"), F.coalesce("digest", F.when(F.size("parts") > 0, whole), F.lit("")).alias("groups_sha256"))
