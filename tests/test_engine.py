@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import code, nested
 from treeloom.functions.script import Bad, parse
-from treeloom.operators import cut
+from treeloom.operators import cut, trie
 from treeloom.operators import diff as D
 from treeloom.operators import match as M
 from treeloom.operators.matcher import contained
@@ -195,6 +195,45 @@ def test_a_large_dictionary_is_searched_by_parts(spark):
     assert all(r.distance == 1 for r in M.nearest_name(names, "n", words, "w", "id").collect())
 
 
+@pytest.mark.parametrize("cells", [40, trie.CELLS])
+@pytest.mark.parametrize("letters", ["ab", "abcdé😀"])
+def test_names_go_down_a_trie(monkeypatch, cells, letters):
+    monkeypatch.setattr(trie, "CELLS", cells)
+    rng = random.Random(cells)
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    words, names = list({word(9) for _ in range(60)}), [word(13) for _ in range(40)] + ["", "zzzzzzzzzzzzzzzzzzzzzz"]
+    rank = rng.sample(range(len(words)), len(words))
+    tree, best = trie.Trie(words, rank), [min((edits(n, w), rank[k], k) for k, w in enumerate(words)) for n in names]
+    distance, at = tree.nearest(names)
+    assert [(d, k) for d, k in zip(distance, at, strict=True)] == [(b[0], b[2]) for b in best]
+    for bound in (0, 2, 6):
+        distance, at = tree.within(names, bound)
+        assert [k for k in at] == [b[2] if b[0] <= bound else -1 for b in best]
+    assert list(trie.Trie([], []).nearest(["a"])[1]) == [-1]
+
+
+def test_names_meet_all_blocks_of_a_dictionary(spark, monkeypatch):
+    for k, v in (("DICTIONARY_ROWS", 40), ("TRIE_WORDS", 30), ("NEAR", (0,)), ("TRIE_NAMES", (20, 50))):
+        monkeypatch.setattr(M, k, v)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(rng.randint(0, n)))
+    words, names = [word(9) for _ in range(250)], [word(13) for _ in range(120)] + ["", "zzzzzzzzzzzzzzzzzzzzzz"]
+    table = spark.createDataFrame([(f"o{k:03d}", w) for k, w in enumerate(words)], "o string, w string")
+    got = {r.i: (r.nearest, r.distance) for r in M.nearest_name(spark.createDataFrame([*enumerate(names)], "i int, n string"), "n", table, "w", "o").collect()}
+    best = lambda x: min((edits(x, w), k, w) for k, w in enumerate(words))
+    assert got == {i: (best(x)[2], best(x)[0]) for i, x in enumerate(names)}
+
+
+def test_far_names_make_few_rows_and_no_broadcast(spark, monkeypatch):
+    made, own = [], M._by_letters
+    monkeypatch.setattr(M, "_by_letters", lambda *a: made.append(own(*a)) or made[-1])
+    words = spark.range(12_000).selectExpr("id", "concat('Customer#', lpad(id, 9, '0')) AS w")
+    names = spark.range(600).selectExpr("id AS i", "concat('Customer#', lpad(90000 + id * 37, 9, '0'), repeat('x', id % 3)) AS n")
+    got = M.nearest_name(names, "n", words, "w", "id").collect()
+    assert all(r.distance == edits(r.n, r.nearest) and r.i % 3 < r.distance < 7 for r in got) and len(got) == 600
+    assert all("broadcast" not in df._jdf.queryExecution().analyzed().toString().lower() and df.count() < 60_000 for df in made)
+
+
 # snapshots ---------------------------------------------------------------------------------------
 
 

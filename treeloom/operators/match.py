@@ -5,18 +5,24 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
+from . import trie
 from .cut import written
 
 #: Rows of a dictionary that a task holds at once.
 DICTIONARY_ROWS = 10_000
-#: Edit distances up to which names meet words that share a part with them, one after the other.
-NEAR = (0, 1, 2, 3, 4, 5)
-#: Rows of names without letters that are broadcast; rows of words without letters that a task makes.
-BROADCAST_NAMES, TASK_ROWS = 1 << 20, 1 << 20
+#: Edit distances up to which names meet words that share a part with them, one after the other, as long as that
+#: makes no more than so many rows for each name and word.
+NEAR, EACH = (0, 1, 2, 3, 4, 5), 3
+#: Words and letters of a trie that a task holds; names that it looks up there, as few and as many as that.
+TRIE_WORDS, TRIE_LETTERS, TRIE_NAMES = 1 << 17, 1 << 23, (1 << 8, 1 << 14)
+#: Rows of words without letters that a task makes.
+TASK_ROWS = 1 << 20
 
 
 def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, ord_: str, most: int | None = None) -> DataFrame:
@@ -24,12 +30,12 @@ def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, o
 
     Names and words are made distinct first. A dictionary of up to DICTIONARY_ROWS words is broadcast, and each name folds over it.
     Beyond that, words within a few edits are found by what they have in common (near_words), for one distance after the
-    other, until each name has a word; the names that have none then, whose nearest word shares little with them,
-    meet the dictionary in blocks. A null name has no nearest entry; an empty dictionary has none for any.
+    other, while that makes few rows; the names that have none then go down tries of the words (_by_trie).
+    Nothing of that is broadcast. A null name has no nearest entry; an empty dictionary has none for any.
     """
     words = dictionary.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.min(ord_).alias("ord"))
     names = rows.select(F.col(name).alias("_name")).where(F.col(name).isNotNull()).distinct()
-    size = words.count()
+    size, letters = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
     if size <= DICTIONARY_ROWS:
         block = words.agg(F.array_sort(F.collect_list(F.struct("ord", "word"))).alias("words"))
         best = _nearest_of(names.crossJoin(F.broadcast(block)))
@@ -42,15 +48,58 @@ def nearest_name(rows: DataFrame, name: str, dictionary: DataFrame, word: str, o
                 break
             found.append(written(near, "near-words"))
             names = written(names.join(found[-1], "_name", "left_anti"), "far-names")
-        blocks = -(-size // DICTIONARY_ROWS)
-        dealt = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("ord", "word")).alias("words"))
-        far = _nearest_of(names.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block"))
-        far = far.groupBy("_name").agg(F.min(F.struct("distance", "ord", "nearest")).alias("b")).select("_name", "b.*")
-        best = reduce(DataFrame.unionByName, [*found, far])
+        best = reduce(DataFrame.unionByName, [*found, _by_trie(names, words, max(-(-size // TRIE_WORDS), -(-letters // TRIE_LETTERS)))])
     out = rows.join(best.drop("ord"), rows[name] == best["_name"], "left").drop("_name")
     return out if most is None else out.withColumn("nearest", F.when(F.col("distance") <= most, F.col("nearest")))
 
 
+def _by_trie(names: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
+    """_name, distance, ord, nearest: the best word for each name, by tries of the words dealt to blocks.
+
+    A name finds its nearest word in one block, and in the others those that are as near at least.
+    """
+    n = names.count()
+    if not n:
+        return names.selectExpr("_name", "0 AS distance").join(words.selectExpr("ord", "word AS nearest"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("ord", "word"))
+    dealt = written(words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks))).withColumn("rank", rank), "dealt-words")
+    names = names.withColumn("home", F.pmod(F.xxhash64("_name"), F.lit(blocks)))
+    first = written(_in_blocks(names.select("_name", F.col("home").alias("block"), F.lit(None).cast("int").alias("most")), n, dealt, blocks), "trie-words")
+    if blocks == 1:
+        return first
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda b: b != F.col("home")))
+    asked = names.join(first.select("_name", F.col("distance").alias("most")), "_name", "left").select("_name", others.alias("block"), "most")
+    more = _in_blocks(asked, n * (blocks - 1), dealt, blocks)
+    return first.unionByName(more).groupBy("_name").agg(F.min(F.struct("distance", "ord", "nearest")).alias("b")).select("_name", "b.*")
+
+
+def _in_blocks(asked: DataFrame, n: int, words: DataFrame, blocks: int) -> DataFrame:
+    """Rows (_name, block, most) with their block's nearest word within `most` edits, any if that is null. `n`: how many rows there are, about."""
+    fewest, many = TRIE_NAMES
+    pieces = max(1, min(-(-n // (blocks * fewest)), max(-(-2 * asked.sparkSession.sparkContext.defaultParallelism // blocks), -(-n // (blocks * many)))))
+    own = words.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+    asked = asked.withColumn("piece", F.pmod(F.xxhash64("_name", F.lit(1)), F.lit(pieces)))
+    schema = StructType([StructField("_name", StringType()), StructField("distance", IntegerType()), *(StructField(k, words.schema[w].dataType) for k, w in (("ord", "ord"), ("nearest", "word")))])
+
+    def look_up(own: pa.Table, dictionary: pa.Table) -> pa.Table:
+        texts, most, place, distance, at = own["_name"].to_pylist(), own["most"].to_pylist(), [], [], []
+        tree = trie.Trie(dictionary["word"].to_pylist() if texts else [], dictionary["rank"].to_pylist() if texts else [])
+        for bound in set(most):
+            mine = [i for i, b in enumerate(most) if b == bound]
+            far, found = tree.nearest([texts[i] for i in mine]) if bound is None else tree.within([texts[i] for i in mine], bound)
+            for i, d, w in zip(mine, far.tolist(), found.tolist(), strict=True):
+                if w >= 0:
+                    place.append(i)
+                    distance.append(d)
+                    at.append(w)
+        at = pa.array(at, pa.int64())
+        columns = [own["_name"].take(pa.array(place, pa.int64())), pa.array(distance, pa.int32()), dictionary["ord"].take(at), dictionary["word"].take(at)]
+        return pa.table(columns, names=["_name", "distance", "ord", "nearest"])
+
+    by, tasks = ["block", "piece"], 2 * blocks * pieces
+    return asked.repartition(tasks, *by).groupBy(*by).cogroup(own.repartition(tasks, *by).groupBy(*by)).applyInArrow(look_up, schema)
+
+
 def _nearest_of(names: DataFrame) -> DataFrame:
     """_name, distance, ord, nearest: the best of an array `words` (ord, word) beside each name."""
     scored = F.transform("words", lambda w: F.struct(F.levenshtein(F.col("_name"), w["word"]).alias("distance"), w["ord"].alias("ord"), w["word"].alias("nearest")))
@@ -58,7 +107,7 @@ def _nearest_of(names: DataFrame) -> DataFrame:
 
 
 def near_words(names: DataFrame, words: DataFrame, bound: int) -> DataFrame | None:
-    """_name, distance, ord, nearest: for names with a word within `bound` edits, the nearest one; None where all pairs are fewer.
+    """_name, distance, ord, nearest: for names with a word within `bound` edits, the nearest one; None where that makes many rows.
 
     Candidates share a part (_parts) or what is left without some letters (_by_letters). The first way makes many pairs where words
     have parts in common, the second many rows where they are long; counts of keys and lengths tell which makes less.
@@ -71,8 +120,8 @@ def near_words(names: DataFrame, words: DataFrame, bound: int) -> DataFrame | No
     met = {(x, y): _left_out(x, y, bound) for x in m for y in n if abs(x - y) <= bound}
     sent = sum(m[x] * math.comb(x, out) for (x, _), (out, _) in met.items())
     kept = sum(n[y] * math.comb(y, out) for y, out in {(y, out) for (_, y), (_, out) in met.items()})
-    pairs, product = pairs or 0, sum(m.values()) * sum(n.values())
-    if bound > NEAR[0] and min(pairs, sent + kept) > product:
+    pairs = pairs or 0
+    if bound > NEAR[0] and min(pairs, sent + kept) > EACH * (sum(m.values()) + sum(n.values())):
         return None
     found = asked.join(own, key) if pairs <= sent + kept else _by_letters(names, words, met, sent, kept)
     found = found.withColumn("distance", F.levenshtein(F.col("_name"), F.col("word"), bound)).where("distance >= 0")
@@ -116,7 +165,7 @@ def _by_letters(names: DataFrame, words: DataFrame, met: dict[tuple[int, int], t
     asked = _without(asked, "_name", F.col("x"), max(x for x, _ in met.values())).select("_name", "n", "y", F.xxhash64("left").alias("h")).distinct()
     own = words.repartition(1 + kept // TASK_ROWS).select("word", "ord", choose("word", by_word)).select("word", "ord", "p.*")
     own = _without(own, "word", F.col("y"), max(y for _, y in met.values())).select("word", "ord", "n", "y", F.xxhash64("left").alias("h"))
-    return (F.broadcast(asked) if sent <= BROADCAST_NAMES else asked).join(own, ["n", "y", "h"])
+    return asked.join(own, ["n", "y", "h"])
 
 
 def _case(value: Column, by: dict[int, Column]) -> Column:
