@@ -63,6 +63,20 @@ def test_flows_as_rows_are_observed_like_a_build(spark):
     assert book.flow_payloads(builds.flow_rows(rows)).count() == 9 * 13
 
 
+def test_payloads_come_by_one_look_at_a_flow(spark, tmp_path):
+    odd = ['{"steps":[null,1,"s",{},{"api":5,"mock":"m","examples":[{"payload":{"b":1}},7,null]}],"transaction_history":[{"action":"h","payload":{"q":1}},{"payload":4}]}']
+    odd += ['{"steps":[{"api":"a","api":"b","examples":[{"payload":1,"payload":2}]}]}', '{"steps":{"api":"a"}}', '"x"', "null"]
+    odd += ['{"steps":[{"api":"a","mock":{"defaultPayload":{"z":1}},"examples":[{"payload":2}]}],"transaction_history":[{"action":"x","payload":"3"}]}']
+    rows = spark.createDataFrame([("b", i, f'{{"id":"f","usecase":"u","config":{c}}}') for i, c in enumerate(odd)], "build string, ord bigint, flow string")
+    rows.write.parquet(str(tmp_path / "flows"))
+    read = book.flow_payloads(builds.flow_rows(spark.read.parquet(str(tmp_path / "flows"))))
+    assert read._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    x = [("5", '{"b":1}', [0, 0, 4, 1]), ("h", '{"q":1}', [0, 1, 0, 0]), ("a", "1", [1, 0, 0, 1]), ("a", '{"z":1}', [5, 0, 0, 0]), ("a", "2", [5, 0, 0, 1]), ("x", "3", [5, 1, 0, 0])]
+    assert sorted(tuple(r) for r in read.select("ord", "action", "payload").collect()) == sorted((o, a, p) for a, p, o in x)
+    shown = book.flow_payloads(builds.flow_rows(rows), defaults=False)
+    assert sorted(r.ord for r in shown.collect()) == sorted(o for _, p, o in x if p != '{"z":1}')
+
+
 def test_book_and_split(spark):
     page = book.book(frame(spark)).first().page
     assert page.index("# Overview") < page.index("# Flows") < page.index("# Error codes")

@@ -75,16 +75,15 @@ def flow_payloads(f: DataFrame, defaults: bool = True) -> DataFrame:
     `ord` is an ARRAY<BIGINT>: position of the flow, then steps before recorded payloads, then step or position, then
     the default payload before the examples. Such labels compare number by number.
     """
-    label = lambda *parts: F.array(*[p.cast("long") if isinstance(p, Column) else F.lit(p).cast("long") for p in parts])
-    s = B.steps(f, "ord").where(F.coalesce("action", F.lit("")) != "")
-    own = ["build", "usecase", "flow_id", "action"]
-    shown = F.transform("examples", lambda e, k: F.struct(B.part(e, "payload").alias("payload"), (k + 1).alias("k")))
-    if defaults:
-        shown = F.concat(F.array(F.struct(F.col("default_payload").alias("payload"), F.lit(0).alias("k"))), shown)
-    shown = s.select(*own, "ord", "step_index", F.inline(shown)).select(*own, "payload", label(F.col("ord"), 0, F.col("step_index"), F.col("k")).alias("ord"))
-    h = f.select("build", "usecase", F.col("id").alias("flow_id"), "ord", F.posexplode(B.members(B.part(F.col("config"), "transaction_history"))).alias("k", "h"))
-    h = h.select("build", "usecase", "flow_id", B.part(F.col("h"), "action").alias("action"), B.part(F.col("h"), "payload").alias("payload"), label(F.col("ord"), 1, F.col("k"), 0).alias("ord"))
-    return shown.unionByName(h).where("payload is not null and coalesce(action, '') <> ''")
+    own = B.read_configs(f.select("build", "usecase", F.col("id").alias("flow_id"), "ord", "config"))
+    none = F.array().cast("array<string>")
+    listed = lambda s: F.coalesce(s["examples"]["payload"], none)
+    shown = F.transform(F.coalesce("read.steps", F.array()), lambda s, i: F.struct(F.lit(0).alias("recorded"), i.alias("i"), s["api"].alias("action"), (F.concat(F.array(s["mock"]["defaultPayload"]), listed(s)) if defaults else listed(s)).alias("payloads")))
+    recorded = F.transform(F.coalesce("read.transaction_history", F.array()), lambda h, i: F.struct(F.lit(1).alias("recorded"), i.alias("i"), h["action"].alias("action"), F.array(h["payload"]).alias("payloads")))
+    rows = own.select("build", "usecase", "flow_id", "ord", F.inline(F.concat(shown, recorded))).where("coalesce(action, '') <> ''")
+    rows = rows.select("build", "usecase", "flow_id", "action", "ord", "recorded", "i", F.posexplode("payloads").alias("k", "payload")).where("payload is not null")
+    k = F.col("k") if defaults else F.col("k") + 1 - F.col("recorded")
+    return rows.select("build", "usecase", "flow_id", "action", "payload", F.array(*[x.cast("long") for x in (F.col("ord"), F.col("recorded"), F.col("i"), k)]).alias("ord"))
 
 
 def observe(b: DataFrame, defaults: bool = True) -> DataFrame:
