@@ -309,3 +309,19 @@ def test_work_folders_are_listed_and_removed(spark):
     own = cut.CREATED[-1]
     cut.remove(spark, own)
     assert own not in cut.CREATED
+
+
+def test_flows_beside_documents_are_ingested_like_those_in_them(spark, tmp_path):
+    stores = [Store(spark, str(tmp_path / x)) for x in ("in", "beside")]
+    builds = [{"a": [("f1", "u", "x"), ("f2", "u", "y"), ("f2", "u", "z")], "b": [("g", "v", "1")]}, {"a": [("f1", "u", "w"), ("f3", "t", "y")], "b": [("g", "v", "1")], "c": []}]
+    for k, own in enumerate(builds):
+        flow = lambda f: {"id": f[0], "usecase": f[1], "description": f[2]}
+        doc = lambda d, more: json.dumps({"info": {"domain": d, "version": "1"}} | more)
+        whole = spark.createDataFrame([(doc(d, {"x-flows": [flow(f) for f in fs]}),) for d, fs in own.items()], "doc string")
+        docs = spark.createDataFrame([(doc(d, {}),) for d in own], "doc string")
+        rows = spark.createDataFrame([(d, "1", i, json.dumps(flow(f))) for d, fs in own.items() for i, f in enumerate(fs)], "domain string, version string, ord int, flow string")
+        told = [sorted((r.domain, r.status, r.changes) for r in t.collect()) for t in (stores[0].ingest_many(whole, ("flows",)), stores[1].ingest_many(docs, ("flows",), flows=rows))]
+        assert told[0] == told[1] and (k != 1 or ("b", "skipped", 0) in told[1])
+        for name in ("flows", "changelogs")[: 1 + (k > 0)]:
+            columns = ["domain", "usecase", "id", "description"] if name == "flows" else ["domain", "section", "kind", "path", "summary"]
+            assert len({str(sorted(map(str, s.table(name).select(*columns).collect()))) for s in stores}) == 1
